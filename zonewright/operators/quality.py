@@ -40,10 +40,11 @@ def non_null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
     for f in fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            floats.append((f.name, F.count(F.when(~F.isnan(col(f.name)), F.lit(1)))))
+            value = col(f.name)  # isnan(NULL) is false, so NULL needs its own test
+            floats.append((f.name, F.count(F.when(value.isNotNull() & ~F.isnan(value), 1))))
         elif nested:
             # Footer null counts are kept per leaf, not per nested value: never push these.
-            plain.append((f.name, F.count(F.when(col(f.name).isNotNull(), F.lit(1)))))
+            plain.append((f.name, F.count(F.when(col(f.name).isNotNull(), 1))))
         else:
             plain.append((f.name, F.count(col(f.name))))
     pushes = df.sparkSession.conf.get("spark.sql.parquet.aggregatePushdown") == "true"
