@@ -112,9 +112,12 @@ def upsert_parts(
         F.col("current").cast("boolean") & differs(masks[0]),
     )
     matched = F.col(_KEY).eqNullSafe(F.col("b_key"))
+    marked = lookup.withColumn(_KEY, key_of(pii_cols))
+    # Rows without a complete key match nothing; left in a shuffled join they would all
+    # meet in one task, so they go round it.
+    complete = marked if broadcast_batch else marked.where(F.col(_KEY).isNotNull())
     stored = (
-        lookup.withColumn(_KEY, key_of(pii_cols))
-        .join(small, F.col(_KEY) == F.col("b_key"), "left")
+        complete.join(small, F.col(_KEY) == F.col("b_key"), "left")
         # Names a column of both sides, so it is tested on matched rows only.
         .where(
             require(
@@ -129,6 +132,9 @@ def upsert_parts(
         )
         .select(*[col(c) for c in lookup.columns], F.col(_TOUCHED))
     )
+    if not broadcast_batch:
+        keyless = marked.where(F.col(_KEY).isNull()).withColumn(_TOUCHED, F.lit(False))
+        stored = stored.unionByName(keyless.drop(_KEY))
 
     known = lookup.select(key_of(pii_cols).alias(_KEY))
     if broadcast_batch:
@@ -137,8 +143,9 @@ def upsert_parts(
             known.join(small, F.col(_KEY) == F.col("b_key"), "left_semi").distinct()
         )
     unseen = rows.where(F.col(_KEY).isNotNull()).join(known, _KEY, "left_anti")
-    keyless = rows.where(F.col(_KEY).isNull())
-    new = _inserted(unseen.unionByName(keyless), pii_cols, as_of)
+    new = _inserted(
+        unseen.unionByName(rows.where(F.col(_KEY).isNull())), pii_cols, as_of
+    )
     return stored, new
 
 

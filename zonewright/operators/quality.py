@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,31 +26,76 @@ def _report(df: DataFrame, counts: Sequence[tuple[str, Column]]) -> DataFrame:
     return flat.select(F.inline(lines))
 
 
-def non_null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _count_columns(df: DataFrame, pushed: bool) -> list[tuple[str, Column]]:
+    """A count per column, after that of the rows."""
+    nested = _has_nested(df)
+    counts = [(ROWS, F.count(F.lit(1)))]
+    for f in df.schema.fields:
+        value = col(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            # isnan(NULL) is false, so NULL needs its own test
+            count = F.count(F.when(value.isNotNull() & ~F.isnan(value), 1))
+        elif pushed and nested:
+            # Footer null counts are kept per leaf, not per nested value: never push these.
+            count = F.count(F.when(value.isNotNull(), 1))
+        else:
+            count = F.count(value)
+        counts.append((f.name, count))
+    return counts
+
+
+def _has_nested(df: DataFrame) -> bool:
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return any(isinstance(f.dataType, nested) for f in df.schema.fields)
+
+
+def non_null_counts(df: DataFrame) -> DataFrame:
     """``column_name, n``: rows (as ``*``) and values per column, NaN counting as missing.
 
     One pass over the data. Where the session pushes aggregates into parquet scans, plain
     columns are counted apart from floating-point ones: their counts then come from the
     file footers, and only the floating-point columns are read.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    floats, plain = [], [(ROWS, F.count(F.lit(1)))]
-    nested = any(
-        isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields
-    )
-    for f in fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            value = col(f.name)  # isnan(NULL) is false, so NULL needs its own test
-            floats.append((f.name, F.count(F.when(value.isNotNull() & ~F.isnan(value), 1))))
-        elif nested:
-            # Footer null counts are kept per leaf, not per nested value: never push these.
-            plain.append((f.name, F.count(F.when(col(f.name).isNotNull(), 1))))
-        else:
-            plain.append((f.name, F.count(col(f.name))))
-    pushes = df.sparkSession.conf.get("spark.sql.parquet.aggregatePushdown") == "true"
-    if pushes and floats and not nested:
-        return _report(df, plain).unionByName(_report(df, floats))
-    return _report(df, plain + floats)
+    pushed = df.sparkSession.conf.get("spark.sql.parquet.aggregatePushdown") == "true"
+    counts = _count_columns(df, pushed)
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not pushed or not floats or _has_nested(df):
+        return _report(df, counts)
+    plain = [c for c in counts if c[0] not in floats]
+    return _report(df, plain).unionByName(_report(df, [c for c in counts if c[0] in floats]))
+
+
+def observe_counts(df: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df`` with its counts taken on the way, and a function giving them as a report.
+
+    The report costs no pass of its own but is ready only after an action has run the frame
+    to its end. Use it where that action has no shuffle: tasks of a stage that feeds a
+    shuffle may run again after the loss of an executor, and would count twice.
+    """
+    observation = Observation()
+    counts = _count_columns(df, pushed=False)
+    observed = df.observe(observation, *[c.alias(f"n{i}") for i, (_, c) in enumerate(counts)])
+
+    def report() -> DataFrame:
+        metrics = observation.get
+        rows = [(name, metrics[f"n{i}"]) for i, (name, _) in enumerate(counts)]
+        return df.sparkSession.createDataFrame(rows, "column_name string, n bigint")
+
+    return observed, report
+
+
+def settle(report: DataFrame) -> DataFrame:
+    """A report (one line per column) computed once, for use in several comparisons."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
+def mask_origins(source: DataFrame, target: DataFrame) -> dict[str, str]:
+    """The masked columns of ``target`` whose values are counted against ``x`` of ``source``."""
+    return {
+        c: c[len(MASK_PREFIX) :]
+        for c in target.columns
+        if c.startswith(MASK_PREFIX) and c not in source.columns
+    }
 
 
 def reconcile(
@@ -66,25 +111,21 @@ def reconcile(
     with ``compare_rows=False`` only asks for a non-empty target. ``masked`` compares a
     ``masked_x`` column of the target with ``x`` of the source.
     """
-    origin = {
-        c: c[len(MASK_PREFIX) :]
-        for c in target.columns
-        if masked and c.startswith(MASK_PREFIX) and c not in source.columns
-    }
+    origins = mask_origins(source, target) if masked else {}
     return compare_counts(
-        non_null_counts(source), non_null_counts(target), origin, compare_rows
+        non_null_counts(source), non_null_counts(target), origins, compare_rows
     )
 
 
 def compare_counts(
     source: DataFrame,
     target: DataFrame,
-    origin: Mapping[str, str] | None = None,
+    origins: Mapping[str, str] | None = None,
     compare_rows: bool = True,
 ) -> DataFrame:
     """``reconcile`` on two count reports, a line per column each."""
     source_name = F.col("column_name")
-    for name, raw in (origin or {}).items():
+    for name, raw in (origins or {}).items():
         source_name = F.when(F.col("column_name") == name, F.lit(raw)).otherwise(source_name)
     s = source.select(F.col("column_name").alias("s_name"), F.col("n").alias("source_count"))
     t = target.select(
@@ -112,44 +153,49 @@ def compare_counts(
     )
 
 
-def check_types(df: DataFrame, rules: Sequence[str | CastRule]) -> DataFrame:
+def check_types(
+    df: DataFrame, rules: Sequence[str | CastRule], count_values: bool = True
+) -> DataFrame:
     """Check that every cast column has its rule's type, for every value it holds.
 
     ``column_name, expected_type, actual_type, n, status``: the type is the column's, so one
-    odd row cannot hide, and ``n`` counts the non-null values that carry it.
+    odd row cannot hide. ``n`` counts the non-null values that carry it; without
+    ``count_values`` it is NULL and the data is not read.
     """
-    expected: dict[str, str] = {}
-    passed: dict[str, bool] = {}
-    actual: dict[str, str] = {}
-    by_name = {f.name.lower(): f for f in df.schema.fields}
+    by_name = {f.name.lower(): f.dataType for f in df.schema.fields}
+    facts: dict[str, tuple[str, str, str]] = {}
     for rule in as_rules(rules):  # the last rule on a column decides its type
-        field = by_name.get(rule.column.lower())
-        kind = field.dataType if field else None
+        kind = by_name.get(rule.column.lower())
         if rule.kind == "decimal":
-            expected[rule.column] = f"decimal scale {rule.scale}"
-            passed[rule.column] = isinstance(kind, T.DecimalType) and kind.scale == rule.scale
+            expected = f"decimal scale {rule.scale}"
+            ok = isinstance(kind, T.DecimalType) and kind.scale == rule.scale
         else:
-            expected[rule.column] = "string"
-            passed[rule.column] = isinstance(kind, T.StringType)
-        actual[rule.column] = kind.simpleString() if kind else "missing"
-
-    def fact(values: Mapping[str, str]) -> Column:
-        pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
+            expected, ok = "string", isinstance(kind, T.StringType)
+        actual = kind.simpleString() if kind else "missing"
+        facts[rule.column] = expected, actual, "success" if ok else "failed"
+    if not facts:
+        raise ValueError("no cast rules to check")
+    if not count_values:
+        rows = [(name, e, a, None, s) for name, (e, a, s) in facts.items()]
+        return df.sparkSession.createDataFrame(
+            rows,
+            "column_name string, expected_type string, actual_type string, n bigint, status string",
+        )
+
+    def fact(i: int) -> Column:
+        pairs = [F.lit(x) for name, values in facts.items() for x in (name, values[i])]
         return F.create_map(*pairs)[F.col("column_name")]
 
-    if not expected:
-        raise ValueError("no cast rules to check")
     counts = [
-        (name, F.lit(0).cast("long") if actual[name] == "missing" else F.count(col(name)))
-        for name in expected
+        (name, F.lit(0).cast("bigint") if actual == "missing" else F.count(col(name)))
+        for name, (_, actual, _) in facts.items()
     ]
-    status = {name: "success" if ok else "failed" for name, ok in passed.items()}
     return _report(df, counts).select(
         "column_name",
-        fact(expected).alias("expected_type"),
-        fact(actual).alias("actual_type"),
+        fact(0).alias("expected_type"),
+        fact(1).alias("actual_type"),
         "n",
-        fact(status).alias("status"),
+        fact(2).alias("status"),
     )
 
 

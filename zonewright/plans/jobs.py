@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from zonewright.functions.columns import col
 from zonewright.operators.casting import cast_columns
 from zonewright.operators.dictionary import (
     duplicate_keys,
@@ -16,11 +19,20 @@ from zonewright.operators.dictionary import (
     upsert_parts,
 )
 from zonewright.operators.masking import mask_columns, pii_swap
-from zonewright.operators.quality import assert_passed, check_types, reconcile
+from zonewright.operators.quality import (
+    assert_passed,
+    check_types,
+    compare_counts,
+    mask_origins,
+    non_null_counts,
+    observe_counts,
+    reconcile,
+    settle,
+)
 from zonewright.operators.scd2 import scd2_merge, scd2_open
 from zonewright.plans.spec import JobSpec
 from zonewright.sources import lookup_table
-from zonewright.sources.scratch import materialize
+from zonewright.sources.scratch import materialized
 from zonewright.sources.size import fits_broadcast
 from zonewright.sources.zones import read_zone, write_zone
 
@@ -57,45 +69,71 @@ def masked_frame(
     return cast_columns(mask_columns(df, spec.masking_cols, salt), spec.cast_rules, on_cast_error)
 
 
+def dictionary_batch(
+    raw: DataFrame,
+    spec: JobSpec,
+    as_of: dt.date | str,
+    salt: str | None = None,
+    on_cast_error: str = "raise",
+) -> DataFrame:
+    """The dictionary rows of a raw dataset.
+
+    With ``lookup_distinct`` repeats go before the masking, so only distinct values are
+    hashed and the hashes do not travel through the shuffle. Floating-point values are the
+    exception: 0.0 and -0.0 count as one value but differ as text.
+    """
+    values = raw.select(*[col(c) for c in spec.pii_cols])
+    floats = any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in values.schema)
+    if spec.lookup_distinct and not floats:
+        values = values.distinct()
+    named = {c.lower() for c in spec.pii_cols}
+    rules = [r for r in spec.cast_rules if r.column.lower() in named]
+    masked = cast_columns(mask_columns(values, spec.pii_cols, salt), rules, on_cast_error)
+    batch = lookup_projection(masked, spec.pii_cols, as_of)
+    return batch.distinct() if spec.lookup_distinct and floats else batch
+
+
 def update_dictionary(
-    spark: SparkSession, root: str, batch: DataFrame, spec: JobSpec, as_of: dt.date | str
+    spark: SparkSession, root: str, batch: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str
 ) -> None:
     """Merge a ``lookup_projection`` into the dictionary at ``root``."""
-    if spec.lookup_distinct:
-        batch = batch.distinct()
-    batch = materialize(batch)
-    stored = lookup_table.read_dictionary(spark, root)
-    if stored is None:
-        twice = duplicate_keys(batch, spec.pii_cols).first()
-        if twice:
-            raise ValueError(f"{twice['n']} batch rows match one lookup row")
-        first = lookup_first_run(batch, spec.pii_cols, as_of)
-        lookup_table.replace_dictionary(spark, root, first)
-        return
-    kept, new = upsert_parts(stored, batch, spec.pii_cols, as_of, fits_broadcast(batch))
-    # A stored row only changes when two value tuples share a key; else append the new rows.
-    if kept.where(F.col("__touched")).isEmpty():
-        lookup_table.append_dictionary(spark, root, new)
-    else:
-        rows = kept.drop("__touched").unionByName(new)
-        lookup_table.replace_dictionary(spark, root, rows)
+    with materialized(batch) as batch:
+        stored = lookup_table.read_dictionary(spark, root)
+        if stored is None:
+            twice = duplicate_keys(batch, pii_cols).first()
+            if twice:
+                raise ValueError(f"{twice['n']} batch rows match one lookup row")
+            first = lookup_first_run(batch, pii_cols, as_of)
+            lookup_table.replace_dictionary(spark, root, first)
+            return
+        kept, new = upsert_parts(stored, batch, pii_cols, as_of, fits_broadcast(batch))
+        # A stored row only changes when two tuples share a key; else just add the new rows.
+        if kept.where(F.col("__touched")).isEmpty():
+            lookup_table.append_dictionary(spark, root, new)
+        else:
+            rows = kept.drop("__touched").unionByName(new)
+            lookup_table.replace_dictionary(spark, root, rows)
 
 
 def update_history(
-    spark: SparkSession, root: str, batch: DataFrame, spec: JobSpec, as_of: dt.date | str
+    spark: SparkSession,
+    root: str,
+    batch: DataFrame,
+    keys: Sequence[str],
+    tracked: Sequence[str],
+    as_of: dt.date | str,
 ) -> None:
-    """Merge business keys and their PII values into the history at ``root``."""
-    batch = materialize(batch)
+    """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``."""
     current = lookup_table.read_current(spark, root)
     if current is None:
-        current = scd2_open(batch.limit(0), as_of)
-        small = False
-    else:
+        nothing = scd2_open(batch.limit(0), as_of)
+        merged = scd2_merge(nothing, batch, keys, tracked, as_of)
+        lookup_table.write_history(spark, root, merged)
+        return
+    with materialized(batch) as batch:
         small = fits_broadcast(batch)
-    merged = scd2_merge(
-        current, batch, spec.lookup_keys, spec.pii_cols, as_of, broadcast_batch=small
-    )
-    lookup_table.write_history(spark, root, merged)
+        merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=small)
+        lookup_table.write_history(spark, root, merged)
 
 
 def read_lookup(spark: SparkSession, spec: JobSpec) -> DataFrame | None:
@@ -123,11 +161,12 @@ def raw_to_staging(
     staged = pii_swap(masked, spec.masking_cols, spec.pii_cols, drop_raw)
     write_zone(staged, spec.staging, data_path, mode, spec.partition_cols)
     if spec.lookup_keys:
-        columns = list(dict.fromkeys([*spec.lookup_keys, *lookup_columns(spec.pii_cols)]))
-        update_history(spark, spec.lookup_path, masked.select(*columns), spec, as_of)
+        names = dict.fromkeys([*spec.lookup_keys, *lookup_columns(spec.pii_cols)])
+        batch = masked.select(*[col(c) for c in names])
+        update_history(spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of)
     elif spec.pii_cols:
-        batch = lookup_projection(masked, spec.pii_cols, as_of)
-        update_dictionary(spark, spec.lookup_path, batch, spec, as_of)
+        batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)
+        update_dictionary(spark, spec.lookup_path, batch, spec.pii_cols, as_of)
     return read_zone(spark, spec.staging, data_path)
 
 
@@ -138,11 +177,23 @@ def run_chain(
     as_of: dt.date | str,
     mode: str = "errorifexists",
 ) -> DataFrame:
-    """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report."""
-    ingest(spark, spec, data_path, mode)
-    assert_passed(validate_raw(spark, spec, data_path))
+    """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report.
+
+    The values of landing are counted while they are copied and those of raw once for both
+    comparisons, so each zone is read once for its data and raw and staging once more for
+    their counts.
+    """
+    landing, landing_counts = observe_counts(read_zone(spark, spec.landing, data_path))
+    write_zone(landing, spec.raw, data_path, mode)
+    raw_counts = settle(non_null_counts(read_zone(spark, spec.raw, data_path)))
+    assert_passed(compare_counts(landing_counts(), raw_counts))
+
     staged = raw_to_staging(spark, spec, data_path, as_of, mode)
-    assert_passed(validate_staging(spark, spec, data_path))
+    source = read_zone(spark, spec.staging_source, data_path)
+    if spec.staging_source != spec.raw:
+        raw_counts = non_null_counts(source)
+    origins = mask_origins(source, staged)
+    assert_passed(compare_counts(raw_counts, non_null_counts(staged), origins, False))
     if spec.cast_rules:
-        assert_passed(check_types(staged, spec.cast_rules))
+        assert_passed(check_types(staged, spec.cast_rules, count_values=False))
     return staged

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a scratch table and read it back: computed once, survives the
-    loss of executors, and has a size that can be measured."""
-    path = scratch_dir(df.sparkSession)
+@contextmanager
+def materialized(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` written once as a scratch table: it is computed once, outlives lost executors
+    and has a size that can be measured. The table is deleted at the end of the block."""
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
