@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from zonewright import (
@@ -14,7 +14,7 @@ from zonewright import (
     lookup_upsert,
     mask_columns,
 )
-from zonewright.operators.dictionary import duplicate_keys
+from zonewright.operators.dictionary import duplicate_keys, merge_into_table
 
 DAY_1, DAY_2, DAY_3 = "2024-01-01", "2024-02-01", "2024-03-01"
 K = ["c_name", "c_mktsegment"]
@@ -174,3 +174,65 @@ def test_a_hot_value_shuffles_as_one_row_per_task(spark, plan):
     text = plan(lookup_upsert(stored, batch, ["a", "b"], DAY_2))
     assert "partial_count(1)" in text
     assert "Python" not in text and "NestedLoop" not in text
+
+
+def test_null_keys_go_round_the_shuffled_join(spark, plan, tmp_path):
+    batch = pairs(spark, [("x", None)] * 50 + [("x", "y")])
+    stored = lookup_bootstrap(batch)
+    stored.write.parquet(str(tmp_path / "l"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = lookup_upsert(
+            spark.read.parquet(str(tmp_path / "l")), batch, ["a", "b"], DAY_2
+        )
+        text = plan(merged)
+        assert merged.count() == 101
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    outer = text.split("SortMergeJoin")[1]
+    assert "isnotnull(concat(a" in outer
+    assert "isnull(concat(a" in text
+
+
+def test_a_hot_value_is_split_over_tasks(spark, plan):
+    """A third of the batch repeats one new value, a third of the table another one."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+
+    def values(hot):
+        value = F.when(F.col("id") % 3 == 0, hot).otherwise(F.col("id").cast("string"))
+        return spark.range(0, 60_000, 1, 8).select(value.alias("a"))
+
+    batch = project(values("hot"), ["a"], DAY_2)
+    stored = lookup_bootstrap(project(values("old"), ["a"], DAY_1))
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        merged = lookup_upsert(stored, batch, ["a"], DAY_2)
+        rows = merged.collect()  # the plan below is the one that ran
+        text = plan(merged).split("Initial Plan")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.a == "hot" for r in rows) == 20_000
+    assert len(rows) == 80_000
+    assert text.count("SortMergeJoin(skew=true)") == 2
+
+
+def test_merge_statement_reaches_the_catalog(spark, tmp_path):
+    """No table here supports MERGE; a parquet one refuses it, after all names are resolved."""
+    batch = pairs(spark, [("x", "y")])
+    lookup_bootstrap(batch).write.option("path", str(tmp_path / "t")).saveAsTable("merge_target")
+    try:
+        with pytest.raises(Exception, match="does not support MERGE INTO TABLE"):
+            merge_into_table(batch, "merge_target", ["a", "b"], DAY_2)
+        with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):
+            merge_into_table(batch.withColumnsRenamed({"a": "q", "masked_a": "masked_q"}), "merge_target", ["q", "b"], DAY_2)
+    finally:
+        spark.sql("drop table merge_target")

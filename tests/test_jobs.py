@@ -172,6 +172,26 @@ def test_history_over_three_runs(run, tmp_path, monkeypatch, small):
     assert len(list((root / "v=2" / "current=false").glob("*.parquet"))) == 1
 
 
+def test_history_takes_the_last_row_of_a_key(run):
+    keyed = {"lookup_keys": ("k",), "pii_cols": ("a",)}
+    rows = [(1, "a", "2"), (1, "z", "1"), (2, "b", "1")]
+    with pytest.raises(PySparkException, match="more than once"):
+        run(rows, DAY_1, **keyed)
+    lookup = run(rows, DAY_1, lookup_order_by=("b",), **keyed)
+    assert lookup.columns == ["k", "a", "masked_a", "effectiveDate", "updateDate", "current"]
+    assert sorted(lookup.select("k", "a").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_distinct_values_are_hashed_after_the_shuffle(spark, spec, plan):
+    df = spark.createDataFrame([("x", 0.0), ("x", 0.0), ("y", -0.0)], "a string, x double")
+    names = spec(masking_cols=("a",), pii_cols=("a",), lookup_distinct=True, cast_rules=())
+    above, below = plan(jobs.dictionary_batch(df, names, DAY_1)).split("Exchange")
+    assert "masked_a" in above and "masked_a" not in below
+    # 0.0 and -0.0 group together, but are two texts and so two masks.
+    zeros = spec(masking_cols=("x",), pii_cols=("x",), lookup_distinct=True, cast_rules=())
+    assert jobs.dictionary_batch(df, zeros, DAY_1).select("masked_x").distinct().count() == 2
+
+
 def test_unfinished_writes_are_not_seen(spark, run, tmp_path):
     before = run([(1, "a", "x")], DAY_1, lookup_keys=("k",)).collect()
     root = tmp_path / "lookup"

@@ -10,6 +10,7 @@ from zonewright import (
     pii_swap,
     reconcile,
 )
+from zonewright.operators.quality import observe_counts
 
 
 def lines(report):
@@ -113,6 +114,20 @@ def test_one_pass_over_a_table(customer, plan):
     assert text.count("Exchange") == 1  # one row per task
 
 
+def test_counts_taken_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), None)], "d double, s string")
+    observed, report = observe_counts(df)
+    observed.write.parquet(str(tmp_path / "t"))
+    assert dict(report().collect()) == counts(df) == {"*": 2, "d": 1, "s": 1}
+
+
+def test_type_checks_without_reading(spark, plan):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    report = check_types(df, ["o_orderkey:StringType:x"], count_values=False)
+    assert lines(report) == {"o_orderkey": ("string", "bigint", None, "failed")}
+    assert "FileScan" not in plan(report)
+
+
 @pytest.fixture
 def footers(spark):
     """A session that answers plain counts from parquet footers."""

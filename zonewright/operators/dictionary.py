@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from zonewright.functions.columns import col, masked_name, quote, require
 
 _KEY = "__key"
+_HASH = "__hash"
 _TOUCHED = "__touched"
 
 
@@ -34,6 +35,16 @@ def key_of(cols: Sequence[str]) -> Column:
     return F.concat(*[col(c).cast("string") for c in cols])
 
 
+def _keyed(df: DataFrame, pii_cols: Sequence[str]) -> DataFrame:
+    """With the merge key and its hash, which the joins compare first.
+
+    Sorting by a number is cheap where sorting long text is not. And since the batch keys are
+    grouped by the key alone, both sides of a join get a plain exchange, the form in which
+    adaptive execution can split a value that holds much of the lookup table.
+    """
+    return df.withColumn(_KEY, key_of(pii_cols)).withColumn(_HASH, F.xxhash64(_KEY))
+
+
 def lookup_columns(pii_cols: Sequence[str]) -> list[str]:
     return [name for c in pii_cols for name in (c, masked_name(c))]
 
@@ -76,6 +87,16 @@ def lookup_first_run(
     return lookup_bootstrap(batch).unionByName(again)
 
 
+def touched(new_masks: Sequence[Column], stored_masks: Sequence[Column]) -> Column:
+    """Whether a matched stored row gets an ``updateDate``: some mask differs.
+
+    AND binds tighter than OR here, so ``current`` guards the first column only.
+    """
+    differs = [new != old for new, old in zip(new_masks, stored_masks, strict=True)]
+    first = F.col("current").cast("boolean") & differs[0]
+    return reduce(lambda a, b: a | b, differs[1:], first)
+
+
 def upsert_parts(
     lookup: DataFrame,
     batch: DataFrame,
@@ -91,7 +112,7 @@ def upsert_parts(
     then never shuffled.
     """
     masks = [masked_name(c) for c in pii_cols]
-    rows = batch.withColumn(_KEY, key_of(pii_cols))
+    rows = _keyed(batch, pii_cols)
     keys = (
         rows.where(F.col(_KEY).isNotNull())
         .groupBy(F.col(_KEY).alias("b_key"))
@@ -99,25 +120,18 @@ def upsert_parts(
             F.count(F.lit(1)).alias("b_rows"),
             F.max(F.struct(*[col(m) for m in masks])).alias("b_masks"),
         )
+        .withColumn("b_hash", F.xxhash64("b_key"))
     )
     small = F.broadcast(keys) if broadcast_batch else keys
+    same_key = (F.col(_HASH) == F.col("b_hash")) & (F.col(_KEY) == F.col("b_key"))
 
-    def differs(mask: str) -> Column:
-        return F.col(f"b_masks.{quote(mask)}") != col(mask)
-
-    # AND binds tighter than OR here: `current` guards the first column only.
-    touched = reduce(
-        lambda a, b: a | b,
-        [differs(m) for m in masks[1:]],
-        F.col("current").cast("boolean") & differs(masks[0]),
-    )
     matched = F.col(_KEY).eqNullSafe(F.col("b_key"))
-    marked = lookup.withColumn(_KEY, key_of(pii_cols))
+    marked = _keyed(lookup, pii_cols)
     # Rows without a complete key match nothing; left in a shuffled join they would all
     # meet in one task, so they go round it.
     complete = marked if broadcast_batch else marked.where(F.col(_KEY).isNotNull())
     stored = (
-        complete.join(small, F.col(_KEY) == F.col("b_key"), "left")
+        complete.join(small, same_key, "left")
         # Names a column of both sides, so it is tested on matched rows only.
         .where(
             require(
@@ -125,7 +139,13 @@ def upsert_parts(
                 "several batch rows match one lookup row",
             )
         )
-        .withColumn(_TOUCHED, F.coalesce(touched, F.lit(False)))
+        .withColumn(
+            _TOUCHED,
+            F.coalesce(
+                touched([F.col(f"b_masks.{quote(m)}") for m in masks], [col(m) for m in masks]),
+                F.lit(False),
+            ),
+        )
         .withColumn(
             "updateDate",
             F.when(F.col(_TOUCHED), F.lit(str(as_of))).otherwise(F.col("updateDate")),
@@ -134,15 +154,13 @@ def upsert_parts(
     )
     if not broadcast_batch:
         keyless = marked.where(F.col(_KEY).isNull()).withColumn(_TOUCHED, F.lit(False))
-        stored = stored.unionByName(keyless.drop(_KEY))
+        stored = stored.unionByName(keyless.drop(_KEY, _HASH))
 
-    known = lookup.select(key_of(pii_cols).alias(_KEY))
+    known = marked.select(_HASH, _KEY)
     if broadcast_batch:
         # At most one row per batch key is left, so this side is as small as the batch.
-        known = F.broadcast(
-            known.join(small, F.col(_KEY) == F.col("b_key"), "left_semi").distinct()
-        )
-    unseen = rows.where(F.col(_KEY).isNotNull()).join(known, _KEY, "left_anti")
+        known = F.broadcast(known.join(small, same_key, "left_semi").distinct())
+    unseen = rows.where(F.col(_KEY).isNotNull()).join(known, [_HASH, _KEY], "left_anti")
     new = _inserted(
         unseen.unionByName(rows.where(F.col(_KEY).isNull())), pii_cols, as_of
     )
@@ -161,6 +179,36 @@ def lookup_upsert(
     return stored.drop(_TOUCHED).unionByName(new)
 
 
+def merge_into_table(
+    batch: DataFrame, table: str, pii_cols: Sequence[str], as_of: dt.date | str
+) -> None:
+    """``lookup_upsert`` as one MERGE, for a table whose catalog supports row-level changes.
+
+    The table format then decides which files to rewrite, commits at once, and is the one to
+    refuse ambiguous matches.
+    """
+    columns = lookup_columns(pii_cols)
+    masks = [masked_name(c) for c in pii_cols]
+    staged = batch.select(
+        key_of(pii_cols).alias("mergeKey"), *[col(c).alias(f"new_{c}") for c in columns]
+    )
+    (
+        staged.mergeInto(table, key_of(pii_cols) == F.col("mergeKey"))
+        .whenMatched(touched([col(f"new_{m}") for m in masks], [col(m) for m in masks]))
+        .update({"updateDate": F.lit(str(as_of))})
+        .whenNotMatched()
+        .insert(
+            {quote(c): col(f"new_{c}") for c in columns}
+            | {
+                "effectiveDate": as_date(as_of),
+                "updateDate": F.lit(None).cast("string"),
+                "current": F.lit("true"),
+            }
+        )
+        .merge()
+    )
+
+
 def duplicate_keys(batch: DataFrame, pii_cols: Sequence[str]) -> DataFrame:
     """Complete keys that occur more than once, with their counts."""
     key = key_of(pii_cols)

@@ -29,7 +29,7 @@ from zonewright.operators.quality import (
     reconcile,
     settle,
 )
-from zonewright.operators.scd2 import scd2_merge, scd2_open
+from zonewright.operators.scd2 import latest_per_key, scd2_merge, scd2_open
 from zonewright.plans.spec import JobSpec
 from zonewright.sources import lookup_table
 from zonewright.sources.scratch import materialized
@@ -63,10 +63,16 @@ def validate_staging(spark: SparkSession, spec: JobSpec, data_path: str) -> Data
 
 
 def masked_frame(
-    df: DataFrame, spec: JobSpec, salt: str | None = None, on_cast_error: str = "raise"
+    df: DataFrame,
+    spec: JobSpec,
+    masking_cols: Sequence[str],
+    salt: str | None = None,
+    on_cast_error: str = "raise",
 ) -> DataFrame:
-    """Masks, then casts: a hash is always that of the raw value."""
-    return cast_columns(mask_columns(df, spec.masking_cols, salt), spec.cast_rules, on_cast_error)
+    """Masks, then the casts of the columns at hand: a hash is always that of the raw value."""
+    present = {c.lower() for c in df.columns}
+    rules = [r for r in spec.cast_rules if r.column.lower() in present]
+    return cast_columns(mask_columns(df, masking_cols, salt), rules, on_cast_error)
 
 
 def dictionary_batch(
@@ -86,13 +92,27 @@ def dictionary_batch(
     floats = any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in values.schema)
     if spec.lookup_distinct and not floats:
         values = values.distinct()
-    named = {c.lower() for c in spec.pii_cols}
-    rules = [r for r in spec.cast_rules if r.column.lower() in named]
-    masked = cast_columns(mask_columns(values, spec.pii_cols, salt), rules, on_cast_error)
+    masked = masked_frame(values, spec, spec.pii_cols, salt, on_cast_error)
     batch = lookup_projection(masked, spec.pii_cols, as_of)
     return batch.distinct() if spec.lookup_distinct and floats else batch
 
 
+def history_batch(
+    raw: DataFrame, spec: JobSpec, salt: str | None = None, on_cast_error: str = "raise"
+) -> DataFrame:
+    """Business keys with their PII values and masks, one row per key where the spec says
+    by which columns the last one is told."""
+    names = list(dict.fromkeys([*spec.lookup_keys, *spec.pii_cols]))
+    values = raw.select(*[col(c) for c in dict.fromkeys([*names, *spec.lookup_order_by])])
+    if spec.lookup_order_by:
+        values = latest_per_key(values, spec.lookup_keys, spec.lookup_order_by)
+    masked = masked_frame(
+        values.select(*[col(c) for c in names]), spec, spec.pii_cols, salt, on_cast_error
+    )
+    columns = dict.fromkeys([*spec.lookup_keys, *lookup_columns(spec.pii_cols)])
+    return masked.select(*[col(c) for c in columns])
+
+
 def update_dictionary(
     spark: SparkSession, root: str, batch: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str
 ) -> None:
@@ -157,12 +177,11 @@ def raw_to_staging(
     The lookup comes last, so a failed staging write leaves it as it was.
     """
     raw = read_zone(spark, spec.staging_source, data_path)
-    masked = masked_frame(raw, spec, salt, on_cast_error)
+    masked = masked_frame(raw, spec, spec.masking_cols, salt, on_cast_error)
     staged = pii_swap(masked, spec.masking_cols, spec.pii_cols, drop_raw)
     write_zone(staged, spec.staging, data_path, mode, spec.partition_cols)
     if spec.lookup_keys:
-        names = dict.fromkeys([*spec.lookup_keys, *lookup_columns(spec.pii_cols)])
-        batch = masked.select(*[col(c) for c in names])
+        batch = history_batch(raw, spec, salt, on_cast_error)
         update_history(spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of)
     elif spec.pii_cols:
         batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)

@@ -84,7 +84,8 @@ class JobSpec:
     lookup_path: str | None = None
     lookup_keys: Sequence[str] = ()
     mask_source: Zone | None = None  # where staging reads from; the raw zone unless set
-    lookup_distinct: bool = False  # drop repeated PII values before the dictionary upsert
+    lookup_distinct: bool = False  # dictionary: drop repeated PII values of a batch
+    lookup_order_by: Sequence[str] = ()  # history: columns telling the last row of a key
 
     def __post_init__(self) -> None:
         unmasked = [c for c in self.pii_cols if c not in self.masking_cols]
