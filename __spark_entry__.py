@@ -187,23 +187,24 @@ def lookup_first_run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_first_run(lookup_projection(mask_columns(orders, cols), cols, DAY_1), cols, DAY_1)
 
 
-def _buyers(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
-    """Customers with an order up to 1995 or after; the late state renames the segment of
-    those in debt."""
-    orders = table(spark, sf_dir, "orders")
+def _buyers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers with an order up to 1995, and those with one after; the segment of the
+    latter has a new name where they are in debt."""
+    customer = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     in_time = F.col("o_orderdate") < "1996-01-01"
-    buying = orders.where(~in_time if late else in_time).select(F.col("o_custkey").alias("c_custkey"))
-    customer = table(spark, sf_dir, "customer").join(buying, "c_custkey", "left_semi")
-    if late:
-        segment = F.when(F.col("c_acctbal") < 0, "CHANGED").otherwise(F.col("c_mktsegment"))
-        customer = customer.withColumn("c_mktsegment", segment)
-    return mask_columns(customer, NAMES)
+    early = customer.join(orders.where(in_time), "c_custkey", "left_semi")
+    segment = F.when(F.col("c_acctbal") < 0, "CHANGED").otherwise(F.col("c_mktsegment"))
+    late = customer.join(orders.where(~in_time), "c_custkey", "left_semi").withColumn(
+        "c_mktsegment", segment
+    )
+    return mask_columns(early, NAMES), mask_columns(late, NAMES)
 
 
 def lookup_upsert_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = lookup_bootstrap(lookup_projection(_buyers(spark, sf_dir, False), NAMES, DAY_1))
-    batch = lookup_projection(_buyers(spark, sf_dir, True), NAMES, DAY_2)
-    return lookup_upsert(stored, batch, NAMES, DAY_2)
+    early, late = _buyers(spark, sf_dir)
+    stored = lookup_bootstrap(lookup_projection(early, NAMES, DAY_1))
+    return lookup_upsert(stored, lookup_projection(late, NAMES, DAY_2), NAMES, DAY_2)
 
 
 # -- the type-2 history ----------------------------------------------------------------
@@ -212,22 +213,17 @@ KEYS = ["o_custkey"]
 TRACKED = ["o_orderstatus", "o_orderpriority"]
 
 
-def _order_state(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
-    """Per customer, status and priority of the last order in a span of days."""
-    orders = table(spark, sf_dir, "orders").where(
-        (F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)
-    )
-    last = latest_per_key(
-        orders.select("o_custkey", "o_orderdate", "o_orderkey", *TRACKED),
-        KEYS,
-        ["o_orderdate", "o_orderkey"],
-    )
-    return mask_columns(last.select(*KEYS, *TRACKED), ["o_orderstatus"])
-
-
 def _order_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    days = ["1900-01-01", "1996-01-01", "1999-01-01", "2100-01-01"]
-    return [_order_state(spark, sf_dir, a, b) for a, b in zip(days, days[1:], strict=False)]
+    """Per customer, status and priority of the last order, in each of three spans of days."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", *TRACKED)
+    date = F.col("o_orderdate")
+    spans = [
+        date < "1996-01-01",
+        (date >= "1996-01-01") & (date < "1999-01-01"),
+        date >= "1999-01-01",
+    ]
+    last = [latest_per_key(orders.where(span), KEYS, ["o_orderdate", "o_orderkey"]) for span in spans]
+    return [mask_columns(df.select(*KEYS, *TRACKED), ["o_orderstatus"]) for df in last]
 
 
 def detect_changes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

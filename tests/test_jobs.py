@@ -82,6 +82,47 @@ def test_csv_to_parquet(spark, spec, tmp_path, customer):
     assert staged.count() == 150
 
 
+def test_staging_as_csv(spark, spec, tmp_path):
+    staged = run_chain(spark, spec(staging=Zone(str(tmp_path / "s"), "csv")), "customer.parquet", DAY_1)
+    assert staged.columns[-2:] == ["c_name", "masked_c_mktsegment"]
+    assert dict(staged.dtypes)["c_acctbal"] == "decimal(10,2)"
+    assert staged.where(F.length("c_name") == 64).count() == 150
+
+
+def test_partition_values_keep_their_type(spark, spec):
+    job = spec(
+        cast_rules=("c_nationkey:StringType:IntegerType",), partition_cols=("c_nationkey",)
+    )
+    staged = run_chain(spark, job, "customer.parquet", DAY_1)
+    assert dict(staged.dtypes)["c_nationkey"] == "string"
+
+
+def test_rules_for_unknown_columns_raise(spark, spec):
+    job = spec(raw=Zone(SF), cast_rules=("nothing:StringType:IntegerType",))
+    with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):
+        raw_to_staging(spark, job, "customer.parquet", DAY_1)
+
+
+def test_casts_reach_the_lookup(spark, spec):
+    job = spec(
+        raw=Zone(SF),
+        masking_cols=("c_acctbal",),
+        pii_cols=("c_acctbal",),
+        cast_rules=("c_acctbal:DecimalType:DoubleType:1", "c_custkey:StringType:LongType"),
+        lookup_keys=("c_custkey",),
+    )
+    raw_to_staging(spark, job, "customer.parquet", DAY_1)
+    lookup = read_lookup(spark, job)
+    assert lookup.dtypes[:3] == [
+        ("c_custkey", "string"),
+        ("c_acctbal", "decimal(10,1)"),
+        ("masked_c_acctbal", "string"),
+    ]
+    raw = spark.read.parquet(f"{SF}/customer.parquet").first()
+    row = lookup.where(F.col("c_custkey") == str(raw["c_custkey"])).first()
+    assert row["masked_c_acctbal"] == sha(str(raw["c_acctbal"]))
+
+
 def test_a_bad_report_stops_the_chain(spark, spec, tmp_path):
     df = spark.createDataFrame([("a", ["x"]), ("b", None)], "c_name string, l array<string>")
     write_zone(df, Zone(str(tmp_path / "landing")), "t")

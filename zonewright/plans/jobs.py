@@ -41,8 +41,17 @@ def ingest(
     spark: SparkSession, spec: JobSpec, data_path: str, mode: str = "errorifexists"
 ) -> DataFrame:
     """Copy a dataset from landing to raw, converting the format if the zones differ."""
-    write_zone(read_zone(spark, spec.landing, data_path), spec.raw, data_path, mode)
-    return read_zone(spark, spec.raw, data_path)
+    landing = read_zone(spark, spec.landing, data_path)
+    write_zone(landing, spec.raw, data_path, mode)
+    return _read_raw(spark, spec, data_path, landing)
+
+
+def _read_raw(
+    spark: SparkSession, spec: JobSpec, data_path: str, landing: DataFrame
+) -> DataFrame:
+    """The raw copy. Parquet has the schema just written; CSV is text, as for any reader."""
+    schema = landing.schema if spec.raw.fmt == "parquet" else None
+    return read_zone(spark, spec.raw, data_path, schema)
 
 
 def validate_raw(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
@@ -62,17 +71,14 @@ def validate_staging(spark: SparkSession, spec: JobSpec, data_path: str) -> Data
     )
 
 
-def masked_frame(
-    df: DataFrame,
-    spec: JobSpec,
-    masking_cols: Sequence[str],
-    salt: str | None = None,
-    on_cast_error: str = "raise",
+def lookup_values(
+    values: DataFrame, spec: JobSpec, salt: str | None, on_cast_error: str
 ) -> DataFrame:
-    """Masks, then the casts of the columns at hand: a hash is always that of the raw value."""
-    present = {c.lower() for c in df.columns}
+    """Masks beside the PII values, and the casts of the columns at hand, as in staging."""
+    masked = mask_columns(values, spec.pii_cols, salt)
+    present = {c.lower() for c in masked.columns}
     rules = [r for r in spec.cast_rules if r.column.lower() in present]
-    return cast_columns(mask_columns(df, masking_cols, salt), rules, on_cast_error)
+    return cast_columns(masked, rules, on_cast_error)
 
 
 def dictionary_batch(
@@ -92,7 +98,7 @@ def dictionary_batch(
     floats = any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in values.schema)
     if spec.lookup_distinct and not floats:
         values = values.distinct()
-    masked = masked_frame(values, spec, spec.pii_cols, salt, on_cast_error)
+    masked = lookup_values(values, spec, salt, on_cast_error)
     batch = lookup_projection(masked, spec.pii_cols, as_of)
     return batch.distinct() if spec.lookup_distinct and floats else batch
 
@@ -106,9 +112,7 @@ def history_batch(
     values = raw.select(*[col(c) for c in dict.fromkeys([*names, *spec.lookup_order_by])])
     if spec.lookup_order_by:
         values = latest_per_key(values, spec.lookup_keys, spec.lookup_order_by)
-    masked = masked_frame(
-        values.select(*[col(c) for c in names]), spec, spec.pii_cols, salt, on_cast_error
-    )
+    masked = lookup_values(values.select(*[col(c) for c in names]), spec, salt, on_cast_error)
     columns = dict.fromkeys([*spec.lookup_keys, *lookup_columns(spec.pii_cols)])
     return masked.select(*[col(c) for c in columns])
 
@@ -177,7 +181,24 @@ def raw_to_staging(
     The lookup comes last, so a failed staging write leaves it as it was.
     """
     raw = read_zone(spark, spec.staging_source, data_path)
-    masked = masked_frame(raw, spec, spec.masking_cols, salt, on_cast_error)
+    return stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error)
+
+
+def stage(
+    raw: DataFrame,
+    spec: JobSpec,
+    data_path: str,
+    as_of: dt.date | str,
+    mode: str = "errorifexists",
+    drop_raw: bool = False,
+    salt: str | None = None,
+    on_cast_error: str = "raise",
+) -> DataFrame:
+    """``raw_to_staging`` for a dataset that has been opened already."""
+    spark = raw.sparkSession
+    # Masks before casts: a hash is always that of the raw value.
+    masked = mask_columns(raw, spec.masking_cols, salt)
+    masked = cast_columns(masked, spec.cast_rules, on_cast_error)
     staged = pii_swap(masked, spec.masking_cols, spec.pii_cols, drop_raw)
     write_zone(staged, spec.staging, data_path, mode, spec.partition_cols)
     if spec.lookup_keys:
@@ -186,7 +207,8 @@ def raw_to_staging(
     elif spec.pii_cols:
         batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)
         update_dictionary(spark, spec.lookup_path, batch, spec.pii_cols, as_of)
-    return read_zone(spark, spec.staging, data_path)
+    # With the schema as written: partition values keep their type, CSV columns their names.
+    return read_zone(spark, spec.staging, data_path, staged.schema)
 
 
 def run_chain(
@@ -204,14 +226,15 @@ def run_chain(
     """
     landing, landing_counts = observe_counts(read_zone(spark, spec.landing, data_path))
     write_zone(landing, spec.raw, data_path, mode)
-    raw_counts = settle(non_null_counts(read_zone(spark, spec.raw, data_path)))
+    raw = _read_raw(spark, spec, data_path, landing)
+    raw_counts = settle(non_null_counts(raw))
     assert_passed(compare_counts(landing_counts(), raw_counts))
 
-    staged = raw_to_staging(spark, spec, data_path, as_of, mode)
-    source = read_zone(spark, spec.staging_source, data_path)
     if spec.staging_source != spec.raw:
-        raw_counts = non_null_counts(source)
-    origins = mask_origins(source, staged)
+        raw = read_zone(spark, spec.staging_source, data_path)
+        raw_counts = non_null_counts(raw)
+    staged = stage(raw, spec, data_path, as_of, mode)
+    origins = mask_origins(raw, staged)
     assert_passed(compare_counts(raw_counts, non_null_counts(staged), origins, False))
     if spec.cast_rules:
         assert_passed(check_types(staged, spec.cast_rules, count_values=False))
