@@ -182,7 +182,9 @@ def test_dictionary_appends_then_starts_a_generation(run, tmp_path, monkeypatch,
     assert (root / "gen=1" / "add=0" / "_SUCCESS").exists()
 
 
-def test_dictionary_repeats_raise_unless_dropped(run):
+@pytest.mark.parametrize("small", [True, False])
+def test_dictionary_repeats_raise_unless_dropped(run, monkeypatch, small):
+    monkeypatch.setattr(jobs, "fits_broadcast", lambda df: small)
     rows = [(1, "x", "y"), (2, "x", "y")]
     with pytest.raises(ValueError, match="match one lookup row"):
         run(rows, DAY_1)

@@ -34,6 +34,9 @@ def test_same_rows(spark, db, name):
     got = Counter(tuple(r) for r in df.select(columns).collect())
     assert got == Counter(tuple(r[i] for i in order) for r in want.fetchall())
     assert got
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert slow not in text
 
 
 def test_entry(spark):

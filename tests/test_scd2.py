@@ -136,6 +136,15 @@ def test_duplicate_keys_in_the_batch(spark, broadcast):
     ]
 
 
+@BOTH
+def test_rows_of_unknown_status_are_kept(spark, broadcast):
+    stored = scd2_open(spark.createDataFrame([(1, "a")], "k int, v string"), DAY_1)
+    stored = stored.withColumn("current", F.lit(None).cast("boolean"))
+    batch = spark.createDataFrame([(1, "b")], "k int, v string")
+    merged = scd2_merge(stored, batch, ["k"], ["v"], DAY_2, broadcast_batch=broadcast)
+    assert sorted(merged.select("v", F.col("current").isNull()).collect()) == [("a", True), ("b", False)]
+
+
 def test_two_open_versions_of_one_key_are_an_error(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     batch = spark.createDataFrame([(2, "c")], "k int, v string")

@@ -189,7 +189,7 @@ def scd2_merge(
     """
     if order_by:
         batch = latest_per_key(batch, keys, order_by)
-    history = lookup.where(~F.col("current"))
     current = lookup.where(F.col("current"))
+    history = lookup.where(~F.coalesce(F.col("current"), F.lit(False)))
     merge = _merge_broadcast if broadcast_batch else _merge_shuffled
     return history.unionByName(merge(current, batch, keys, tracked, as_of))
