@@ -97,6 +97,23 @@ def test_partition_values_keep_their_type(spark, spec):
     assert dict(staged.dtypes)["c_nationkey"] == "string"
 
 
+def test_names_in_another_case(spark, spec):
+    job = spec(
+        masking_cols=("C_Name", "C_MktSegment"),
+        pii_cols=("C_Name",),
+        cast_rules=("C_AcctBal:DecimalType:DoubleType:2",),
+    )
+    staged = run_chain(spark, job, "customer.parquet", DAY_1)
+    assert staged.columns == [
+        "c_custkey",
+        "c_nationkey",
+        "c_acctbal",
+        "c_mktsegment",
+        "C_Name",
+        "masked_C_MktSegment",
+    ]
+
+
 def test_rules_for_unknown_columns_raise(spark, spec):
     job = spec(raw=Zone(SF), cast_rules=("nothing:StringType:IntegerType",))
     with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):

@@ -93,3 +93,16 @@ def test_masking_reads_only_what_is_asked_for(customer, plan):
     text = plan(mask_columns(customer, ["c_name"]).select("masked_c_name"))
     assert "ReadSchema: struct<c_name:string>" in text
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_names_are_compared_as_the_session_does(spark):
+    df = spark.createDataFrame([("a", "b")], "Name string, Town string")
+    swapped = pii_swap(mask_columns(df, ["name", "name"]), ["name", "name"], ["NAME"])
+    assert swapped.columns == ["Town", "name"]
+    assert swapped.first()["name"] == sha("a")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        with pytest.raises(ValueError, match="without a mask"):
+            pii_swap(mask_columns(df, ["Name"]), ["Name"], ["name"])
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")

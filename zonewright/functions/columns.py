@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,12 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+def name_folding(df: DataFrame) -> Callable[[str], str]:
+    """How the session compares column names: as they are, or without regard to case."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return str if exact else str.lower
+
+
 def masked_name(name: str) -> str:
     return MASK_PREFIX + name
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewright.functions.columns import col
+from zonewright.functions.columns import col, name_folding
 from zonewright.plans.spec import CastRule, as_rules
 
 
@@ -22,19 +22,22 @@ def cast_columns(
     """
     if on_error not in ("raise", "null"):
         raise ValueError(f"on_error must be 'raise' or 'null', not {on_error!r}")
+    fold = name_folding(df)
+    names = {fold(c): c for c in df.columns}
     result: dict[str, Column] = {}
     for rule in as_rules(rules):
-        value = result.get(rule.column, col(rule.column))
+        name = names.get(fold(rule.column), rule.column)
+        value = result.get(name, col(name))
         if rule.kind == "array":
             # A NULL array becomes '', NULL elements are left out, commas are not escaped.
-            result[rule.column] = F.concat_ws(",", value)
+            result[name] = F.concat_ws(",", value)
         else:
             target = (
                 T.DecimalType(rule.precision, rule.scale)
                 if rule.kind == "decimal"
                 else T.StringType()
             )
-            result[rule.column] = (
+            result[name] = (
                 value.cast(target) if on_error == "raise" else value.try_cast(target)
             )
     return df.withColumns(result)

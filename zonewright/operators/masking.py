@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from zonewright.functions.columns import col, masked_name, sha256_hex
+from zonewright.functions.columns import col, masked_name, name_folding, sha256_hex
 
 
 def mask_columns(df: DataFrame, columns: Sequence[str], salt: str | None = None) -> DataFrame:
@@ -31,12 +31,15 @@ def pii_swap(
     Columns that are masked but not PII keep both forms unless ``drop_raw``. The masked
     columns come last, in ``masking_cols`` order.
     """
-    unmasked = [c for c in pii_cols if c not in masking_cols]
-    if unmasked:
-        raise ValueError(f"PII columns without a mask: {unmasked}")
-    gone = set(masking_cols if drop_raw else pii_cols) | {masked_name(c) for c in masking_cols}
-    kept = [col(c) for c in df.columns if c not in gone]
+    fold = name_folding(df)
+    pii = {fold(c) for c in pii_cols}
+    masking = {fold(c): c for c in masking_cols}
+    if not pii <= masking.keys():
+        raise ValueError(f"PII columns without a mask: {sorted(pii - masking.keys())}")
+    gone = set(masking if drop_raw else pii) | {fold(masked_name(c)) for c in masking.values()}
+    kept = [col(c) for c in df.columns if fold(c) not in gone]
     masks = [
-        col(masked_name(c)).alias(c if c in pii_cols else masked_name(c)) for c in masking_cols
+        col(masked_name(c)).alias(c if key in pii else masked_name(c))
+        for key, c in masking.items()
     ]
     return df.select(*kept, *masks)

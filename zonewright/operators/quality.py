@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewright.functions.columns import MASK_PREFIX, col
+from zonewright.functions.columns import MASK_PREFIX, col, name_folding
 from zonewright.plans.spec import CastRule, as_rules
 
 ROWS = "*"  # report line holding the number of rows
@@ -90,12 +90,17 @@ def settle(report: DataFrame) -> DataFrame:
 
 
 def mask_origins(source: DataFrame, target: DataFrame) -> dict[str, str]:
-    """The masked columns of ``target`` whose values are counted against ``x`` of ``source``."""
-    return {
-        c: c[len(MASK_PREFIX) :]
-        for c in target.columns
-        if c.startswith(MASK_PREFIX) and c not in source.columns
-    }
+    """For columns of ``target``, the differently named one of ``source`` they come from."""
+    fold = name_folding(source)
+    names = {fold(c): c for c in source.columns}
+    origins = {}
+    for c in target.columns:
+        if fold(c) in names:
+            origins[c] = names[fold(c)]
+        elif c.startswith(MASK_PREFIX):
+            raw = c[len(MASK_PREFIX) :]
+            origins[c] = names.get(fold(raw), raw)
+    return {c: raw for c, raw in origins.items() if c != raw}
 
 
 def reconcile(
@@ -162,10 +167,11 @@ def check_types(
     odd row cannot hide. ``n`` counts the non-null values that carry it; without
     ``count_values`` it is NULL and the data is not read.
     """
-    by_name = {f.name.lower(): f.dataType for f in df.schema.fields}
+    fold = name_folding(df)
+    by_name = {fold(f.name): f.dataType for f in df.schema.fields}
     facts: dict[str, tuple[str, str, str]] = {}
     for rule in as_rules(rules):  # the last rule on a column decides its type
-        kind = by_name.get(rule.column.lower())
+        kind = by_name.get(fold(rule.column))
         if rule.kind == "decimal":
             expected = f"decimal scale {rule.scale}"
             ok = isinstance(kind, T.DecimalType) and kind.scale == rule.scale

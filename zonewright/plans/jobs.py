@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewright.functions.columns import col
+from zonewright.functions.columns import col, name_folding
 from zonewright.operators.casting import cast_columns
 from zonewright.operators.dictionary import (
     duplicate_keys,
@@ -76,8 +76,9 @@ def lookup_values(
 ) -> DataFrame:
     """Masks beside the PII values, and the casts of the columns at hand, as in staging."""
     masked = mask_columns(values, spec.pii_cols, salt)
-    present = {c.lower() for c in masked.columns}
-    rules = [r for r in spec.cast_rules if r.column.lower() in present]
+    fold = name_folding(masked)
+    present = {fold(c) for c in masked.columns}
+    rules = [r for r in spec.cast_rules if fold(r.column) in present]
     return cast_columns(masked, rules, on_cast_error)
 
 
