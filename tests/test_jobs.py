@@ -235,11 +235,14 @@ def test_history_over_three_runs(run, tmp_path, monkeypatch, small):
 def test_history_takes_the_last_row_of_a_key(run):
     keyed = {"lookup_keys": ("k",), "pii_cols": ("a",)}
     rows = [(1, "a", "2"), (1, "z", "1"), (2, "b", "1")]
-    with pytest.raises(PySparkException, match="more than once"):
+    with pytest.raises(ValueError, match="occurs 2 times"):
         run(rows, DAY_1, **keyed)
     lookup = run(rows, DAY_1, lookup_order_by=("b",), **keyed)
     assert lookup.columns == ["k", "a", "masked_a", "effectiveDate", "updateDate", "current"]
     assert sorted(lookup.select("k", "a").collect()) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        run(rows, DAY_2, **keyed)
+    assert run(rows, DAY_2, lookup_order_by=("b",), **keyed).count() == 2
 
 
 def test_distinct_values_are_hashed_after_the_shuffle(spark, spec, plan):

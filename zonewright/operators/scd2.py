@@ -184,8 +184,10 @@ def scd2_merge(
 
     Changed keys have their open version closed and a new one opened, new keys get one,
     everything else is left alone. A key that occurs twice in the batch fails the query,
-    unless ``order_by`` names the columns whose greatest values win. Closed versions take
-    no part in the join. ``broadcast_batch`` asserts that the batch fits an executor.
+    unless ``order_by`` names the columns whose greatest values win, which is also the way
+    for a batch with many rows of one key: they are reduced before the shuffle. Closed
+    versions take no part in the join. ``broadcast_batch`` asserts that the batch fits an
+    executor.
     """
     if order_by:
         batch = latest_per_key(batch, keys, order_by)

@@ -148,19 +148,30 @@ def update_history(
     tracked: Sequence[str],
     as_of: dt.date | str,
 ) -> None:
-    """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``."""
+    """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``.
+
+    Repeated keys are looked for first, by a count that is partial in every task: the merge
+    would refuse them too, but only after bringing all rows of a key together.
+    """
     current = lookup_table.read_current(spark, root)
     if current is None:
-        nothing = scd2_open(batch.limit(0), as_of)
-        merged = scd2_merge(nothing, batch, keys, tracked, as_of)
-        lookup_table.write_history(spark, root, merged)
+        _refuse_repeats(batch, keys)
+        lookup_table.write_history(spark, root, scd2_open(batch, as_of))
         return
     with materialized(batch) as batch:
+        _refuse_repeats(batch, keys)
         small = fits_broadcast(batch)
         merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=small)
         lookup_table.write_history(spark, root, merged)
 
 
+def _refuse_repeats(batch: DataFrame, keys: Sequence[str]) -> None:
+    counts = batch.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    twice = counts.where(F.col("n") > 1).first()
+    if twice:
+        raise ValueError(f"a business key occurs {twice['n']} times in the batch")
+
+
 def read_lookup(spark: SparkSession, spec: JobSpec) -> DataFrame | None:
     """The whole lookup table of a dataset."""
     read = lookup_table.read_history if spec.lookup_keys else lookup_table.read_dictionary
