@@ -280,9 +280,10 @@ def reconcile_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0, F.col("l_tax")).otherwise(F.lit(float("nan"))).alias("l_tax"),
         F.lit("x").alias("l_extra"),
     )
-    return reconcile(
+    report = reconcile(
         lineitem.select("l_orderkey", "l_discount", "l_tax", "l_quantity"), target
     )
+    return report.fillna(0, ["source_count", "target_count"])
 
 
 def reconcile_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,9 +590,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'l_tax', count(*), count(*) FILTER (l_tax > 0), 'failed' FROM lineitem
             UNION ALL
-            SELECT 'l_quantity', count(*), NULL, 'missing_in_target' FROM lineitem
+            SELECT 'l_quantity', count(*), 0, 'missing_in_target' FROM lineitem
             UNION ALL
-            SELECT 'l_extra', NULL, count(*), 'missing_in_source' FROM lineitem""",
+            SELECT 'l_extra', 0, count(*), 'missing_in_source' FROM lineitem""",
         "reconcile_staging": _counts("customer", customer)
         + """
             UNION ALL

@@ -1,4 +1,5 @@
 import hashlib
+import json
 from decimal import Decimal
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import zonewright.plans.jobs as jobs
 from zonewright import JobSpec, Zone, write_zone
+from zonewright.__main__ import main
 from zonewright.plans.jobs import ingest, raw_to_staging, read_lookup, run_chain
 from zonewright.sources import lookup_table
 
@@ -292,3 +294,37 @@ def test_salt_and_drop_raw_reach_staging(spark, spec):
     assert "c_mktsegment" not in staged.columns
     masks = {r["c_name"] for r in staged.collect()}
     assert sha("sCustomer#000000000") in masks
+
+
+def test_the_chain_can_drop_raw_columns(spark, spec):
+    staged = run_chain(spark, spec(), "customer.parquet", DAY_1, drop_raw=True)
+    assert "c_mktsegment" not in staged.columns
+
+
+def test_command_line(spark, tmp_path, capsys):
+    config = {
+        "ingest-customer": {
+            "source": {"file-format": "parquet", "data-location": SF},
+            "destination": {"data-location": str(tmp_path / "raw")},
+        },
+        "mask-customer": {
+            "source": {"file-format": "parquet", "data-location": str(tmp_path / "raw")},
+            "destination": {"file-format": "parquet", "data-location": str(tmp_path / "staging")},
+            "masking-cols": ["c_name"],
+            "datatype-update-cols": ["c_acctbal:DecimalType:DoubleType:2"],
+            "partition-cols": [],
+        },
+        "customer-pii-cols": ["c_name"],
+        "customer-lookup_dataset": str(tmp_path / "lookup"),
+    }
+    (tmp_path / "app.json").write_text(json.dumps(config))
+    rest = [str(tmp_path / "app.json"), "customer", "customer.parquet"]
+    for job in ("ingest", "validate-raw", "stage", "validate-staging"):
+        main([job, *rest])
+    assert "c_acctbal" in capsys.readouterr().out
+    main(["chain", *rest, "--mode", "overwrite", "--as-of", DAY_2])
+    spec = JobSpec.from_config(config, "customer")
+    assert read_lookup(spark, spec).count() == 150
+    write_zone(spark.range(1), spec.raw, "customer.parquet", mode="overwrite")
+    with pytest.raises(ValueError, match="data check failed"):
+        main(["validate-raw", *rest])

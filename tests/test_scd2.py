@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from zonewright import detect_changes, mask_columns, scd2_merge, scd2_open, stage_updates
+from zonewright.operators.scd2 import latest_per_key
 
 DAY_1, DAY_2, DAY_3 = dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(2024, 3, 1)
 COLS = ["c_custkey", "c_name", "c_mktsegment"]
@@ -200,3 +201,13 @@ def test_broadcast_leaves_the_lookup_unshuffled(spark, plan, tmp_path):
     # The only exchanges count the batch's keys.
     for part in text.split("Exchange hashpartitioning")[1:]:
         assert "/l]" not in part.split("BroadcastHashJoin")[0].split("FileScan")[1]
+
+
+def test_many_rows_of_a_key_are_reduced_before_the_shuffle(spark, plan):
+    hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+    batch = spark.range(0, 30_000, 1, 8).select(hot.alias("k"), F.col("id").alias("at"))
+    last = latest_per_key(batch, ["k"], ["at"])
+    below = plan(last).split("Exchange")[1]
+    assert "partial_max" in below
+    assert last.where("k = -1").collect() == [(-1, 29_997)]
+    assert last.count() == 20_001

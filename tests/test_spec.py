@@ -86,3 +86,5 @@ def test_unmasked_pii_and_missing_lookup_raise():
         JobSpec.from_config(config, "people")
     with pytest.raises(ValueError, match="lookup path"):
         JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), pii_cols=("x",))
+    with pytest.raises(ValueError, match="to follow"):
+        JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), lookup_keys=("k",))

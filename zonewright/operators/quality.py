@@ -58,7 +58,8 @@ def non_null_counts(df: DataFrame) -> DataFrame:
     """
     pushed = df.sparkSession.conf.get("spark.sql.parquet.aggregatePushdown") == "true"
     counts = _count_columns(df, pushed)
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    floating = (T.FloatType, T.DoubleType)
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, floating)}
     if not pushed or not floats or _has_nested(df):
         return _report(df, counts)
     plain = [c for c in counts if c[0] not in floats]

@@ -229,6 +229,9 @@ def run_chain(
     data_path: str,
     as_of: dt.date | str,
     mode: str = "errorifexists",
+    drop_raw: bool = False,
+    salt: str | None = None,
+    on_cast_error: str = "raise",
 ) -> DataFrame:
     """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report.
 
@@ -245,9 +248,12 @@ def run_chain(
     if spec.staging_source != spec.raw:
         raw = read_zone(spark, spec.staging_source, data_path)
         raw_counts = non_null_counts(raw)
-    staged = stage(raw, spec, data_path, as_of, mode)
+    staged = stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error)
     origins = mask_origins(raw, staged)
     assert_passed(compare_counts(raw_counts, non_null_counts(staged), origins, False))
-    if spec.cast_rules:
-        assert_passed(check_types(staged, spec.cast_rules, count_values=False))
+    # Files keep the types of parquet columns; partition values and CSV are text on disk.
+    on_disk = [r for r in spec.cast_rules if r.column not in spec.partition_cols]
+    if on_disk and spec.staging.fmt == "parquet":
+        stored = read_zone(spark, spec.staging, data_path)
+        assert_passed(check_types(stored, on_disk, count_values=False))
     return staged

@@ -93,6 +93,8 @@ class JobSpec:
             raise ValueError(f"PII columns not in masking-cols: {unmasked}")
         if self.pii_cols and not self.lookup_path:
             raise ValueError("PII columns need a lookup path")
+        if self.lookup_keys and not self.pii_cols:
+            raise ValueError("a lookup history needs PII columns to follow")
         object.__setattr__(self, "cast_rules", tuple(as_rules(self.cast_rules)))
 
     @property
