@@ -14,7 +14,7 @@ from zonewright import (
     lookup_upsert,
     mask_columns,
 )
-from zonewright.operators.dictionary import duplicate_keys, merge_into_table
+from zonewright.operators.dictionary import duplicate_keys, merge_into_table, upsert_parts
 
 DAY_1, DAY_2, DAY_3 = "2024-01-01", "2024-02-01", "2024-03-01"
 K = ["c_name", "c_mktsegment"]
@@ -110,6 +110,16 @@ def test_ambiguous_matches_raise_and_unmatched_repeats_are_kept(spark, broadcast
     assert lookup_upsert(stored, fresh, ["a", "b"], DAY_2, broadcast).count() == 4
 
 
+@BOTH
+def test_a_batch_known_to_be_unique(spark, broadcast, same_rows):
+    stored = lookup_bootstrap(pairs(spark, [("ab", "c"), ("q", "r"), ("x", None)]))
+    batch = pairs(spark, [("a", "bc"), ("q", "r"), ("n", "n"), ("x", None)], DAY_2)
+    plain = upsert_parts(stored, batch, ["a", "b"], DAY_2)
+    unique = upsert_parts(stored, batch, ["a", "b"], DAY_2, broadcast, unique_batch=True)
+    for left, right in zip(plain, unique):
+        same_rows(left, right)
+
+
 def test_boolean_text_is_required_in_current(spark):
     stored = lookup_bootstrap(pairs(spark, [("ab", "c")])).withColumn("current", F.lit("open"))
     with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):

@@ -247,6 +247,15 @@ def test_history_takes_the_last_row_of_a_key(run):
     assert run(rows, DAY_2, lookup_order_by=("b",), **keyed).count() == 2
 
 
+def test_keys_brought_together_by_a_cast_are_refused(run):
+    keyed = {"lookup_keys": ("b",), "lookup_order_by": ("k",), "pii_cols": ("a",)}
+    rows = [(1, "a", "1.01"), (2, "z", "1.02"), (3, "y", "1.02")]
+    assert run(rows, DAY_1, **keyed).count() == 2
+    rules = ("b:DecimalType:StringType:1",)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        run(rows, DAY_2, cast_rules=rules, **keyed)
+
+
 def test_distinct_values_are_hashed_after_the_shuffle(spark, spec, plan):
     df = spark.createDataFrame([("x", 0.0), ("x", 0.0), ("y", -0.0)], "a string, x double")
     names = spec(masking_cols=("a",), pii_cols=("a",), lookup_distinct=True, cast_rules=())

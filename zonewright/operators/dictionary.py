@@ -103,25 +103,29 @@ def upsert_parts(
     pii_cols: Sequence[str],
     as_of: dt.date | str,
     broadcast_batch: bool = False,
+    unique_batch: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The stored rows, with a ``__touched`` flag for a moved ``updateDate``, and the new rows.
 
     Batch keys are counted with a map-side partial aggregate, so a value that fills much of
     the batch shuffles as one row per task. Rows without a complete key bypass the join.
     ``broadcast_batch`` asserts that the batch keys fit an executor: the stored table is
-    then never shuffled.
+    then never shuffled. ``unique_batch`` asserts that ``duplicate_keys`` found none in the
+    batch, which saves the grouping.
     """
     masks = [masked_name(c) for c in pii_cols]
     rows = _keyed(batch, pii_cols)
-    keys = (
-        rows.where(F.col(_KEY).isNotNull())
-        .groupBy(F.col(_KEY).alias("b_key"))
-        .agg(
-            F.count(F.lit(1)).alias("b_rows"),
-            F.max(F.struct(*[col(m) for m in masks])).alias("b_masks"),
+    complete_rows = rows.where(F.col(_KEY).isNotNull())
+    new_masks = F.struct(*[col(m) for m in masks])
+    if unique_batch:
+        keys = complete_rows.select(
+            F.col(_KEY).alias("b_key"), F.lit(1).alias("b_rows"), new_masks.alias("b_masks")
         )
-        .withColumn("b_hash", F.xxhash64("b_key"))
-    )
+    else:
+        keys = complete_rows.groupBy(F.col(_KEY).alias("b_key")).agg(
+            F.count(F.lit(1)).alias("b_rows"), F.max(new_masks).alias("b_masks")
+        )
+    keys = keys.withColumn("b_hash", F.xxhash64("b_key"))
     small = F.broadcast(keys) if broadcast_batch else keys
     same_key = (F.col(_HASH) == F.col("b_hash")) & (F.col(_KEY) == F.col("b_key"))
 
@@ -160,7 +164,7 @@ def upsert_parts(
     if broadcast_batch:
         # At most one row per batch key is left, so this side is as small as the batch.
         known = F.broadcast(known.join(small, same_key, "left_semi").distinct())
-    unseen = rows.where(F.col(_KEY).isNotNull()).join(known, [_HASH, _KEY], "left_anti")
+    unseen = complete_rows.join(known, [_HASH, _KEY], "left_anti")
     new = _inserted(
         unseen.unionByName(rows.where(F.col(_KEY).isNull())), pii_cols, as_of
     )

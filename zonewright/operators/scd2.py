@@ -132,7 +132,10 @@ def _merge_broadcast(
     tracked: Sequence[str],
     as_of: dt.date | str,
 ) -> DataFrame:
-    """The batch goes to every task and the open versions are never shuffled."""
+    """The batch goes to every task and the open versions are never shuffled.
+
+    So two open versions of one key, which no merge leaves behind, go unnoticed here.
+    """
     counted = Window.partitionBy(*[col(k) for k in keys])
     batch = (
         batch.withColumn("__n", F.count(F.lit(1)).over(counted))

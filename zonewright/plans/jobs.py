@@ -124,16 +124,18 @@ def update_dictionary(
     """Merge a ``lookup_projection`` into the dictionary at ``root``."""
     with materialized(batch) as batch:
         stored = lookup_table.read_dictionary(spark, root)
+        repeats = _most(duplicate_keys(batch, pii_cols))
         if stored is None:
-            twice = duplicate_keys(batch, pii_cols).first()
-            if twice:
-                raise ValueError(f"{twice['n']} batch rows match one lookup row")
+            if repeats:
+                raise ValueError(f"{repeats} batch rows match one lookup row")
             first = lookup_first_run(batch, pii_cols, as_of)
             lookup_table.replace_dictionary(spark, root, first)
             return
-        kept, new = upsert_parts(stored, batch, pii_cols, as_of, fits_broadcast(batch))
+        kept, new = upsert_parts(
+            stored, batch, pii_cols, as_of, fits_broadcast(batch), unique_batch=not repeats
+        )
         # A stored row only changes when two tuples share a key; else just add the new rows.
-        if kept.where(F.col("__touched")).isEmpty():
+        if kept.where(F.col("__touched")).limit(1).count() == 0:
             lookup_table.append_dictionary(spark, root, new)
         else:
             rows = kept.drop("__touched").unionByName(new)
@@ -147,29 +149,49 @@ def update_history(
     keys: Sequence[str],
     tracked: Sequence[str],
     as_of: dt.date | str,
+    unique_batch: bool = False,
 ) -> None:
     """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``.
 
-    Repeated keys are looked for first, by a count that is partial in every task: the merge
-    would refuse them too, but only after bringing all rows of a key together.
+    Unless the batch is known to be ``unique_batch``, repeated keys are looked for first, by
+    a count that is partial in every task: the merge would refuse them too, but only after
+    bringing all rows of a key together.
     """
     current = lookup_table.read_current(spark, root)
     if current is None:
-        _refuse_repeats(batch, keys)
+        if not unique_batch:
+            _refuse_repeats(batch, keys)
         lookup_table.write_history(spark, root, scd2_open(batch, as_of))
         return
     with materialized(batch) as batch:
-        _refuse_repeats(batch, keys)
+        if not unique_batch:
+            _refuse_repeats(batch, keys)
         small = fits_broadcast(batch)
         merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=small)
         lookup_table.write_history(spark, root, merged)
 
 
+def _keys_stay_apart(spec: JobSpec) -> bool:
+    """Whether one row per raw key means one row per key: no cast may bring two together."""
+    keys = {k.lower() for k in spec.lookup_keys}
+    cast = any(r.column.lower() in keys for r in spec.cast_rules)
+    return bool(spec.lookup_order_by) and not cast
+
+
 def _refuse_repeats(batch: DataFrame, keys: Sequence[str]) -> None:
-    counts = batch.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    twice = counts.where(F.col("n") > 1).first()
-    if twice:
-        raise ValueError(f"a business key occurs {twice['n']} times in the batch")
+    repeats = _most(
+        batch.groupBy(*[col(k) for k in keys])
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > 1)
+    )
+    if repeats:
+        raise ValueError(f"a business key occurs {repeats} times in the batch")
+
+
+def _most(counts: DataFrame) -> int | None:
+    """The greatest ``n``. One job over all partitions at once, where fetching a first row
+    would go through an empty result in ever larger steps."""
+    return counts.agg(F.max("n")).first()[0]
 
 
 def read_lookup(spark: SparkSession, spec: JobSpec) -> DataFrame | None:
@@ -215,7 +237,10 @@ def stage(
     write_zone(staged, spec.staging, data_path, mode, spec.partition_cols)
     if spec.lookup_keys:
         batch = history_batch(raw, spec, salt, on_cast_error)
-        update_history(spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of)
+        unique = _keys_stay_apart(spec)
+        update_history(
+            spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of, unique
+        )
     elif spec.pii_cols:
         batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)
         update_dictionary(spark, spec.lookup_path, batch, spec.pii_cols, as_of)
