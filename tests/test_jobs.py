@@ -67,6 +67,17 @@ def test_a_rerun_raises_instead_of_writing_nothing(spark, spec):
         raw_to_staging(spark, spec(), "customer.parquet", DAY_1)
 
 
+def test_a_zone_is_not_written_onto_itself(spark, spec, tmp_path, customer):
+    write_zone(customer, Zone(str(tmp_path / "raw")), "c")
+    same = Zone(str(tmp_path / "raw") + "/")
+    for job in (ingest, lambda *a: run_chain(*a[:3], DAY_1, a[3])):
+        with pytest.raises(ValueError, match="onto itself"):
+            job(spark, spec(landing=same), "c", "overwrite")
+    with pytest.raises(ValueError, match="onto itself"):
+        raw_to_staging(spark, spec(staging=same), "c", DAY_1, mode="overwrite")
+    assert spark.read.parquet(str(tmp_path / "raw" / "c")).count() == 150
+
+
 def test_csv_to_parquet(spark, spec, tmp_path, customer):
     landing = Zone(str(tmp_path / "landing"), "csv")
     write_zone(customer, landing, "c")

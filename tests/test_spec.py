@@ -88,10 +88,3 @@ def test_unmasked_pii_and_missing_lookup_raise():
         JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), pii_cols=("x",))
     with pytest.raises(ValueError, match="to follow"):
         JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), lookup_keys=("k",))
-
-
-def test_zones_must_differ():
-    with pytest.raises(ValueError, match="onto itself"):
-        JobSpec("d", Zone("/a"), Zone("/a/"), Zone("/c"), ("x",))
-    with pytest.raises(ValueError, match="onto itself"):
-        JobSpec("d", Zone("/a"), Zone("/b"), Zone("/b"), ("x",))

@@ -30,7 +30,7 @@ from zonewright.operators.quality import (
     settle,
 )
 from zonewright.operators.scd2 import latest_per_key, scd2_merge, scd2_open
-from zonewright.plans.spec import JobSpec
+from zonewright.plans.spec import JobSpec, Zone
 from zonewright.sources import lookup_table
 from zonewright.sources.scratch import materialized
 from zonewright.sources.size import fits_broadcast
@@ -41,11 +41,18 @@ def ingest(
     spark: SparkSession, spec: JobSpec, data_path: str, mode: str = "errorifexists"
 ) -> DataFrame:
     """Copy a dataset from landing to raw, converting the format if the zones differ."""
+    _refuse_overlap(spec.landing, spec.raw)
     landing = read_zone(spark, spec.landing, data_path)
     write_zone(landing, spec.raw, data_path, mode)
     return _read_raw(spark, spec, data_path, landing)
 
 
+def _refuse_overlap(source: Zone, target: Zone) -> None:
+    """An overwrite would remove the files it is about to read."""
+    if source.root.rstrip("/") == target.root.rstrip("/"):
+        raise ValueError(f"a zone cannot be written onto itself: {target.root}")
+
+
 def _read_raw(
     spark: SparkSession, spec: JobSpec, data_path: str, landing: DataFrame
 ) -> DataFrame:
@@ -230,6 +237,7 @@ def stage(
 ) -> DataFrame:
     """``raw_to_staging`` for a dataset that has been opened already."""
     spark = raw.sparkSession
+    _refuse_overlap(spec.staging_source, spec.staging)
     # Masks before casts: a hash is always that of the raw value.
     masked = mask_columns(raw, spec.masking_cols, salt)
     masked = cast_columns(masked, spec.cast_rules, on_cast_error)
@@ -264,6 +272,7 @@ def run_chain(
     comparisons, so each zone is read once for its data and raw and staging once more for
     their counts.
     """
+    _refuse_overlap(spec.landing, spec.raw)
     landing, landing_counts = observe_counts(read_zone(spark, spec.landing, data_path))
     write_zone(landing, spec.raw, data_path, mode)
     raw = _read_raw(spark, spec, data_path, landing)

@@ -95,10 +95,6 @@ class JobSpec:
             raise ValueError("PII columns need a lookup path")
         if self.lookup_keys and not self.pii_cols:
             raise ValueError("a lookup history needs PII columns to follow")
-        for source, target in ((self.landing, self.raw), (self.staging_source, self.staging)):
-            # An overwrite would remove the files it is about to read.
-            if source.root.rstrip("/") == target.root.rstrip("/"):
-                raise ValueError(f"a zone cannot be written onto itself: {target.root}")
         object.__setattr__(self, "cast_rules", tuple(as_rules(self.cast_rules)))
 
     @property
