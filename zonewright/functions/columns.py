@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: how the column holding the hash of x is called, masked_x.
 MASK_PREFIX = "masked_"
 
 

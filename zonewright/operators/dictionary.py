@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.columns import col, masked_name, quote, require
 
+# The texts stored in the status columns of a dictionary.
+NO_UPDATE, CURRENT = "null", "true"
+
 _KEY = "__key"
 _HASH = "__hash"
 _TOUCHED = "__touched"
@@ -63,7 +66,7 @@ def lookup_bootstrap(batch: DataFrame) -> DataFrame:
 
     Both are strings, and a first-run ``updateDate`` is the text ``null``.
     """
-    return batch.select("*", F.lit("null").alias("updateDate"), F.lit("true").alias("current"))
+    return batch.select("*", F.lit(NO_UPDATE).alias("updateDate"), F.lit(CURRENT).alias("current"))
 
 
 def _inserted(rows: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str) -> DataFrame:
@@ -71,7 +74,7 @@ def _inserted(rows: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str) ->
         *[col(c) for c in lookup_columns(pii_cols)],
         as_date(as_of).alias("effectiveDate"),
         F.lit(None).cast("string").alias("updateDate"),
-        F.lit("true").alias("current"),
+        F.lit(CURRENT).alias("current"),
     )
 
 
@@ -206,7 +209,7 @@ def merge_into_table(
             | {
                 "effectiveDate": as_date(as_of),
                 "updateDate": F.lit(None).cast("string"),
-                "current": F.lit("true"),
+                "current": F.lit(CURRENT),
             }
         )
         .merge()

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+# The file formats and the type names of cast rules in a configuration.
 FORMATS = ("parquet", "csv")
+DECIMAL, STRING, ARRAY = "DecimalType", "StringType", "ArrayType"
 
 
 @dataclass(frozen=True)
@@ -50,14 +52,14 @@ class CastRule:
         """Read ``col:DecimalType:<any>:<scale>``, ``col:StringType:ArrayType`` or
         ``col:StringType:<any>``."""
         parts = text.split(":")
-        if len(parts) == 4 and parts[1] == "DecimalType":
+        if len(parts) == 4 and parts[1] == DECIMAL:
             try:
                 scale = int(parts[3])
             except ValueError:
                 raise ValueError(f"bad scale in cast rule {text!r}") from None
             return cls(parts[0], "decimal", scale)
-        if len(parts) == 3 and parts[1] == "StringType":
-            return cls(parts[0], "array" if parts[2] == "ArrayType" else "string")
+        if len(parts) == 3 and parts[1] == STRING:
+            return cls(parts[0], "array" if parts[2] == ARRAY else "string")
         raise ValueError(f"cannot read cast rule {text!r}")
 
 

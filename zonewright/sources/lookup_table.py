@@ -6,8 +6,9 @@ One writer at a time.
 
 * dictionary: ``<root>/gen=<g>/add=<n>``. A merge that only inserts appends an ``add``; one
   that also changes stored rows starts a new ``gen`` with the full content.
-* history: ``<root>/v=<n>/current=true|false``. A merge writes all open versions and the
-  versions it has just closed; closed versions of earlier merges stay where they are.
+* history: ``<root>/v=<n>/current=true`` holds all open versions after merge ``n`` and
+  ``<root>/closed=<n>`` the versions it closed; those of earlier merges stay where they are.
+  Merge ``n`` counts once ``closed=<n>``, written last, is complete.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def replace_dictionary(spark: SparkSession, root: str, rows: DataFrame) -> str:
 
 
 def _latest(spark: SparkSession, root: str) -> int | None:
-    versions = _complete(spark, root, "v")
+    versions = _complete(spark, root, "closed")
     return versions[-1] if versions else None
 
 
@@ -104,18 +105,31 @@ def read_history(spark: SparkSession, root: str) -> DataFrame | None:
     current = read_current(spark, root)
     if current is None:
         return None
-    paths = [f"{root}/v={n}/current=false" for n in _complete(spark, root, "v")]
-    paths = [p for p in paths if _exists(spark, p)]
-    if not paths:
-        return current
-    closed = spark.read.parquet(*paths).withColumn("current", F.lit(False))
-    return current.unionByName(closed)
+    paths = [f"{root}/closed={n}" for n in _complete(spark, root, "closed")]
+    closed = spark.read.schema(current.drop("current").schema).parquet(*paths)
+    return current.unionByName(closed.withColumn("current", F.lit(False)))
 
 
 def write_history(spark: SparkSession, root: str, rows: DataFrame) -> str:
-    """Write the open versions and the newly closed ones as the next version."""
+    """Write the open versions and the newly closed ones as the next version.
+
+    One pass writes both, which leaves a small file of closed rows per task. These are then
+    gathered into files of full size, so that the history does not grow by as many files as
+    the merge had tasks.
+    """
     root = root.rstrip("/")
     latest = _latest(spark, root)
-    path = f"{root}/v={0 if latest is None else latest + 1}"
+    n = 0 if latest is None else latest + 1
+    path = f"{root}/v={n}"
     rows.write.mode("overwrite").partitionBy("current").parquet(path)
+
+    scattered = f"{path}/current=false"
+    schema = rows.drop("current").schema
+    if _exists(spark, scattered):
+        closed = spark.read.schema(schema).parquet(scattered).hint("rebalance")
+    else:
+        closed = spark.createDataFrame([], schema)
+    closed.write.mode("overwrite").parquet(f"{root}/closed={n}")
+    fs, hadoop = _file_system(spark, scattered)
+    fs.delete(hadoop, True)
     return path
