@@ -215,14 +215,15 @@ TRACKED = ["o_orderstatus", "o_orderpriority"]
 
 def _order_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Per customer, status and priority of the last order, in each of three spans of days."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", *TRACKED)
+    orders = table(spark, sf_dir, "orders").select(*KEYS, "o_orderdate", "o_orderkey", *TRACKED)
     date = F.col("o_orderdate")
     spans = [
         date < "1996-01-01",
         (date >= "1996-01-01") & (date < "1999-01-01"),
         date >= "1999-01-01",
     ]
-    last = [latest_per_key(orders.where(span), KEYS, ["o_orderdate", "o_orderkey"]) for span in spans]
+    order_by = ["o_orderdate", "o_orderkey"]
+    last = [latest_per_key(orders.where(span), KEYS, order_by) for span in spans]
     return [mask_columns(df.select(*KEYS, *TRACKED), ["o_orderstatus"]) for df in last]
 
 

@@ -243,6 +243,7 @@ def test_merge_statement_reaches_the_catalog(spark, tmp_path):
         with pytest.raises(Exception, match="does not support MERGE INTO TABLE"):
             merge_into_table(batch, "merge_target", ["a", "b"], DAY_2)
         with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):
-            merge_into_table(batch.withColumnsRenamed({"a": "q", "masked_a": "masked_q"}), "merge_target", ["q", "b"], DAY_2)
+            other = batch.withColumnsRenamed({"a": "q", "masked_a": "masked_q"})
+            merge_into_table(other, "merge_target", ["q", "b"], DAY_2)
     finally:
         spark.sql("drop table merge_target")

@@ -96,7 +96,8 @@ def test_csv_to_parquet(spark, spec, tmp_path, customer):
 
 
 def test_staging_as_csv(spark, spec, tmp_path):
-    staged = run_chain(spark, spec(staging=Zone(str(tmp_path / "s"), "csv")), "customer.parquet", DAY_1)
+    job = spec(staging=Zone(str(tmp_path / "s"), "csv"))
+    staged = run_chain(spark, job, "customer.parquet", DAY_1)
     assert staged.columns[-2:] == ["c_name", "masked_c_mktsegment"]
     assert dict(staged.dtypes)["c_acctbal"] == "decimal(10,2)"
     assert staged.where(F.length("c_name") == 64).count() == 150

@@ -82,7 +82,7 @@ def test_null_arrays_and_failed_casts_are_seen(spark):
 
 
 def test_type_checks(spark):
-    df = spark.sql("select cast(1 as decimal(12,2)) as d, 'x' as s, 1 as i, cast(null as string) as z")
+    df = spark.sql("select cast(1 as decimal(12,2)) d, 'x' s, 1 i, cast(null as string) z")
     rules = [
         "d:DecimalType:x:2",
         "s:StringType:x",

@@ -143,7 +143,8 @@ def test_rows_of_unknown_status_are_kept(spark, broadcast):
     stored = stored.withColumn("current", F.lit(None).cast("boolean"))
     batch = spark.createDataFrame([(1, "b")], "k int, v string")
     merged = scd2_merge(stored, batch, ["k"], ["v"], DAY_2, broadcast_batch=broadcast)
-    assert sorted(merged.select("v", F.col("current").isNull()).collect()) == [("a", True), ("b", False)]
+    unknown = merged.select("v", F.col("current").isNull())
+    assert sorted(unknown.collect()) == [("a", True), ("b", False)]
 
 
 def test_two_open_versions_of_one_key_are_an_error(spark):
@@ -163,7 +164,8 @@ def test_filters_on_the_result_do_not_trip_the_check(spark):
 
 @BOTH
 def test_untracked_columns_ride_along(spark, broadcast):
-    stored = scd2_open(mask_columns(spark.createDataFrame([(1, "a", 1.0)], "k int, v string, x double"), ["v"]), DAY_1)
+    first = spark.createDataFrame([(1, "a", 1.0)], "k int, v string, x double")
+    stored = scd2_open(mask_columns(first, ["v"]), DAY_1)
     batch = mask_columns(
         spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "k int, v string, x double"), ["v"]
     )

@@ -1,5 +1,6 @@
-"""Run a job from a JSON job configuration: ``python -m zonewright chain <config> <dataset> <path>``.
+"""Run a job from a JSON job configuration.
 
+``python -m zonewright chain <app_config> <dataset> <data_path>``
 Session settings come from ``spark-submit`` or the Spark defaults.
 """
 
