@@ -45,6 +45,14 @@ from zonewright.plans.jobs import (  # noqa: E402
 )
 from zonewright.sources.scratch import scratch_dir  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from zonewright.llm import queries as llm
+except ModuleNotFoundError as missing:  # both can be left out; anything else must be there
+    if not str(missing.name).startswith(("corpus_pipeline", "zonewright.llm")):
+        raise
+    corpus_pipeline = llm = None
+
 DAY_1, DAY_2, DAY_3 = "2024-01-01", "2024-02-01", "2024-03-01"
 
 CUSTOMER_RULES = ("c_acctbal:DecimalType:DoubleType:2", "c_nationkey:StringType:IntegerType")
@@ -363,6 +371,23 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries; those of the subpackage ``llm`` and its pipeline only where they are there."""
+    found = zone_queries()
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = zone_sql()
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ingest_parquet": ingest_parquet,
         "ingest_csv": ingest_csv,
@@ -455,7 +480,7 @@ def _scd2_sql(stored: str, batch: str, day: str) -> str:
         WHERE s.o_custkey IS NULL OR {differs}"""
 
 
-def oracle_sql() -> dict[str, str]:
+def zone_sql() -> dict[str, str]:
     customer = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     orders = [
         "o_orderkey",

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as registered
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES, SQL = registered.zone_queries(), registered.zone_sql()
 
 
 @pytest.fixture(scope="module")
