@@ -1,0 +1,191 @@
+"""Top-k search, Jaccard join and decontamination against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tests.llm.helpers import AWKWARD, docs, repeats
+from zonewright.llm import jaccard
+from zonewright.llm.decontaminate import contaminated
+from zonewright.llm.graph import components
+from zonewright.llm.jaccard import choose_bands, near_duplicates
+from zonewright.llm.mtree import top_k
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(
+        [(i, v, 1, 2, "x") for i, v in rows],
+        "vec_id long, embedding array<float>, id int, score int, parent string",
+    ).repartition(3)
+
+
+def best(rows, queries, k):
+    whole = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            whole.setdefault(i, []).append(np.floor(64.0 * np.float32(v).astype(float)).astype(int))
+    for q in {i for i, _ in queries if i in whole}:
+        mine = []
+        for i in whole:
+            if i != q:
+                pairs = [(a, b) for a in whole[q] for b in whole[i]]
+                score = max(int(sum(x * y for x, y in zip(a, b, strict=False))) for a, b in pairs)
+                mine.append((-score, i))
+        for rank, (score, i) in enumerate(sorted(mine)[:k], 1):
+            yield q, rank, i, -score
+
+
+@pytest.mark.parametrize("clusters", [3, 200])
+def test_top_k(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    centers = rng.normal(size=(clusters, 6))
+    rows = [
+        (i, (centers[rng.integers(clusters)] + 0.1 * rng.normal(size=6)).tolist())
+        for i in range(900)
+    ]
+    rows += [(1000 + i, [1.0, 2.0, 0.5, 0.0, -1.0, 3.0]) for i in range(60)]  # one hot vector
+    rows += [(3, rows[3][1]), (None, [1.0] * 6), (2000, None), (2001, [float("nan")] * 6)]
+    rows += [(2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("inf")] * 6), (2004, [5.0, 1.0])]
+    rows += [(2005, []), (4, [9.0] * 6)]
+    queries = [r for r in rows if r[0] is not None and r[0] % 20 == 0]
+    found = top_k(vectors(spark, rows), vectors(spark, queries), k=5, routing=16, page_rows=32)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(best(rows, queries, 5))
+
+
+def test_top_k_of_few_and_none(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (2, [2.0])]
+    found = top_k(vectors(spark, rows), vectors(spark, rows[:1]))
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
+    assert top_k(vectors(spark, []), vectors(spark, [])).count() == 0
+    assert top_k(vectors(spark, rows), vectors(spark, [])).count() == 0
+    assert top_k(vectors(spark, [(1, None)]), vectors(spark, rows)).count() == 0
+
+
+def grams(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    n = min(5, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else ()
+
+
+def classes(rows):
+    sets = [grams(t) for _, t in rows]
+    order = [2**63 if i is None else i for i, _ in rows]
+    links = [
+        [
+            j
+            for j in range(len(rows))
+            if j != i and sets[i] and sets[j]
+            and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+        ]
+        for i in range(len(rows))
+    ]
+    seen = {}
+    for i in range(len(rows)):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                new = [j for j in links[todo.pop()] if j not in group]
+                group.update(new)
+                todo += new
+            least = min(order[j] for j in group)
+            seen.update(dict.fromkeys(group, None if least == 2**63 else least))
+    return sorted(((rows[i][0], seen[i], len(links[i])) for i in range(len(rows))), key=repr)
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(200)] = rng.choice("abcdefgh")
+        out.append((20_000 + i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 19, 2000])
+def test_near_duplicates(spark, block):
+    rows = repeats(5, n=120) + near_copies(1, 80) + AWKWARD
+    got = sorted(map(tuple, near_duplicates(docs(spark, rows), block_elements=block).collect()), key=repr)
+    assert got == classes(rows)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_duplicates(docs(spark, [])).count() == 0
+    got = near_duplicates(docs(spark, [(1, None), (2, ""), (3, "a")])).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+
+
+def test_bands_reach_the_recall():
+    bands, rows = choose_bands(0.8, 1e-5, 240)
+    assert bands * rows <= 240 and (1 - 0.8**rows) ** bands <= 1e-5
+    with pytest.raises(ValueError):
+        choose_bands(0.1, 1e-9, 16)
+
+
+def test_blocks_split_a_neighbourhood():
+    rows = [(1, i, 1, 10, np.arange(i, i + 10).astype("<u8").tobytes()) for i in range(10)]
+    frame = pd.DataFrame(rows, columns=["hood", "member", "copies", "n", "grams"])
+    blocks = pd.concat(jaccard._cut_blocks(1000, 4)(iter([frame.iloc[:3], frame.iloc[3:]])))
+    assert [len(x) // 8 for x in blocks["members"]] == [4, 4, 2]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 7), (200, 201), (300, 300)]
+    edges += [(1000, 1000 + i) for i in range(1, 50)] + [(1049, 200)]
+    rng.shuffle(edges)
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    want = dict.fromkeys([*range(61), 100], 0) | dict.fromkeys([200, 201, *range(1000, 1050)], 200)
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def item_words(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_contaminated(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices(["q%d" % k for k in range(40)], k=8 + 9 * i))) for i in range(12)]
+    items += [(50, None), (51, ""), (52, "only four words here"), (None, items[3][1]), (53, items[2][1])]
+    rows = repeats(6, n=40) + AWKWARD
+    for i, text in items:
+        words = (text or "").split()
+        for damage in (0, 1, 2, 5, 9):
+            own = list(words)
+            for _ in range(min(damage, len(own))):
+                own[rng.randrange(len(own))] = "damaged"
+            around = " ".join(rng.choices(["r%d" % k for k in range(50)], k=rng.randint(0, 3000)))
+            rows.append((30_000 + len(rows), f"{around} {' '.join(own).upper()}, {around}"))
+    rows.append((None, items[5][1]))
+    rows.append(rows[-2])
+    benchmark = spark.createDataFrame(
+        [(i, t, 1, "x", 2) for i, t in items],
+        "item_id long, text string, doc_id int, item string, least int",
+    )
+    got = sorted(
+        (r.doc_id, r.item_id, r.n_grams, r.n_shared, r.containment)
+        for r in contaminated(docs(spark, rows), benchmark).collect()
+    )
+    want = set()
+    for i, text in items:
+        g = item_words(text)
+        for d, t in rows:
+            both = len(g & item_words(t))
+            if g and i is not None and d is not None and 5 * both >= 4 * len(g):
+                want.add((d, i, len(g), both, both / len(g)))
+    assert got == sorted(want) and len(got) > 20
+
+
+def test_contaminated_by_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contaminated(docs(spark, AWKWARD), none).count() == 0
+    some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert contaminated(docs(spark, []), some).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions.columns import col
@@ -25,11 +25,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that matter as (id long, text string); a null text is empty."""
+def texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """The columns that matter as (id long, text string) and ``more``; a null text is empty."""
     return docs.select(
         col(id_col).cast("long").alias("id"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 

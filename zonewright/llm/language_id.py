@@ -9,18 +9,17 @@ hold most letters.
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions.columns import col
+from zonewright.llm.common import chunks
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -49,22 +48,33 @@ SCRIPTS = (
     (0xFB00, "other"),
     (0x20000, "han"),
 )
-_STARTS, _NAMES = zip(*SCRIPTS, strict=True)
-
-
-def script(word: str) -> str:
-    """Of the first letter: runs of letters rarely mix scripts."""
-    return "latin" if word[0] < "Ͱ" else _NAMES[bisect_right(_STARTS, ord(word[0])) - 1]
-
-
-def grams(word: str, longest: int, buckets: int) -> list[int]:
-    """Hash buckets of the word's character n-grams, its ends marked."""
-    marked = f"^{word[:64]}$"
-    return [
-        zlib.crc32(marked[i : i + n].encode()) % buckets
-        for n in range(1, longest + 1)
-        for i in range(len(marked) - n + 1)
-    ]
+_STARTS = np.array([first for first, _ in SCRIPTS])
+_NAMES = sorted({name for _, name in SCRIPTS})
+#: Position in _NAMES of each range's script.
+_SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Position in SCRIPTS of each word's first letter: runs of letters rarely mix scripts."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return np.searchsorted(_STARTS, first, side="right") - 1
+
+
+def gram_buckets(words: list[str], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, hash bucket) of all character n-grams of the words, their ends marked."""
+    marked = [f"^{w[:64]}$" for w in words]
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    of = np.repeat(np.arange(len(words)), sizes)
+    code = np.zeros(len(chars), np.uint64)
+    places, found = [], []
+    for n in range(1, longest + 1):
+        code = code[: len(chars) - n + 1] * np.uint64(0x100000001B3) + chars[n - 1 :]
+        whole = np.flatnonzero(of[: len(code)] == of[n - 1 :])
+        mixed = (code[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        places.append(of[whole])
+        found.append((mixed >> np.uint64(20)) % np.uint64(buckets))
+    return np.concatenate(places), np.concatenate(found).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -74,7 +84,7 @@ class LanguageModel:
 
     languages: tuple[str, ...]
     weights: np.ndarray
-    scripts: dict[str, tuple[int, ...]]
+    scripts: np.ndarray  # [script, l]: whether the language is written in it
     longest: int
     switch: float
 
@@ -107,7 +117,8 @@ def train(
         raise ValueError(f"more than {max_languages} languages")
     languages = tuple(sorted(counts))
     if not languages:
-        return LanguageModel((), np.zeros((buckets, 0), np.float32), {}, longest, switch)
+        none = np.zeros((len(_NAMES), 0), bool)
+        return LanguageModel((), np.zeros((buckets, 0), np.float32), none, longest, switch)
     share = spark.createDataFrame(
         [(lang, min(1.0, sample_per_language / counts[lang])) for lang in languages],
         "lang string, share double",
@@ -124,18 +135,21 @@ def train(
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 words[lang].update(WORD.findall(text.lower()))
         for lang, found in words.items():
-            total, letters = np.zeros(buckets, np.int64), Counter()
-            for word, n in found.items():
-                np.add.at(total, grams(word, longest, buckets), n)
-                letters[script(word)] += n * len(word)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "kind": "gram", "key": at.astype(str), "n": total[at]})
-            yield pd.DataFrame(
-                {"lang": lang, "kind": "script", "key": list(letters), "n": list(letters.values())}
-            )
+            known, times = list(found), np.fromiter(found.values(), np.int64, len(found))
+            if not known:
+                continue
+            of, bucket = gram_buckets(known, longest, buckets)
+            sizes = np.fromiter(map(len, known), np.int64, len(known))
+            for kind, total in (
+                ("gram", np.bincount(bucket, times[of], buckets)),
+                ("script", np.bincount(scripts_of(known), times * sizes, len(SCRIPTS))),
+            ):
+                at = np.flatnonzero(total)
+                n = total[at].astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "kind": kind, "key": at, "n": n})
 
     learned = (
-        sample.mapInPandas(count, "lang string, kind string, key string, n long")
+        sample.mapInPandas(count, "lang string, kind string, key long, n long")
         .groupBy("lang", "kind", "key")
         .agg(F.sum("n").alias("n"))
         .toPandas()  # at most (buckets + scripts) x languages rows
@@ -143,53 +157,38 @@ def train(
     at = {lang: i for i, lang in enumerate(languages)}
     total = np.zeros((buckets, len(languages)))
     gram = learned[learned["kind"] == "gram"]
-    total[gram["key"].astype(int), gram["lang"].map(at)] = gram["n"]
+    total[gram["key"], gram["lang"].map(at)] = gram["n"]
     smooth = 0.5
     weights = np.log(total + smooth) - np.log(total.sum(axis=0) + smooth * buckets)
-    scripts: dict[str, tuple[int, ...]] = {}
     seen = learned[learned["kind"] == "script"]
-    letters = seen.groupby("lang")["n"].sum().to_dict()
-    for name, part in seen.groupby("key"):
-        main = [at[x] for x, n in zip(part["lang"], part["n"], strict=True) if n >= 0.01 * letters[x]]
-        scripts[name] = tuple(sorted(main or (at[x] for x in part["lang"])))
+    letters = np.zeros((len(_NAMES), len(languages)))
+    np.add.at(letters, (seen["key"].map(_SCRIPT.__getitem__), seen["lang"].map(at)), seen["n"])
+    main = letters >= 0.01 * letters.sum(axis=0)
+    some = letters > 0
+    scripts = np.where(main.any(axis=1)[:, None], main & some, some)
     return LanguageModel(languages, weights.astype(np.float32), scripts, longest, switch)
 
 
 class Labeller:
-    """Labels texts with a model; remembers the scores of up to ``memory`` words."""
+    """Labels texts with a model."""
 
     #: What a language outside the script's candidates loses on a word.
     FOREIGN = -50.0
 
-    def __init__(self, model: LanguageModel, memory: int = 200_000) -> None:
-        self.model, self.memory = model, memory
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
-
-    def _score(self, word: str) -> np.ndarray:
-        weights = self.model.weights
-        out = weights[grams(word, self.model.longest, len(weights))].sum(axis=0, dtype=np.float64)
-        out -= out.max()
-        near = self.model.scripts.get(script(word))
-        if near is None:
-            return np.zeros_like(out)  # a script no language was seen in tells nothing
-        if len(near) < len(out):
-            allowed = np.full_like(out, self.FOREIGN)
-            allowed[list(near)] = out[list(near)] - out[list(near)].max()
-            out = allowed
-        return np.maximum(out, self.FOREIGN)
+    def __init__(self, model: LanguageModel) -> None:
+        self.model = model
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        new = {w for w in words if w not in self.rows}
-        if new:
-            if len(self.rows) > self.memory:
-                self.rows, self.scores = {}, self.scores[:0]
-                new = set(words)
-            order = sorted(new)
-            base = len(self.rows)
-            self.rows.update((w, base + i) for i, w in enumerate(order))
-            self.scores = np.concatenate([self.scores[:base], [self._score(w) for w in order]])
-        return self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        """For each word its log probability per language, that of the best candidate being 0."""
+        weights, count = self.model.weights, len(self.model.languages)
+        of, bucket = gram_buckets(words, self.model.longest, len(weights))
+        out = np.stack([np.bincount(of, weights[bucket, x], len(words)) for x in range(count)], 1)
+        near = self.model.scripts[_SCRIPT[scripts_of(words)]]
+        foreign = ~near & near.any(axis=1)[:, None]
+        out[foreign] = -np.inf
+        out -= out.max(axis=1)[:, None]
+        out[~near.any(axis=1)] = 0.0  # a script no language was seen in tells nothing
+        return np.maximum(out, self.FOREIGN)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best sequence of languages.
@@ -219,28 +218,53 @@ class Labeller:
             path[t - 1] = back[t, path[t]]
         return path
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, score from 0 to 1, and spans (first character, end, language)."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list]]:
+        """Language, score from 0 to 1, and spans (first character, end, language) of each."""
+        nothing = (UNKNOWN, 0.0, [])
+        if not self.model.languages:
+            return [nothing] * len(texts)
+        found = [_words(t or "") for t in texts]
+        known: dict[str, int] = {}
+        ids = [[known.setdefault(w, len(known)) for w in words] for words in found]
+        if not known:
+            return [nothing] * len(texts)
+        scores = self.word_scores(list(known))
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        return [
+            self._one(t, words, scores[at], sizes[at]) if words else nothing
+            for t, words, at in zip(texts, found, ids, strict=True)
+        ]
+
+    def _one(self, text: str, words: list[str], scores: np.ndarray, sizes: np.ndarray) -> tuple:
         languages = self.model.languages
-        found = list(WORD.finditer(text)) if text and languages else []
-        if not found:
-            return UNKNOWN, 0.0, []
-        words = [m.group().lower() for m in found]
-        scores = self.word_scores(words)
         path = self.path(scores)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
         letters = np.bincount(path, weights=sizes, minlength=len(languages))
         main = int(letters.argmax())
         own = scores[path == main].sum(axis=0)
         sure = 1.0 / np.exp(np.minimum(own - own[main], 50.0)).sum()
-        cuts = np.flatnonzero(np.diff(path)) + 1
+        cuts = (np.flatnonzero(np.diff(path)) + 1).tolist()
+        if cuts:
+            at = _places(text)
+        else:  # only the ends are needed
+            begin = WORD.search(text).start()
+            at = [(begin, len(text) - WORD.search(text[::-1]).start())] * len(words)
         spans = [
-            (found[a].start(), found[b - 1].end(), languages[path[a]])
+            {"begin": at[a][0], "end": at[b - 1][1], "lang": languages[path[a]]}
             for a, b in zip([0, *cuts], [*cuts, len(path)], strict=True)
         ]
         return languages[main], float(sure * letters[main] / letters.sum()), spans
 
 
+def _words(text: str) -> list[str]:
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    low = text.lower()
+    return [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
+
+
 def identify(
     docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
@@ -258,14 +282,9 @@ def identify(
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            rows = [labeller.label(t) for t in batch]
-            yield pd.DataFrame(
-                {
-                    "lang_pred": [r[0] for r in rows],
-                    "score": [r[1] for r in rows],
-                    "spans": [[{"begin": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows],
-                }
-            )
+            values = ["" if t is None else t for t in batch]
+            rows = [r for _, part in chunks(values, values) for r in labeller.label(part)]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
     clash = {"lang_pred", "score", "spans"} & {c.lower() for c in keep}
     if clash:
@@ -275,6 +294,6 @@ def identify(
     return rows.select("kept.*", "l.lang_pred", "l.score", "l.spans")
 
 
-def held_out(id_column) -> object:
+def held_out(id_column: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id as text leaves 1 by 3."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -6,16 +6,112 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm import chat_format, language_id
+from zonewright.llm import chat_format, language_id, mtree
 from zonewright.llm.common import table
+from zonewright.llm.decontaminate import contaminated
+from zonewright.llm.jaccard import near_duplicates
+from zonewright.llm.line_dedup import dedup_lines
+from zonewright.llm.packing import pack_documents
+from zonewright.llm.recompression import dedup_passages
+from zonewright.llm.suffix_dedup import dedup_substrings
 from zonewright.llm.token_counts import token_counts
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+        FROM documents),
+    keyed AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines),
+    marked AS (
+        SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone
+        FROM keyed)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), ''))
+               AS kept_sha256
+    FROM marked GROUP BY doc_id"""
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+OP4_SQL = """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM pairs
+    WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER best <= 20"""
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+    WITH words AS (
+        SELECT 'd' AS side, doc_id AS id, list_filter(
+            string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM documents
+        UNION ALL
+        SELECT 'b', item_id, list_filter(
+            string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')
+        FROM benchmark),
+    grams AS (
+        SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS gram
+        FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM words WHERE len(w) >= 5)),
+    items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM grams WHERE side = 'b')
+    SELECT d.id AS doc_id, b.id AS item_id, b.n AS n_grams, count(*) AS n_shared,
+           count(*) / b.n AS containment
+    FROM items b JOIN grams d ON d.side = 'd' AND d.gram = b.gram
+    GROUP BY d.id, b.id, b.n HAVING count(*) >= ceil(0.8 * b.n - 1e-9)"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out(F.col("doc_id"))
@@ -79,11 +175,23 @@ OP10_SQL = r"""
 
 def queries() -> dict:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_exact_top_k": op4_exact_top_k,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_token_counts": op6_token_counts,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {
+        "op3_line_dedup": OP3_SQL,
+        "op4_exact_top_k": OP4_SQL,
+        "op7_benchmark_decontamination": OP7_SQL,
+        "op10_chat_format": OP10_SQL,
+    }
