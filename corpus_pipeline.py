@@ -1,35 +1,87 @@
-"""Prepares a corpus of documents in stages; each keeps part of what the one before it kept."""
+"""Prepares a corpus of documents in stages; each works on all that the one before it kept.
+
+The texts of ``documents`` change in the second stage; ``n_chars`` follows them, the other
+columns stay as they are.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zonewright.llm import language_id
 from zonewright.llm.common import keep, table
+from zonewright.llm.decontaminate import contaminated
+from zonewright.llm.jaccard import near_duplicates
+from zonewright.llm.line_dedup import dedup_lines
+from zonewright.llm.packing import pack_documents
 
 #: Below this score the language of a text counts as unknown.
 LEAST_SCORE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with some certainty."""
-    learn = table(spark, sf_dir, "documents")
-    model = language_id.train(learn.where(~language_id.held_out(learn["doc_id"])))
+    """Documents whose language is known with some certainty: not those without a letter."""
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(docs, model, keep=docs.columns)
-    known = found["lang_pred"] != language_id.UNKNOWN
-    return found.where(known & (found["score"] >= LEAST_SCORE)).select(*docs.columns)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document has; a document left with nothing goes."""
+    found = dedup_lines(docs, keep=docs.columns)
+    left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.where(left).select(
+        *[
+            F.when(F.col("n_dropped") > 0, changed[c]).otherwise(F.col(f"kept.{c}")).alias(c)
+            if c in changed
+            else F.col(f"kept.{c}")
+            for c in docs.columns
+        ]
+    )
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id, and it once."""
+    own = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    first = (
+        near_duplicates(docs)
+        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        .select(own.alias("_own"))
+        .distinct()
+    )
+    kept = docs.withColumn("_own", own).join(first, "_own", "left_semi")
+    return kept.dropDuplicates(["_own", "text"]).drop("_own")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language", by_language)]
+STAGES = [
+    ("language ID", by_language),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
 
-#: Neither the language model nor the packing can be said in SQL.
+#: SQL has neither the language model nor the tokenizer nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
