@@ -374,10 +374,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries; those of the subpackage ``llm`` and its pipeline only where they are there."""
     found = zone_queries()
     if llm:
-        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+        more = llm.queries() | {"pipeline": corpus_pipeline.run}
+        found |= {name: with_package(query) for name, query in more.items()}
     return found
 
 
+def with_package(query: Callable[[SparkSession, str], DataFrame]):
+    """``query``, with Python workers that find this package; a cluster installs it on them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def oracle_sql() -> dict[str, str]:
     found = zone_sql()
     if llm:
