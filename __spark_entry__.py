@@ -123,6 +123,13 @@ def ingest_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, spec, "part.parquet").toDF(*names)
 
 
+def ingest_documents_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, quotes and blanks, through a CSV zone and back."""
+    raw = Zone(f"{scratch_dir(spark)}/raw", "csv", multi_line=True, null_text="\\N")
+    ingest(spark, customer_spec(spark, sf_dir, raw=raw), "documents.parquet")
+    return read_zone(spark, raw, "documents.parquet", table(spark, sf_dir, "documents").schema)
+
+
 def write_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = Zone(scratch_dir(spark))
     write_zone(
@@ -139,8 +146,7 @@ def mask_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mask_columns(documents, ["text", "source"]).drop("text")
+    return mask_columns(table(spark, sf_dir, "documents"), ["text", "source"]).drop("text")
 
 
 def cast_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,17 +221,36 @@ def lookup_upsert_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_upsert(stored, lookup_projection(late, NAMES, DAY_2), NAMES, DAY_2)
 
 
+def lookup_upsert_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names stored in two parts. In the batch a third of them are cut elsewhere, which gives
+    the same key, a third are new, and some have no second part on either side."""
+    kind, parts = F.col("c_custkey") % 3, ["head", "tail"]
+
+    def lookup(cut, name, day: str) -> DataFrame:
+        tail = F.substr(name, cut + 1, F.lit(99))
+        rows = table(spark, sf_dir, "customer").select(
+            F.substr(name, F.lit(1), cut).alias("head"),
+            F.when(F.col("c_custkey") % 7 != 0, tail).alias("tail"),
+        )
+        return lookup_projection(mask_columns(rows, parts), parts, day)
+
+    stored = lookup_bootstrap(lookup(F.lit(12), F.col("c_name"), DAY_1))
+    cut = F.when(kind == 1, 10).otherwise(12)
+    name = F.when(kind == 2, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    return lookup_upsert(stored, lookup(cut, name, DAY_2), parts, DAY_2)
+
+
 # -- the type-2 history ----------------------------------------------------------------
 
 KEYS = ["o_custkey"]
 TRACKED = ["o_orderstatus", "o_orderpriority"]
 
 
-def _order_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _order_states(spark: SparkSession, sf_dir: str, spans: list | None = None) -> list[DataFrame]:
     """Per customer, status and priority of the last order, in each of three spans of days."""
     orders = table(spark, sf_dir, "orders").select(*KEYS, "o_orderdate", "o_orderkey", *TRACKED)
     date = F.col("o_orderdate")
-    spans = [
+    spans = spans or [
         date < "1996-01-01",
         (date >= "1996-01-01") & (date < "1999-01-01"),
         date >= "1999-01-01",
@@ -235,13 +260,19 @@ def _order_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [mask_columns(df.select(*KEYS, *TRACKED), ["o_orderstatus"]) for df in last]
 
 
+def _order_halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The same before and after one day."""
+    date = F.col("o_orderdate")
+    return _order_states(spark, sf_dir, [date < "1996-01-01", date >= "1996-01-01"])
+
+
 def detect_changes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second, _ = _order_states(spark, sf_dir)
+    first, second = _order_halves(spark, sf_dir)
     return detect_changes(scd2_open(first, DAY_1), second, KEYS, TRACKED)
 
 
 def stage_updates_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second, _ = _order_states(spark, sf_dir)
+    first, second = _order_halves(spark, sf_dir)
     changed = detect_changes(scd2_open(first, DAY_1), second, KEYS, TRACKED)
     return stage_updates(changed, second, KEYS)
 
@@ -252,6 +283,15 @@ def scd2_merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2_merge(history, third, KEYS, TRACKED, DAY_3)
 
 
+def scd2_merge_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merges, by the way taken for small batches."""
+    first, second, third = _order_states(spark, sf_dir)
+    history = scd2_open(first, DAY_1)
+    for batch, day in ((second, DAY_2), (third, DAY_3)):
+        history = scd2_merge(history, batch, KEYS, TRACKED, day, broadcast_batch=True)
+    return history
+
+
 def scd2_merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch holds every event of a user; the last one counts."""
     events = table(spark, sf_dir, "events")
@@ -275,23 +315,30 @@ def scd2_merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = customer_spec(spark, sf_dir)
-    ingest(spark, spec, "orders.parquet")
-    return validate_raw(spark, spec, "orders.parquet")
+    """A landing zone with NULL and NaN, which count as no values."""
+    landing = Zone(f"{scratch_dir(spark)}/landing")
+    price = F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice"))
+    priority = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders")
+    write_zone(
+        orders.withColumns({"o_totalprice": price, "o_orderpriority": priority}), landing, "orders"
+    )
+    spec = customer_spec(spark, sf_dir, landing=landing)
+    ingest(spark, spec, "orders")
+    return validate_raw(spark, spec, "orders")
 
 
 def reconcile_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target with lost values, a lost column and a column of its own."""
     lineitem = table(spark, sf_dir, "lineitem")
-    target = lineitem.select(
-        "l_orderkey",
-        F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"),
-        F.when(F.col("l_tax") > 0, F.col("l_tax")).otherwise(F.lit(float("nan"))).alias("l_tax"),
-        F.lit("x").alias("l_extra"),
-    )
-    report = reconcile(
-        lineitem.select("l_orderkey", "l_discount", "l_tax", "l_quantity"), target
-    )
+    target = lineitem.withColumns(
+        {
+            "l_discount": F.when(F.col("l_discount") > 0, F.col("l_discount")),
+            "l_tax": F.when(F.col("l_tax") > 0, F.col("l_tax")).otherwise(F.lit(float("nan"))),
+            "l_extra": F.lit("x"),
+        }
+    ).drop("l_quantity")
+    report = reconcile(lineitem, target)
     return report.fillna(0, ["source_count", "target_count"])
 
 
@@ -301,6 +348,19 @@ def reconcile_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_staging(spark, spec, "customer.parquet")
 
 
+def _csv_zones(spark: SparkSession, sf_dir: str) -> JobSpec:
+    root = scratch_dir(spark)
+    return customer_spec(
+        spark, sf_dir, raw=Zone(f"{root}/raw", "csv"), staging=Zone(f"{root}/staging", "csv")
+    )
+
+
+def reconcile_staging_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = _csv_zones(spark, sf_dir)
+    run_chain(spark, spec, "customer.parquet", DAY_1)
+    return validate_staging(spark, spec, "customer.parquet")
+
+
 def check_types_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = cast_columns(table(spark, sf_dir, "lineitem"), PRICE_RULES)
     return check_types(staged, [*PRICE_RULES, "l_shipdate:StringType:TimestampType"])
@@ -357,6 +417,18 @@ def zone_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_chain(spark, customer_spec(spark, sf_dir), "customer.parquet", DAY_1)
 
 
+def zone_chain_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and staging as CSV, so every raw value is text."""
+    return run_chain(spark, _csv_zones(spark, sf_dir), "customer.parquet", DAY_1)
+
+
+def zone_chain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup table that the chain leaves."""
+    spec = customer_spec(spark, sf_dir)
+    run_chain(spark, spec, "customer.parquet", DAY_1)
+    return read_lookup(spark, spec)
+
+
 def zone_chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = event_spec(spark, sf_dir, partition_cols=("event_type",))
     return run_chain(spark, spec, "events.parquet", DAY_1)
@@ -403,6 +475,7 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_parquet": ingest_parquet,
         "ingest_csv": ingest_csv,
         "ingest_convert": ingest_convert,
+        "ingest_documents_csv": ingest_documents_csv,
         "write_partitioned": write_partitioned,
         "mask_sha256": mask_sha256,
         "mask_documents": mask_documents,
@@ -415,18 +488,23 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lookup_bootstrap": lookup_bootstrap_customer,
         "lookup_first_run": lookup_first_run_orders,
         "lookup_upsert": lookup_upsert_buyers,
+        "lookup_upsert_collisions": lookup_upsert_collisions,
         "detect_changes": detect_changes_orders,
         "stage_updates": stage_updates_orders,
         "scd2_merge": scd2_merge_orders,
+        "scd2_merge_broadcast": scd2_merge_broadcast,
         "scd2_merge_ordered": scd2_merge_ordered,
         "reconcile_zones": reconcile_zones,
         "reconcile_failures": reconcile_failures,
         "reconcile_staging": reconcile_staging,
+        "reconcile_staging_csv": reconcile_staging_csv,
         "check_types": check_types_lineitem,
         "raw_to_staging": raw_to_staging_customer,
         "staging_lookup_dictionary": staging_lookup_dictionary,
         "staging_lookup_history": staging_lookup_history,
         "zone_chain": zone_chain,
+        "zone_chain_csv": zone_chain_csv,
+        "zone_chain_lookup": zone_chain_lookup,
         "zone_chain_events": zone_chain_events,
     }
 
@@ -455,6 +533,10 @@ _STATES = f"""
     s2 AS ({_order_state_sql("o_orderdate >= '1996-01-01' AND o_orderdate < '1999-01-01'")}),
     s3 AS ({_order_state_sql("o_orderdate >= '1999-01-01'")})"""
 
+_HALVES = f"""
+    s1 AS ({_order_state_sql("o_orderdate < '1996-01-01'")}),
+    s2 AS ({_order_state_sql("o_orderdate >= '1996-01-01'")})"""
+
 _CHANGED = """
     SELECT s2.* FROM s2 JOIN s1 ON s1.o_custkey IS NOT DISTINCT FROM s2.o_custkey
     WHERE s1.o_orderstatus IS DISTINCT FROM s2.o_orderstatus
@@ -502,6 +584,21 @@ def zone_sql() -> dict[str, str]:
         "o_orderpriority",
     ]
     part = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    untouched = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+    untouched += ["l_returnflag", "l_linestatus", "l_shipdate"]
+    staging_counts = f"""
+        {_counts("customer", customer)}
+        UNION ALL
+        SELECT 'masked_c_mktsegment', count(c_mktsegment), count(c_mktsegment), 'success'
+        FROM customer"""
+    merged = f"""
+            WITH {_STATES},
+            t1 AS (
+                SELECT *, DATE '{DAY_1}' AS "effectiveDate",
+                       CAST(NULL AS DATE) AS "updateDate", true AS "current"
+                FROM s1),
+            t2 AS ({_scd2_sql("t1", "s2", DAY_2)})
+            {_scd2_sql("t2", "s3", DAY_3)}"""
     bought = "SELECT o_custkey FROM orders WHERE o_orderdate"
     events_staged = """
         SELECT CAST(event_id AS VARCHAR) AS event_id, ts, event_type,
@@ -516,13 +613,14 @@ def zone_sql() -> dict[str, str]:
         "ingest_convert": "SELECT "
         + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in part)
         + " FROM part",
+        "ingest_documents_csv": "SELECT * FROM documents",
         "write_partitioned": "SELECT * FROM lineitem",
         "mask_sha256": """
             SELECT *, sha256(c_name) AS masked_c_name,
                    sha256(CAST(c_custkey AS VARCHAR)) AS masked_c_custkey
             FROM customer""",
         "mask_documents": """
-            SELECT doc_id, source, sha256(text) AS masked_text, sha256(source) AS masked_source
+            SELECT * EXCLUDE (text), sha256(text) AS masked_text, sha256(source) AS masked_source
             FROM documents""",
         "cast_decimal": """
             SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -584,20 +682,34 @@ def zone_sql() -> dict[str, str]:
                 SELECT 1 FROM stored
                 WHERE stored.c_name || stored.c_mktsegment = batch.c_name || batch.c_mktsegment)
             """,
-        "detect_changes": f"WITH {_STATES} {_CHANGED}",
+        "lookup_upsert_collisions": f"""
+            WITH parts AS (
+                SELECT c_custkey, c_custkey % 7 = 0 AS short, c_name,
+                       CASE WHEN c_custkey % 3 = 1 THEN 10 ELSE 12 END AS cut,
+                       CASE WHEN c_custkey % 3 = 2 THEN c_name || 'x' ELSE c_name END AS name
+                FROM customer),
+            both_sides AS (
+                SELECT substr(c_name, 1, 12) AS head,
+                       CASE WHEN NOT short THEN substr(c_name, 13) END AS tail,
+                       DATE '{DAY_1}' AS "effectiveDate",
+                       CASE WHEN c_custkey % 3 = 1 AND NOT short THEN '{DAY_2}' ELSE 'null' END
+                           AS "updateDate"
+                FROM parts
+                UNION ALL
+                SELECT substr(name, 1, cut), CASE WHEN NOT short THEN substr(name, cut + 1) END,
+                       DATE '{DAY_2}', NULL
+                FROM parts WHERE short OR c_custkey % 3 = 2)
+            SELECT head, sha256(head) AS masked_head, tail, sha256(tail) AS masked_tail,
+                   "effectiveDate", "updateDate", 'true' AS "current"
+            FROM both_sides""",
+        "detect_changes": f"WITH {_HALVES} {_CHANGED}",
         "stage_updates": f"""
-            WITH {_STATES}
+            WITH {_HALVES}
             SELECT CAST(NULL AS VARCHAR) AS "mergeKey", c.* FROM ({_CHANGED}) c
             UNION ALL
             SELECT CAST(o_custkey AS VARCHAR), s2.* FROM s2""",
-        "scd2_merge": f"""
-            WITH {_STATES},
-            t1 AS (
-                SELECT *, DATE '{DAY_1}' AS "effectiveDate",
-                       CAST(NULL AS DATE) AS "updateDate", true AS "current"
-                FROM s1),
-            t2 AS ({_scd2_sql("t1", "s2", DAY_2)})
-            {_scd2_sql("t2", "s3", DAY_3)}""",
+        "scd2_merge": merged,
+        "scd2_merge_broadcast": merged,
         "scd2_merge_ordered": f"""
             WITH last AS (
                 SELECT user_id, ts, event_id, event_type, ts >= '2024-01-03' AS late
@@ -615,12 +727,15 @@ def zone_sql() -> dict[str, str]:
             SELECT b.user_id, b.ts, b.event_id, b.event_type, DATE '{DAY_2}', NULL, true
             FROM b LEFT JOIN s ON s.user_id = b.user_id
             WHERE s.user_id IS NULL OR b.event_type <> s.event_type""",
-        "reconcile_zones": _counts("orders", orders),
-        "reconcile_failures": """
-            SELECT '*' AS column_name, count(*) AS source_count, count(*) AS target_count,
-                   'success' AS status FROM lineitem
-            UNION ALL
-            SELECT 'l_orderkey', count(*), count(*), 'success' FROM lineitem
+        "reconcile_zones": _counts(
+            """(SELECT * REPLACE (CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END
+                                      AS o_totalprice,
+                                  CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END
+                                      AS o_orderpriority) FROM orders)""",
+            orders,
+        ),
+        "reconcile_failures": _counts("lineitem", untouched)
+        + """
             UNION ALL
             SELECT 'l_discount', count(*), count(*) FILTER (l_discount > 0), 'failed'
             FROM lineitem
@@ -630,11 +745,8 @@ def zone_sql() -> dict[str, str]:
             SELECT 'l_quantity', count(*), 0, 'missing_in_target' FROM lineitem
             UNION ALL
             SELECT 'l_extra', 0, count(*), 'missing_in_source' FROM lineitem""",
-        "reconcile_staging": _counts("customer", customer)
-        + """
-            UNION ALL
-            SELECT 'masked_c_mktsegment', count(c_mktsegment), count(c_mktsegment), 'success'
-            FROM customer""",
+        "reconcile_staging": staging_counts,
+        "reconcile_staging_csv": staging_counts,
         "check_types": """
             SELECT 'l_extendedprice' AS column_name, 'decimal scale 2' AS expected_type,
                    'decimal(10,2)' AS actual_type, count(l_extendedprice) AS n,
@@ -668,5 +780,12 @@ def zone_sql() -> dict[str, str]:
             SELECT c_custkey, 'CHANGED', sha256('CHANGED'), DATE '{DAY_2}', NULL, true
             FROM customer WHERE c_acctbal < 0""",
         "zone_chain": _CUSTOMER_STAGED,
+        "zone_chain_csv": _CUSTOMER_STAGED.replace(
+            "SELECT c_custkey", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey"
+        ),
+        "zone_chain_lookup": f"""
+            SELECT c_name, sha256(c_name) AS masked_c_name, DATE '{DAY_1}' AS "effectiveDate",
+                   'null' AS "updateDate", 'true' AS "current"
+            FROM customer""",
         "zone_chain_events": events_staged,
     }

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
+import zonewright.operators.scd2 as scd2
 import zonewright.plans.jobs as jobs
 from zonewright import JobSpec, Zone, write_zone
 from zonewright.__main__ import main
@@ -196,7 +197,7 @@ def run(spark, spec, tmp_path):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_dictionary_appends_then_starts_a_generation(run, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(jobs, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(scd2, "fits_broadcast", lambda df: small)
     run([(1, "ab", "c"), (2, "x", None)], DAY_1)
     lookup = run([(1, "ab", "c"), (3, "n", "n")], DAY_2)
     assert sorted((r.a, r.b or "", str(r.effectiveDate)) for r in lookup.collect()) == [
@@ -215,7 +216,7 @@ def test_dictionary_appends_then_starts_a_generation(run, tmp_path, monkeypatch,
 
 @pytest.mark.parametrize("small", [True, False])
 def test_dictionary_repeats_raise_unless_dropped(run, monkeypatch, small):
-    monkeypatch.setattr(jobs, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(scd2, "fits_broadcast", lambda df: small)
     rows = [(1, "x", "y"), (2, "x", "y")]
     with pytest.raises(ValueError, match="match one lookup row"):
         run(rows, DAY_1)
@@ -227,7 +228,7 @@ def test_dictionary_repeats_raise_unless_dropped(run, monkeypatch, small):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_history_over_three_runs(spark, run, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(jobs, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(scd2, "fits_broadcast", lambda df: small)
     keyed = {"lookup_keys": ("k",)}
     run([(1, "a", "x"), (2, "b", "y")], DAY_1, **keyed)
     run([(1, "a2", "x"), (3, None, "z")], DAY_2, **keyed)
@@ -375,3 +376,80 @@ def test_command_line(spark, tmp_path, capsys):
     write_zone(spark.range(1), spec.raw, "customer.parquet", mode="overwrite")
     with pytest.raises(ValueError, match="data check failed"):
         main(["validate-raw", *rest])
+
+
+def test_zones_may_not_lie_in_each_other(spark, spec, tmp_path, customer):
+    write_zone(customer, Zone(str(tmp_path / "land")), "c")
+    land = Zone(f"file:{tmp_path}/./land")
+    plain = Zone(str(tmp_path / "land"))
+    jobs_of = [
+        (ingest, {"landing": land, "raw": plain}),
+        (ingest, {"landing": Zone(str(tmp_path)), "raw": Zone(str(tmp_path / "c"))}),
+        (lambda *a: run_chain(*a[:3], DAY_1, a[3]), {"landing": land, "staging": plain}),
+        (lambda *a: run_chain(*a[:3], DAY_1, a[3]), {"landing": land, "lookup_path": f"{plain.root}/c"}),
+    ]
+    for job, zones in jobs_of:
+        with pytest.raises(ValueError, match="onto itself"):
+            job(spark, spec(**zones), "c", "overwrite")
+    assert spark.read.parquet(str(tmp_path / "land" / "c")).count() == 150
+
+
+@pytest.mark.parametrize("raw", ["parquet", "csv"])
+@pytest.mark.parametrize("staging", ["parquet", "csv"])
+def test_formats_in_every_position(spark, spec, tmp_path, raw, staging):
+    job = spec(raw=Zone(str(tmp_path / "r"), raw), staging=Zone(str(tmp_path / "s"), staging))
+    staged = run_chain(spark, job, "customer.parquet", DAY_1)
+    assert staged.count() == 150 and "masked_c_mktsegment" in staged.columns
+    for report in (
+        jobs.validate_raw(spark, job, "customer.parquet"),
+        jobs.validate_staging(spark, job, "customer.parquet"),
+    ):
+        assert {r.status for r in report.collect()} == {"success"}
+
+
+def test_a_failed_check_leaves_the_lookup_as_it_was(spark, spec, tmp_path):
+    landing = Zone(str(tmp_path / "land"))
+    table = spark.sql("select 1 id, 'x' c_name, cast(null as array<string>) a")
+    write_zone(table, landing, "t")
+    job = spec(
+        landing=landing, masking_cols=("c_name",), cast_rules=("a:StringType:ArrayType",)
+    )
+    with pytest.raises(ValueError, match="data check failed"):
+        run_chain(spark, job, "t", DAY_1)
+    assert read_lookup(spark, job) is None
+    staged = run_chain(spark, job, "t", DAY_1, "overwrite", may_differ=("A",))
+    assert staged.count() == 1 and read_lookup(spark, job).count() == 1
+
+
+def test_a_new_column_of_some_files_reaches_raw(spark, spec, tmp_path):
+    landing = Zone(str(tmp_path / "land"))
+    write_zone(spark.sql("select 1 id"), landing, "t")
+    write_zone(spark.sql("select 2 id, 'new' z"), landing, "t", "append")
+    raw = ingest(spark, spec(landing=landing), "t")
+    assert sorted(raw.columns) == ["id", "z"] and raw.where("z = 'new'").count() == 1
+
+
+def test_the_stored_dictionary_is_read_once(spark, spec, tmp_path, plan):
+    from zonewright.operators.dictionary import lookup_projection, match_stored
+    from zonewright.operators.masking import mask_columns
+
+    customer = spark.read.parquet(f"{SF}/customer.parquet")
+    rows = lookup_projection(mask_columns(customer, ["c_name"]), ["c_name"], DAY_1)
+    stored = jobs.lookup_table.replace_dictionary(
+        spark, str(tmp_path / "d"), rows.selectExpr("*", "'null' updateDate", "'true' current")
+    )
+    text = plan(match_stored(spark.read.parquet(stored), rows, ["c_name"]))
+    assert text.count("FileScan") == 2 and "SortAggregate" not in text
+    assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_an_append_of_nothing_writes_nothing(spark, tmp_path):
+    root = str(tmp_path / "d")
+    rows = spark.sql("select 1 a")
+    lookup_table.replace_dictionary(spark, root, rows)
+    lookup_table.append_dictionary(spark, root, rows.where("a = 2"))
+    assert len(list((tmp_path / "d" / "gen=0").iterdir())) == 1
+    for _ in range(lookup_table.MOST_ADDS):
+        lookup_table.append_dictionary(spark, root, rows)
+    assert (tmp_path / "d" / "gen=1").exists()
+    assert lookup_table.read_dictionary(spark, root).count() == lookup_table.MOST_ADDS + 1

@@ -106,3 +106,20 @@ def test_names_are_compared_as_the_session_does(spark):
             pii_swap(mask_columns(df, ["Name"]), ["Name"], ["name"])
     finally:
         spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_masks_of_instants_do_not_depend_on_the_session(spark):
+    from zonewright import mask_columns
+
+    def masks():
+        df = spark.sql("select timestamp_micros(id * 123456789012345L) t from range(-3, 9)")
+        return [r.masked_t for r in mask_columns(df, ["t"]).collect()]
+
+    utc = masks()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert masks() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    plain = spark.sql("select sha2(string(timestamp_micros(id * 123456789012345L)), 256) h from range(-3, 9)")
+    assert [r.h for r in plain.collect()] == utc

@@ -38,7 +38,6 @@ def test_rules_are_read():
         "c:DecimalType:x:a",
         "c:DecimalType:x:11",
         "c:DecimalType:x:-1",
-        "c:StringType:x:y",
     ],
 )
 def test_bad_rules_raise(text):
@@ -88,3 +87,9 @@ def test_unmasked_pii_and_missing_lookup_raise():
         JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), pii_cols=("x",))
     with pytest.raises(ValueError, match="to follow"):
         JobSpec("d", Zone("/a"), Zone("/b"), Zone("/c"), ("x",), lookup_keys=("k",))
+
+
+def test_further_fields_of_a_rule_mean_nothing():
+    assert CastRule.parse("c:StringType:ArrayType:0").kind == "array"
+    assert CastRule.parse("c:StringType:IntegerType:0").kind == "string"
+    assert CastRule.parse("c:DecimalType:DoubleType:2:x") == CastRule("c", "decimal", 2)

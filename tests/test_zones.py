@@ -1,5 +1,5 @@
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from zonewright import Zone, read_zone, write_zone
@@ -80,3 +80,49 @@ def test_partitioned_write_without_a_shuffle(spark, customer, tmp_path, same_row
     zone = Zone(str(tmp_path))
     write_zone(customer, zone, "c", partition_by=["c_mktsegment"], rebalance=False)
     same_rows(read_zone(spark, zone, "c").select(customer.columns), customer)
+
+
+AWKWARD = [
+    ("  x ", 1), ('say "so", then', 2), ("back\\slash \\", 3), ("", 4), (None, 5), ("a,b", 6),
+    ("\\", 7), ('"', 8), ("é\t", 9), ("#", 10),
+]
+
+
+def test_csv_keeps_every_text(spark, tmp_path, same_rows):
+    zone = Zone(str(tmp_path), "csv", null_text="NULL!")
+    df = spark.createDataFrame(AWKWARD, "s string, n int")
+    write_zone(df, zone, "t")
+    same_rows(read_zone(spark, zone, "t", df.schema), df)
+    with pytest.raises(PySparkException, match="text for NULL"):
+        write_zone(spark.createDataFrame([("NULL!", 1)], df.schema), zone, "u")
+
+
+def test_csv_with_line_breaks(spark, tmp_path, same_rows):
+    df = spark.createDataFrame([("a\nb", 1), ("c\r\nd\n", 2), ('"\n,', 3)], "s string, n int")
+    with pytest.raises(PySparkException, match="line break"):
+        write_zone(df, Zone(str(tmp_path), "csv"), "t")
+    zone = Zone(str(tmp_path), "csv", multi_line=True)
+    write_zone(df, zone, "u")
+    same_rows(read_zone(spark, zone, "u", df.schema), df)
+
+
+@pytest.mark.parametrize("line", ["b,2,LOST", "b"])
+def test_csv_lines_of_another_length_raise(spark, tmp_path, line):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part.csv").write_text(f"a,1\n{line}\n")
+    zone = Zone(str(tmp_path), "csv")
+    for columns in (["_c0"], ["_c0", "_c1"]):
+        with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):
+            read_zone(spark, zone, "t").select(columns).collect()
+
+
+def test_columns_of_all_parquet_files(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "t" / "p=1"))
+    spark.sql("select 5L id, 7 z").write.parquet(str(tmp_path / "t" / "p=2"))
+    both = read_zone(spark, Zone(str(tmp_path)), "t", merge_schema=True)
+    assert set(both.columns) == {"id", "z", "p"} and both.where("z = 7").count() == 1
+
+
+def test_null_in_a_single_csv_column(spark, tmp_path):
+    with pytest.raises(PySparkException, match="one column"):
+        write_zone(spark.sql("select cast(null as string) a"), Zone(str(tmp_path), "csv"), "t")

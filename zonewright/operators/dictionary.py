@@ -28,6 +28,7 @@ NO_UPDATE, CURRENT = "null", "true"
 _KEY = "__key"
 _HASH = "__hash"
 _TOUCHED = "__touched"
+_AMBIGUOUS = "several batch rows match one lookup row"
 
 
 def as_date(as_of: dt.date | str) -> Column:
@@ -90,13 +91,15 @@ def lookup_first_run(
     return lookup_bootstrap(batch).unionByName(again)
 
 
-def touched(new_masks: Sequence[Column], stored_masks: Sequence[Column]) -> Column:
+def touched(
+    new_masks: Sequence[Column], stored_masks: Sequence[Column], current: Column | None = None
+) -> Column:
     """Whether a matched stored row gets an ``updateDate``: some mask differs.
 
     AND binds tighter than OR here, so ``current`` guards the first column only.
     """
     differs = [new != old for new, old in zip(new_masks, stored_masks, strict=True)]
-    first = F.col("current").cast("boolean") & differs[0]
+    first = (F.col("current") if current is None else current).cast("boolean") & differs[0]
     return reduce(lambda a, b: a | b, differs[1:], first)
 
 
@@ -143,7 +146,7 @@ def upsert_parts(
         .where(
             require(
                 F.coalesce(~(matched & (F.col("b_rows") > 1)), F.lit(True)),
-                "several batch rows match one lookup row",
+                _AMBIGUOUS,
             )
         )
         .withColumn(
@@ -174,6 +177,68 @@ def upsert_parts(
     return stored, new
 
 
+def match_stored(lookup: DataFrame, batch: DataFrame, pii_cols: Sequence[str]) -> DataFrame:
+    """``__hash, __key, __touched``: a row per complete key of ``batch`` that is stored. A key
+    with several rows in the batch is ambiguous and fails the query.
+
+    Both sides are reduced per key before their one exchange, the stored table to what its
+    rows of a key differ in, so that a value with many rows travels as one per task.
+    """
+    masks = [masked_name(c) for c in pii_cols]
+
+    def per_key(df: DataFrame, *more: str) -> DataFrame:
+        facts = F.collect_set(F.struct(*[col(c) for c in (*masks, *more)])).alias("facts")
+        rows = _keyed(df, pii_cols).where(F.col(_KEY).isNotNull())
+        return rows.groupBy(_HASH, _KEY).agg(F.count(F.lit(1)).alias("n"), facts)
+
+    stored = per_key(lookup, "current").select(_HASH, _KEY, F.col("facts").alias("s_facts"))
+    new = per_key(batch).select(_HASH, _KEY, F.col("n").alias("b_rows"), "facts")
+    said = F.col("facts")[0]  # of a key with one row; with more the match is ambiguous
+
+    def moves(fact: Column) -> Column:
+        new_masks, old_masks = [said[m] for m in masks], [fact[m] for m in masks]
+        return touched(new_masks, old_masks, fact["current"])
+
+    hit = F.coalesce(F.exists("s_facts", moves), F.lit(False))
+    found = stored.join(new, [_HASH, _KEY]).select(_HASH, _KEY, "b_rows", hit.alias(_TOUCHED))
+    return found.where(require(F.col("b_rows") == 1, _AMBIGUOUS)).drop("b_rows")
+
+
+def unseen_rows(
+    batch: DataFrame, matches: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str
+) -> DataFrame:
+    """What an upsert inserts: rows whose key is not among ``matches``, or is not complete."""
+    rows = _keyed(batch, pii_cols)
+    unseen = rows.where(F.col(_KEY).isNotNull()).join(matches, [_HASH, _KEY], "left_anti")
+    return _inserted(unseen.unionByName(rows.where(F.col(_KEY).isNull())), pii_cols, as_of)
+
+
+def updated_rows(
+    lookup: DataFrame,
+    batch: DataFrame,
+    matches: DataFrame,
+    pii_cols: Sequence[str],
+    as_of: dt.date | str,
+) -> DataFrame:
+    """The stored table with a new ``updateDate`` where a matched row differs from the batch."""
+    masks = [masked_name(c) for c in pii_cols]
+    moved = matches.where(F.col(_TOUCHED)).select(_HASH, _KEY)
+    new = (
+        _keyed(batch, pii_cols)
+        .join(moved, [_HASH, _KEY], "left_semi")
+        .select(_HASH, _KEY, *[col(m).alias(f"__new_{m}") for m in masks])
+    )
+    marked = _keyed(lookup, pii_cols)
+    hit = touched([col(f"__new_{m}") for m in masks], [col(m) for m in masks], F.col("current"))
+    complete = marked.where(F.col(_KEY).isNotNull()).join(new, [_HASH, _KEY], "left")
+    changed = complete.withColumn(
+        "updateDate",
+        F.when(F.coalesce(hit, F.lit(False)), F.lit(str(as_of))).otherwise(F.col("updateDate")),
+    )
+    names = [col(c) for c in lookup.columns]
+    return changed.select(*names).unionByName(marked.where(F.col(_KEY).isNull()).select(*names))
+
+
 def lookup_upsert(
     lookup: DataFrame,
     batch: DataFrame,

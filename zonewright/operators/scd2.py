@@ -9,14 +9,25 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewright.functions.columns import all_same, col, quote, require
+from zonewright.functions.columns import (
+    all_same,
+    col,
+    name_folding,
+    quote,
+    refuse_reserved,
+    require,
+)
 from zonewright.operators.dictionary import as_date, key_of
+from zonewright.sources.size import fits_broadcast
 
 _DUPLICATE = "a business key occurs more than once in one side of the merge"
+_LATE = "the merge is dated before the open version it would close"
 
 
 def _tracked(columns: Sequence[str]) -> Column:
@@ -58,16 +69,32 @@ def detect_changes(
     lookup: DataFrame, batch: DataFrame, keys: Sequence[str], tracked: Sequence[str]
 ) -> DataFrame:
     """Batch rows whose key has an open version with different tracked values."""
+    refuse_reserved(lookup, batch)
+    names = [f"__key_{i}" for i in range(len(keys))]
     open_rows = lookup.where(F.col("current").cast("boolean")).select(
-        *[col(k).alias(f"s_{i}") for i, k in enumerate(keys)],
-        _tracked(tracked).alias("s_tracked"),
+        *[col(k).alias(n) for k, n in zip(keys, names, strict=True)],
+        _tracked(tracked).alias("__tracked"),
     )
-    same_key = all_same([col(k) for k in keys], [F.col(f"s_{i}") for i in range(len(keys))])
-    return batch.join(
-        open_rows,
-        same_key & ~_tracked(tracked).eqNullSafe(F.col("s_tracked")),
-        "left_semi",
+    differs = ~_tracked(tracked).eqNullSafe(F.col("__tracked"))
+    # Whole keys by plain equality, which uses a partitioning by key that is there already; a
+    # null-safe comparison of all would shuffle both sides anew.
+    whole = reduce(and_, [col(k).isNotNull() for k in keys])
+    whole_stored = reduce(and_, [F.col(n).isNotNull() for n in names])
+    equal = reduce(and_, [col(k) == F.col(n) for k, n in zip(keys, names, strict=True)])
+    same_key = all_same([col(k) for k in keys], [F.col(n) for n in names])
+    found = batch.where(whole).join(open_rows.where(whole_stored), equal & differs, "left_semi")
+    if not any(batch.schema[k].nullable for k in _as_named(batch, keys)):
+        return found
+    broken = batch.where(~whole).join(
+        open_rows.where(~whole_stored), same_key & differs, "left_semi"
     )
+    return found.unionByName(broken)
+
+
+def _as_named(df: DataFrame, names: Sequence[str]) -> list[str]:
+    fold = name_folding(df)
+    own = {fold(c): c for c in df.columns}
+    return [own[fold(n)] for n in names]
 
 
 def stage_updates(changed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,8 +139,9 @@ def _merge_shuffled(
     )
     changed = F.col("__paired") & ~F.col("__same")
     closed = is_stored & changed
+    in_time = ~closed | F.coalesce(F.col("effectiveDate") <= as_date(as_of), F.lit(True))
     return (
-        seen.where(require(F.col("__once"), _DUPLICATE))
+        seen.where(require(F.col("__once"), _DUPLICATE) & require(in_time, _LATE))
         .where(is_stored | ~F.col("__paired") | changed)
         .withColumns(
             {
@@ -132,28 +160,26 @@ def _merge_broadcast(
     tracked: Sequence[str],
     as_of: dt.date | str,
 ) -> DataFrame:
-    """The batch goes to every task and the open versions are never shuffled.
-
-    So two open versions of one key, which no merge leaves behind, go unnoticed here.
-    """
+    """The batch goes to every task and the open versions are never shuffled; only those of keys
+    in the batch are grouped, to see that a key has one of them and when it was opened."""
     counted = Window.partitionBy(*[col(k) for k in keys])
     batch = (
         batch.withColumn("__n", F.count(F.lit(1)).over(counted))
         .where(require(F.col("__n") == 1, _DUPLICATE))
         .drop("__n")
     )
-    key_names = [f"b_{i}" for i in range(len(keys))]
+    key_names = [f"__key_{i}" for i in range(len(keys))]
     small = F.broadcast(
         batch.select(
             *[col(k).alias(n) for k, n in zip(keys, key_names, strict=True)],
-            _tracked(tracked).alias("b_tracked"),
-            F.lit(True).alias("b_here"),
+            _tracked(tracked).alias("__tracked"),
+            F.lit(True).alias("__here"),
         )
     )
     same_key = all_same([col(k) for k in keys], [F.col(n) for n in key_names])
-    same_values = _tracked(tracked).eqNullSafe(F.col("b_tracked"))
+    same_values = _tracked(tracked).eqNullSafe(F.col("__tracked"))
 
-    closed = F.col("b_here").isNotNull() & ~same_values
+    closed = F.col("__here").isNotNull() & ~same_values
     kept = (
         current.join(small, same_key, "left")
         .withColumns(
@@ -164,14 +190,26 @@ def _merge_broadcast(
         )
         .select(*[col(c) for c in current.columns])
     )
-    # Open versions that already say what the batch says: no more of them than batch rows.
-    unchanged = F.broadcast(
-        current.join(small, same_key & same_values, "left_semi").select(
-            *[col(k).alias(n) for k, n in zip(keys, key_names, strict=True)]
+    # What is stored under the keys of the batch: no more rows than it has.
+    stored = F.broadcast(
+        current.join(small, same_key)
+        .groupBy(*[F.col(n) for n in key_names])
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.bool_and(same_values).alias("__same"),
+            F.max("effectiveDate").alias("__since"),
         )
     )
-    opened = scd2_open(batch.join(unchanged, same_key, "left_anti"), as_of)
-    return kept.unionByName(opened)
+    known = F.col("__n").isNotNull()
+    changed = ~F.coalesce(F.col("__same"), F.lit(False))
+    in_time = ~(known & changed) | F.coalesce(F.col("__since") <= as_date(as_of), F.lit(True))
+    opened = (
+        batch.join(stored, same_key, "left")
+        .where(require(~known | (F.col("__n") == 1), _DUPLICATE) & require(in_time, _LATE))
+        .where(changed)
+        .select(*[col(c) for c in batch.columns])
+    )
+    return kept.unionByName(scd2_open(opened, as_of))
 
 
 def scd2_merge(
@@ -189,12 +227,16 @@ def scd2_merge(
     everything else is left alone. A key that occurs twice in the batch fails the query,
     unless ``order_by`` names the columns whose greatest values win, which is also the way
     for a batch with many rows of one key: they are reduced before the shuffle. Closed
-    versions take no part in the join. ``broadcast_batch`` asserts that the batch fits an
-    executor.
+    versions take no part in the join. ``broadcast_batch`` has the batch measured, and
+    broadcast if it is small; the result, and what is refused, is the same either way: a key
+    with two open versions, and an ``as_of`` before the version it would close. Column names
+    beginning with ``__`` are refused.
     """
+    refuse_reserved(lookup, batch)
     if order_by:
         batch = latest_per_key(batch, keys, order_by)
     current = lookup.where(F.col("current"))
     history = lookup.where(~F.coalesce(F.col("current"), F.lit(False)))
-    merge = _merge_broadcast if broadcast_batch else _merge_shuffled
+    small = broadcast_batch and fits_broadcast(batch)
+    merge = _merge_broadcast if small else _merge_shuffled
     return history.unionByName(merge(current, batch, keys, tracked, as_of))

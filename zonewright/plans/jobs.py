@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from zonewright.operators.dictionary import (
     lookup_columns,
     lookup_first_run,
     lookup_projection,
-    upsert_parts,
+    match_stored,
+    unseen_rows,
+    updated_rows,
 )
 from zonewright.operators.masking import mask_columns, pii_swap
 from zonewright.operators.quality import (
@@ -30,52 +33,87 @@ from zonewright.operators.quality import (
     settle,
 )
 from zonewright.operators.scd2 import latest_per_key, scd2_merge, scd2_open
-from zonewright.plans.spec import JobSpec, Zone
+from zonewright.plans.spec import JobSpec
 from zonewright.sources import lookup_table
 from zonewright.sources.scratch import materialized
-from zonewright.sources.size import fits_broadcast
-from zonewright.sources.zones import read_zone, write_zone
+from zonewright.sources.zones import dataset_path, qualified, read_zone, write_zone
 
 
 def ingest(
     spark: SparkSession, spec: JobSpec, data_path: str, mode: str = "errorifexists"
 ) -> DataFrame:
     """Copy a dataset from landing to raw, converting the format if the zones differ."""
-    _refuse_overlap(spec.landing, spec.raw)
-    landing = read_zone(spark, spec.landing, data_path)
+    _refuse_overlap(spark, spec, data_path, "raw")
+    landing = _read_landing(spark, spec, data_path)
     write_zone(landing, spec.raw, data_path, mode)
     return _read_raw(spark, spec, data_path, landing)
 
 
-def _refuse_overlap(source: Zone, target: Zone) -> None:
-    """An overwrite would remove the files it is about to read."""
-    if source.root.rstrip("/") == target.root.rstrip("/"):
-        raise ValueError(f"a zone cannot be written onto itself: {target.root}")
+def _refuse_overlap(spark: SparkSession, spec: JobSpec, data_path: str, *written: str) -> None:
+    """What is written may not be what another step reads or writes: neither the same folder,
+    by whatever name, nor one inside the other."""
+    zones = {"landing": spec.landing, "raw": spec.raw, "staging": spec.staging}
+    paths = {name: dataset_path(zone, data_path) for name, zone in zones.items()}
+    if spec.staging_source not in (spec.raw, spec.landing):
+        paths["mask source"] = dataset_path(spec.staging_source, data_path)
+    if spec.lookup_path:
+        paths["lookup"] = spec.lookup_path
+    full = {name: qualified(spark, path).rstrip("/") + "/" for name, path in paths.items()}
+    for a, b in combinations(full, 2):
+        if not {a, b} & set(written) or {a, b} == {"raw", "mask source"}:
+            continue
+        if full[a].startswith(full[b]) or full[b].startswith(full[a]):
+            raise ValueError(
+                f"a zone cannot be written onto itself: {a} {full[a]} and {b} {full[b]}"
+            )
+
+
+def _read_landing(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
+    """All columns that any of its files has."""
+    return read_zone(spark, spec.landing, data_path, merge_schema=True)
+
+
+def _text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
 def _read_raw(
     spark: SparkSession, spec: JobSpec, data_path: str, landing: DataFrame
 ) -> DataFrame:
-    """The raw copy. Parquet has the schema just written; CSV is text, as for any reader."""
-    schema = landing.schema if spec.raw.fmt == "parquet" else None
+    """The raw copy, with the names of landing. Parquet has the types just written; CSV is
+    text, as for any reader."""
+    schema = landing.schema if spec.raw.fmt == "parquet" else _text(landing.schema)
     return read_zone(spark, spec.raw, data_path, schema)
 
 
 def validate_raw(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
     """Report: does raw hold the rows and values of landing?"""
-    return reconcile(
-        read_zone(spark, spec.landing, data_path), read_zone(spark, spec.raw, data_path)
-    )
+    landing = _read_landing(spark, spec, data_path)
+    # CSV has neither names nor types: those of landing, by position.
+    schema = landing.schema if spec.raw.fmt == "csv" else None
+    return reconcile(landing, read_zone(spark, spec.raw, data_path, schema, merge_schema=True))
 
 
-def validate_staging(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
-    """Report: does staging hold the values of raw, column by column?"""
-    return reconcile(
-        read_zone(spark, spec.staging_source, data_path),
-        read_zone(spark, spec.staging, data_path),
-        masked=True,
-        compare_rows=False,
-    )
+def validate_staging(
+    spark: SparkSession,
+    spec: JobSpec,
+    data_path: str,
+    drop_raw: bool = False,
+    may_differ: Sequence[str] = (),
+) -> DataFrame:
+    """Report: does staging hold the values of raw, column by column? ``drop_raw`` as when it
+    was written; ``may_differ`` as for ``reconcile``."""
+    source = _read_staging_source(spark, spec, data_path)
+    schema = _staged(source, spec, drop_raw).schema if spec.staging.fmt == "csv" else None
+    target = read_zone(spark, spec.staging, data_path, schema)
+    return reconcile(source, target, masked=True, compare_rows=False, may_differ=may_differ)
+
+
+def _read_staging_source(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
+    """What staging is made from; a CSV raw zone has the names of landing."""
+    if spec.staging_source == spec.raw and spec.raw.fmt == "csv" and spec.landing.fmt != "csv":
+        return _read_raw(spark, spec, data_path, _read_landing(spark, spec, data_path))
+    return read_zone(spark, spec.staging_source, data_path)
 
 
 def lookup_values(
@@ -131,22 +169,23 @@ def update_dictionary(
     """Merge a ``lookup_projection`` into the dictionary at ``root``."""
     with materialized(batch) as batch:
         stored = lookup_table.read_dictionary(spark, root)
-        repeats = _most(duplicate_keys(batch, pii_cols))
         if stored is None:
+            repeats = _most(duplicate_keys(batch, pii_cols))
             if repeats:
                 raise ValueError(f"{repeats} batch rows match one lookup row")
             first = lookup_first_run(batch, pii_cols, as_of)
             lookup_table.replace_dictionary(spark, root, first)
             return
-        kept, new = upsert_parts(
-            stored, batch, pii_cols, as_of, fits_broadcast(batch), unique_batch=not repeats
-        )
-        # A stored row only changes when two tuples share a key; else just add the new rows.
-        if kept.where(F.col("__touched")).limit(1).count() == 0:
-            lookup_table.append_dictionary(spark, root, new)
-        else:
-            rows = kept.drop("__touched").unionByName(new)
-            lookup_table.replace_dictionary(spark, root, rows)
+        # The one pass over the stored table; what it gives has a row per batch key at most.
+        with materialized(match_stored(stored, batch, pii_cols)) as matches:
+            moved = matches.agg(F.bool_or("__touched")).first()[0]
+            new = unseen_rows(batch, matches, pii_cols, as_of)
+            if not moved:
+                lookup_table.append_dictionary(spark, root, new)
+                return
+            # A stored row only changes when two tuples share a key: then all is rewritten.
+            kept = updated_rows(stored, batch, matches, pii_cols, as_of)
+            lookup_table.replace_dictionary(spark, root, kept.unionByName(new))
 
 
 def update_history(
@@ -173,8 +212,7 @@ def update_history(
     with materialized(batch) as batch:
         if not unique_batch:
             _refuse_repeats(batch, keys)
-        small = fits_broadcast(batch)
-        merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=small)
+        merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=True)
         lookup_table.write_history(spark, root, merged)
 
 
@@ -221,7 +259,7 @@ def raw_to_staging(
 
     The lookup comes last, so a failed staging write leaves it as it was.
     """
-    raw = read_zone(spark, spec.staging_source, data_path)
+    raw = _read_staging_source(spark, spec, data_path)
     return stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error)
 
 
@@ -234,15 +272,18 @@ def stage(
     drop_raw: bool = False,
     salt: str | None = None,
     on_cast_error: str = "raise",
+    check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """``raw_to_staging`` for a dataset that has been opened already."""
+    """``raw_to_staging`` for a dataset that has been opened already. ``check`` sees the
+    staging dataset before the lookup table is changed, and may raise."""
     spark = raw.sparkSession
-    _refuse_overlap(spec.staging_source, spec.staging)
-    # Masks before casts: a hash is always that of the raw value.
-    masked = mask_columns(raw, spec.masking_cols, salt)
-    masked = cast_columns(masked, spec.cast_rules, on_cast_error)
-    staged = pii_swap(masked, spec.masking_cols, spec.pii_cols, drop_raw)
+    _refuse_overlap(spark, spec, data_path, "staging", "lookup")
+    staged = _staged(raw, spec, drop_raw, salt, on_cast_error)
     write_zone(staged, spec.staging, data_path, mode, spec.partition_cols)
+    # With the schema as written: partition values keep their type, CSV columns their names.
+    written = read_zone(spark, spec.staging, data_path, staged.schema)
+    if check:
+        check(written)
     if spec.lookup_keys:
         batch = history_batch(raw, spec, salt, on_cast_error)
         unique = _keys_stay_apart(spec)
@@ -252,8 +293,20 @@ def stage(
     elif spec.pii_cols:
         batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)
         update_dictionary(spark, spec.lookup_path, batch, spec.pii_cols, as_of)
-    # With the schema as written: partition values keep their type, CSV columns their names.
-    return read_zone(spark, spec.staging, data_path, staged.schema)
+    return written
+
+
+def _staged(
+    raw: DataFrame,
+    spec: JobSpec,
+    drop_raw: bool = False,
+    salt: str | None = None,
+    on_cast_error: str = "raise",
+) -> DataFrame:
+    """The staging dataset of ``raw``. Masks before casts: a hash is that of the raw value."""
+    masked = mask_columns(raw, spec.masking_cols, salt)
+    masked = cast_columns(masked, spec.cast_rules, on_cast_error)
+    return pii_swap(masked, spec.masking_cols, spec.pii_cols, drop_raw)
 
 
 def run_chain(
@@ -265,29 +318,41 @@ def run_chain(
     drop_raw: bool = False,
     salt: str | None = None,
     on_cast_error: str = "raise",
+    may_differ: Sequence[str] = (),
 ) -> DataFrame:
-    """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report.
+    """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report, with
+    the lookup table as it was.
 
     The values of landing are counted while they are copied and those of raw once for both
-    comparisons, so each zone is read once for its data and raw and staging once more for
-    their counts.
+    comparisons. So landing is read once, raw three times (its counts, staging, the lookup
+    batch, of which only the columns that matter) and staging once, for its counts.
+    ``may_differ`` names columns whose counts may differ between raw and staging.
     """
-    _refuse_overlap(spec.landing, spec.raw)
-    landing, landing_counts = observe_counts(read_zone(spark, spec.landing, data_path))
+    _refuse_overlap(spark, spec, data_path, "raw", "staging", "lookup")
+    landing, landing_counts = observe_counts(_read_landing(spark, spec, data_path))
     write_zone(landing, spec.raw, data_path, mode)
     raw = _read_raw(spark, spec, data_path, landing)
-    raw_counts = settle(non_null_counts(raw))
+    # CSV is counted with the types of landing, so that NaN is no value on either side.
+    typed = read_zone(spark, spec.raw, data_path, landing.schema)
+    raw_counts = settle(non_null_counts(typed))
     assert_passed(compare_counts(landing_counts(), raw_counts))
 
     if spec.staging_source != spec.raw:
         raw = read_zone(spark, spec.staging_source, data_path)
         raw_counts = non_null_counts(raw)
-    staged = stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error)
-    origins = mask_origins(raw, staged)
-    assert_passed(compare_counts(raw_counts, non_null_counts(staged), origins, False))
-    # Files keep the types of parquet columns; partition values and CSV are text on disk.
-    on_disk = [r for r in spec.cast_rules if r.column not in spec.partition_cols]
-    if on_disk and spec.staging.fmt == "parquet":
-        stored = read_zone(spark, spec.staging, data_path)
-        assert_passed(check_types(stored, on_disk, count_values=False))
-    return staged
+    elif raw.schema != typed.schema:
+        raw_counts = non_null_counts(raw)
+
+    def check(staged: DataFrame) -> None:
+        origins = mask_origins(raw, staged)
+        counts = non_null_counts(staged)
+        assert_passed(compare_counts(raw_counts, counts, origins, False, may_differ))
+        # Files keep the types of parquet columns; partition values and CSV are text on disk.
+        fold = name_folding(staged)
+        partitions = {fold(c) for c in spec.partition_cols}
+        on_disk = [r for r in spec.cast_rules if fold(r.column) not in partitions]
+        if on_disk and spec.staging.fmt == "parquet":
+            stored = read_zone(spark, spec.staging, data_path)
+            assert_passed(check_types(stored, on_disk, count_values=False))
+
+    return stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error, check)

@@ -15,10 +15,19 @@ DECIMAL, STRING, ARRAY = "DecimalType", "StringType", "ArrayType"
 
 @dataclass(frozen=True)
 class Zone:
-    """A root directory and the file format of the datasets below it."""
+    """A root directory and the file format of the datasets below it.
+
+    ``multi_line`` lets CSV values hold line breaks, in files whose lines end in a line feed.
+    Such files cannot be split, so a task reads a whole one; without it a line break is refused
+    when writing. ``null_text`` stands
+    for NULL in CSV files and cannot be a value; without it NULL is an empty field, and an
+    empty text is read back as NULL.
+    """
 
     root: str
     fmt: str = "parquet"
+    multi_line: bool = False
+    null_text: str | None = None
 
     def __post_init__(self) -> None:
         if self.fmt not in FORMATS:
@@ -50,15 +59,15 @@ class CastRule:
     @classmethod
     def parse(cls, text: str) -> CastRule:
         """Read ``col:DecimalType:<any>:<scale>``, ``col:StringType:ArrayType`` or
-        ``col:StringType:<any>``."""
+        ``col:StringType:<any>``; fields after these mean nothing."""
         parts = text.split(":")
-        if len(parts) == 4 and parts[1] == DECIMAL:
+        if len(parts) >= 4 and parts[1] == DECIMAL:
             try:
                 scale = int(parts[3])
             except ValueError:
                 raise ValueError(f"bad scale in cast rule {text!r}") from None
             return cls(parts[0], "decimal", scale)
-        if len(parts) == 3 and parts[1] == STRING:
+        if len(parts) >= 3 and parts[1] == STRING:
             return cls(parts[0], "array" if parts[2] == ARRAY else "string")
         raise ValueError(f"cannot read cast rule {text!r}")
 
@@ -90,7 +99,9 @@ class JobSpec:
     lookup_order_by: Sequence[str] = ()  # history: columns telling the last row of a key
 
     def __post_init__(self) -> None:
-        unmasked = [c for c in self.pii_cols if c not in self.masking_cols]
+        # Names that only differ in case are told apart, if at all, by the session's analysis.
+        masked = {c.lower() for c in self.masking_cols}
+        unmasked = [c for c in self.pii_cols if c.lower() not in masked]
         if unmasked:
             raise ValueError(f"PII columns not in masking-cols: {unmasked}")
         if self.pii_cols and not self.lookup_path:

@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Additions to a dictionary before it is gathered into one folder again.
+MOST_ADDS = 64
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
@@ -64,14 +68,22 @@ def read_dictionary(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def append_dictionary(spark: SparkSession, root: str, rows: DataFrame) -> str:
-    """Add rows to the latest generation."""
+    """Add rows to the latest generation, in files of full size; nothing if there are none.
+
+    Past ``MOST_ADDS`` additions the generation is written anew as one.
+    """
     root = root.rstrip("/")
     found = _generation(spark, root)
     if found is None:
         raise ValueError(f"no lookup table at {root}")
     g, adds = found
+    if rows.isEmpty():
+        return f"{root}/gen={g}/add={adds[-1]}"
+    if len(adds) >= MOST_ADDS:
+        return replace_dictionary(spark, root, read_dictionary(spark, root).unionByName(rows))
     path = f"{root}/gen={g}/add={adds[-1] + 1}"
-    rows.write.mode("overwrite").parquet(path)  # replaces only an unfinished attempt
+    # overwrite replaces only an unfinished attempt
+    rows.hint("rebalance").write.mode("overwrite").parquet(path)
     return path
 
 
@@ -80,7 +92,7 @@ def replace_dictionary(spark: SparkSession, root: str, rows: DataFrame) -> str:
     root = root.rstrip("/")
     found = _generation(spark, root)
     path = f"{root}/gen={found[0] + 1 if found else 0}/add=0"
-    rows.write.mode("overwrite").parquet(path)
+    rows.hint("rebalance").write.mode("overwrite").parquet(path)
     return path
 
 

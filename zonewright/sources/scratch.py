@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,15 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, deleted when the session's JVM ends.
-
-    A machine-local folder serves only where the session names no shared one, as in tests.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``,
+    deleted when the session's JVM ends. Without either it is an error, on any master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.gettempdir()
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     path = f"{root.rstrip('/')}/zonewright-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

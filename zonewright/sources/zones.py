@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewright.functions.columns import quote
+from zonewright.functions.columns import col, quote, require
 from zonewright.plans.spec import Zone
 
 
@@ -15,21 +18,67 @@ def dataset_path(zone: Zone, data_path: str) -> str:
     return f"{zone.root.rstrip('/')}/{data_path.strip('/')}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system and without dots, as Spark will use it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toString()
+
+
+def csv_options(zone: Zone) -> dict:
+    """The same for reading and writing: blanks stay, a quote is doubled, a backslash is a
+    character."""
+    options = {
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    if zone.multi_line:
+        # The separator is named, as else it would be guessed from breaks within values.
+        options |= {"multiLine": True, "lineSep": "\n"}
+    if zone.null_text is not None:
+        options["nullValue"] = zone.null_text
+    return options
+
+
 def read_zone(
     spark: SparkSession,
     zone: Zone,
     data_path: str,
     schema: T.StructType | str | None = None,
     header: bool = False,
+    merge_schema: bool = False,
 ) -> DataFrame:
-    """Scan a dataset. CSV without a schema gives string columns ``_c0 .. _cN``."""
+    """Scan a dataset. CSV without a schema gives string columns ``_c0 .. _cN``, as many as its
+    first line has fields. A line with more or fewer fields fails the query, whichever columns
+    it reads. ``merge_schema`` takes the columns of all parquet files, not of one of them.
+    """
     path = dataset_path(zone, data_path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if zone.fmt == "parquet":
-        return reader.parquet(path)
+        return reader.option("mergeSchema", merge_schema).parquet(path)
+    reader = reader.options(mode="FAILFAST", columnPruning=False, **csv_options(zone))
     return reader.csv(path, header=header)
 
 
+def _writable(df: DataFrame, zone: Zone) -> DataFrame:
+    """``df``; a value that could not be read back fails the query."""
+    texts = [col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    bad = []
+    if not zone.multi_line:
+        message = "a CSV value holds a line break; use a parquet zone or multi_line"
+        bad.append((message, [c.rlike("[\\r\\n]") for c in texts]))
+    if zone.null_text is not None:
+        bad.append(("a CSV value is the text for NULL", [c == zone.null_text for c in texts]))
+    elif len(df.columns) == 1:  # a line with nothing on it would not be read again
+        bad.append(("NULL in a CSV file of one column", [col(df.columns[0]).isNull()]))
+    for message, found in bad:
+        if found:
+            df = df.where(require(~reduce(or_, [F.coalesce(x, F.lit(False)) for x in found]), message))
+    return df
+
+
 def write_zone(
     df: DataFrame,
     zone: Zone,
@@ -48,11 +97,13 @@ def write_zone(
     path = dataset_path(zone, data_path)
     if partition_by and rebalance:
         df = df.hint("rebalance", *[quote(c) for c in partition_by])
+    if zone.fmt == "csv":
+        df = _writable(df, zone)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if zone.fmt == "parquet":
         writer.parquet(path)
     else:
-        writer.csv(path, header=header)
+        writer.options(**csv_options(zone)).csv(path, header=header)
     return path
