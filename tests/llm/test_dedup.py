@@ -18,20 +18,25 @@ def order(row):
     return LAST if row[0] is None else row[0]
 
 
+def window(units, i, width):
+    part = units[i : i + width]
+    return part if isinstance(part, bytes) else tuple(part)
+
+
 def covered_by(rows, units, width, earlier):
     """For each row the set of units covered by windows that stand earlier."""
     seen = {}
     for row in rows:
         u = units(row[1])
         for i in range(len(u) - width + 1):
-            seen.setdefault(tuple(u[i : i + width]), set()).add((order(row), i))
+            seen.setdefault(window(u, i, width), set()).add((order(row), i))
     least = {w: min(at) for w, at in seen.items()}
     out = []
     for row in rows:
         u = units(row[1])
         gone = set()
         for i in range(len(u) - width + 1):
-            if earlier(least[tuple(u[i : i + width])], (order(row), i)):
+            if earlier(least[window(u, i, width)], (order(row), i)):
                 gone.update(range(i, i + width))
         out.append((row, u, gone))
     return out

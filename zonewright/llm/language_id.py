@@ -256,8 +256,12 @@ class Labeller:
 
 
 def _words(text: str) -> list[str]:
+    """The words in lower case; none if there is no letter among them, as in a lone fraction."""
     low = text.lower()
-    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+    words = WORD.findall(low if len(low) == len(text) else text)
+    if len(low) != len(text):
+        words = [w.lower() for w in words]
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def _places(text: str) -> list[tuple[int, int]]:
