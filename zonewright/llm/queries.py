@@ -28,11 +28,64 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = r"""
+    WITH bytes AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    windows AS (
+        SELECT doc_id, unnest(generate_series(0, len(h) // 2 - 100)) AS i,
+               unnest(list_transform(generate_series(0, len(h) // 2 - 100),
+                                     lambda i: substr(h, 2 * i + 1, 200))) AS win
+        FROM bytes WHERE len(h) >= 200),
+    starts AS (
+        SELECT doc_id, i FROM windows
+        QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+    islands AS (
+        SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100
+                             THEN 0 ELSE 1 END AS fresh FROM starts)),
+    spans AS (
+        SELECT doc_id, min(i) AS a, max(i) + 100 AS b,
+               coalesce(lag(max(i) + 100) OVER (PARTITION BY doc_id ORDER BY min(i)), 0) AS before
+        FROM islands GROUP BY doc_id, run),
+    told AS (
+        SELECT s.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+               string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+        FROM spans s JOIN bytes USING (doc_id) GROUP BY s.doc_id)
+    SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+           coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+    FROM bytes d LEFT JOIN told t ON t.doc_id = d.doc_id"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    windows AS (
+        SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i,
+               unnest(list_transform(generate_series(1, len(w) - 12),
+                                     lambda i: array_to_string(w[i:i + 12], ' '))) AS win
+        FROM words WHERE len(w) >= 13),
+    starts AS (
+        SELECT doc_id, i FROM windows
+        QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+    covered AS (
+        SELECT DISTINCT doc_id, i + k AS i
+        FROM starts CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS k)),
+    each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words)
+    SELECT d.doc_id, count(e.i) AS n_words, count(c.i) AS n_removed,
+           sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (c.i IS NULL), ''))
+               AS kept_sha256
+    FROM documents d LEFT JOIN each e ON e.doc_id = d.doc_id
+    LEFT JOIN covered c ON c.doc_id = e.doc_id AND c.i = e.i
+    GROUP BY d.doc_id"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -190,6 +243,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": OP1_SQL,
+        "op2_substring_dedup": OP2_SQL,
         "op3_line_dedup": OP3_SQL,
         "op4_exact_top_k": OP4_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
