@@ -77,10 +77,29 @@ def name_pairs(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, number:
     return names, first, last
 
 
+def _counts(values: np.ndarray, n: int) -> np.ndarray:
+    """How many values are at most x, for x from 0 to n."""
+    return np.cumsum(np.bincount(np.clip(values, 0, n + 1), minlength=n + 2))[: n + 1]
+
+
+def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The minimum of values[a:b] for each pair, which are at most ``most`` apart: of two
+    stretches of a power of two that cover the range."""
+    stretches, n = [values], 1
+    while 2 * n <= most:
+        shorter = stretches[-1]
+        longer = shorter.copy()
+        longer[:-n] = np.minimum(shorter[:-n], shorter[n:])
+        stretches.append(longer)
+        n *= 2
+    power = np.array([0, *(int(x).bit_length() - 1 for x in range(1, most + 1))])[b - a]
+    table = np.stack(stretches)
+    return np.minimum(table[power, a], table[power, b - (1 << power)])
+
+
 def word_scheme(width: int, rounds: int = 2) -> Scheme:
     def keys(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = len(units) - width + 1
-        windows = np.arange(count)
         out = np.zeros(count, U)
         left = np.ones(count, bool)
         place = np.arange(len(units))
@@ -92,17 +111,12 @@ def word_scheme(width: int, rounds: int = 2) -> Scheme:
             # a symbol that depends on more than its neighbour does is as good as that one
             first = np.minimum.accumulate(first[::-1])[::-1]
             last = np.maximum.accumulate(last)
-            at = windows[left]
-            a = np.searchsorted(first, at, "left")
-            b = np.searchsorted(last, at + width, "right")
-            hashes = mix(names + U(level))
-            best = np.full(len(at), 2**64 - 1, U)
-            for d in range(width):
-                j = np.minimum(a + d, len(names) - 1)
-                best = np.where(a + d < b, np.minimum(best, hashes[j]), best)
-            some = a < b
-            out[at[some]] = best[some]
-            left[at[some]] = False
+            # symbols [a, b) depend on nothing outside the window
+            a = _counts(first + 1, len(units))[:count]
+            b = _counts(last, len(units))[width : width + count]
+            at = np.flatnonzero(left & (a < b))
+            out[at] = _least(mix(names + U(level)), a[at], b[at], width)
+            left[at] = False
             if not left.any():
                 break
         return out, np.zeros(count, bool)
