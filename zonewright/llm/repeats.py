@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from zonewright.llm.common import keep, texts
 
 #: Units handled at a time, most windows in a segment, segments per flush of a task.
-CHUNK_UNITS, MOST_WINDOWS, FLUSH = 1 << 20, 256, 300_000
+CHUNK_UNITS, MOST_WINDOWS, FLUSH = 1 << 18, 256, 150_000
 #: Text per bucket of segments, in bytes, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 32
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 #: One text in SAMPLE is looked at for keys of more than FREQUENT segments; there are at most
 #: 1 / FREQUENT as many of them as segments, so at 100 TB they should be a multiple of that.
 SAMPLE, FREQUENT = 32, 16_384
@@ -215,66 +215,89 @@ def _by_doc(of: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]
         yield int(of[a]), part
 
 
+_OFTEN = "key:long,print:long,n:int,id:long,lo:long,mark:long,units:binary"
 _PACK = (
     "bucket long, ids binary, marks binary, of binary, lo binary, n binary, key binary, "
-    "print binary, gone array<struct<id:long,mark:long,spans:binary>>"
+    "print binary, gone array<struct<id:long,mark:long,spans:binary>>, "
+    f"often array<struct<{_OFTEN}>>"
 )
-_TOLD = "id long, mark long, gone binary, open binary"
+_TOLD = f"id long, mark long, gone binary, open binary, often array<struct<{_OFTEN}>>"
 
 
 def _pack(scheme: Scheme, buckets: int, frequent: np.ndarray):
-    def flush(parts: list[Segments]) -> pd.DataFrame:
+    def flush(parts: list[Segments], often: list[dict]) -> pd.DataFrame:
         kept, gone, _ = Segments.joined(parts).resolve(scheme.same_doc)
-        told: dict[int, list] = {}
+        told: dict[int, tuple[list, list]] = {}
         for i, m, x in _spans(gone):
-            told.setdefault(i % buckets, []).append({"id": i, "mark": m, "spans": x})
+            at = told.setdefault(i % buckets, ([], []))
+            at[0].append({"id": i, "mark": m, "spans": x})
+        for row in often:
+            told.setdefault(row["id"] % buckets, ([], []))[1].append(row)
+        nothing: tuple[list, list] = ([], [])
+
+        def row(k: int, packed: dict) -> dict:
+            more = told.pop(k, nothing)
+            return {"bucket": k, **packed, "gone": more[0], "often": more[1]}
+
         bucket = (mix(kept.key) % U(buckets)).astype(np.int64)
         order = np.lexsort((kept.lo, kept.of, bucket))
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         rows = [
-            {"bucket": (k := int(bucket[at[0]])), **kept.take(at).dump(), "gone": told.pop(k, [])}
-            for at in np.split(order, cuts)
-            if len(at)
+            row(int(bucket[at[0]]), kept.take(at).dump()) for at in np.split(order, cuts) if len(at)
         ]
         none = kept.take(np.empty(0, np.int64)).dump()
-        rows += [{"bucket": k, **none, "gone": gone} for k, gone in told.items()]
+        rows += [row(k, none) for k in list(told)]
         return pd.DataFrame(rows)
 
+    def with_content(found: Segments, units: np.ndarray, begin: np.ndarray) -> Iterator[dict]:
+        end = begin + found.n + scheme.width - 1
+        ids, marks = found.ids[found.of].tolist(), found.marks[found.of].tolist()
+        for j in range(len(found)):
+            yield {
+                "key": int(found.key[j].view(np.int64)),
+                "print": int(found.print[j].view(np.int64)),
+                "n": int(found.n[j]),
+                "id": ids[j],
+                "lo": int(found.lo[j]),
+                "mark": marks[j],
+                "units": units[begin[j] : end[j]].tobytes(),
+            }
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[Segments] = []
+        often: list[dict] = []
         for batch in batches:
             ids, marks = batch["id"].tolist(), batch["mark"].tolist()
-            for found, _, _ in _cut(scheme, ids, marks, batch["text"].tolist()):
-                parts.append(found.take(~np.isin(found.key, frequent)))
-                if sum(map(len, parts)) >= FLUSH:
-                    yield flush(parts)
-                    parts = []
+            for found, units, begin in _cut(scheme, ids, marks, batch["text"].tolist()):
+                hot = np.isin(found.key, frequent)
+                parts.append(found.take(~hot))
+                often += with_content(found.take(hot), units, begin[hot])
+                if sum(map(len, parts)) + 4 * len(often) >= FLUSH:
+                    yield flush(parts, often)
+                    parts, often = [], []
         if parts:
-            yield flush(parts)
+            yield flush(parts, often)
 
     return run
 
 
-def _frequent_windows(scheme: Scheme, frequent: np.ndarray):
-    """A row for each window under a frequent key, unless it stands earlier in its chunk."""
+def _windows(scheme: Scheme):
+    """A row for each window of the segments, with a fingerprint of its content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, marks = batch["id"].tolist(), batch["mark"].tolist()
-            for found, units, lo in _cut(scheme, ids, marks, batch["text"].tolist()):
-                at = np.flatnonzero(np.isin(found.key, frequent))
-                n = found.n[at].astype(np.int64)
+            for a in range(0, len(batch), 4000):
+                part = batch.iloc[a : a + 4000]
+                units = np.frombuffer(b"".join(part["units"]), scheme.dtype)
+                n = part["n"].to_numpy(np.int64)
+                sizes = n + scheme.width - 1
                 shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start, of = np.repeat(lo[at], n) + shift, np.repeat(found.of[at], n)
-                yield pd.DataFrame(
-                    {
-                        "key": np.repeat(found.key[at], n).view(np.int64),
-                        "print": _prints(units, start, start + scheme.width).view(np.int64),
-                        "id": found.ids[of],
-                        "mark": found.marks[of],
-                        "pos": np.repeat(found.lo[at], n) + shift,
-                    }
-                )
+                start = np.repeat(np.cumsum(sizes) - sizes, n) + shift
+                told = {c: np.repeat(part[c].to_numpy(np.int64), n) for c in ("key", "id", "mark")}
+                prints = _prints(units, start, start + scheme.width)
+                told |= {"print": prints.view(np.int64)}
+                told |= {"pos": np.repeat(part["lo"].to_numpy(np.int64), n) + shift}
+                yield pd.DataFrame(told)[["key", "print", "id", "mark", "pos"]]
 
     return run
 
@@ -283,16 +306,18 @@ def _settle(scheme: Scheme):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         found = Segments.joined([Segments.load(r) for r in part.itertuples(index=False)])
         kept, gone, several = found.resolve(scheme.same_doc)
-        out = [(i, m, x, None) for i, m, x in _spans(gone)]
-        out += [(g["id"], g["mark"], g["spans"], None) for gs in part["gone"] for g in gs]
+        out = [(i, m, x, None, None) for i, m, x in _spans(gone)]
+        out += [(g["id"], g["mark"], g["spans"], None, None) for gs in part["gone"] for g in gs]
+        # no NULL here: a column of 64-bit numbers and NULL would become one of floats
+        out += [(0, 0, None, None, list(rows)) for rows in part["often"] if len(rows)]
         left = kept.take(np.flatnonzero(several))
         left = left.take(np.lexsort((left.lo, left.of)))
         if len(left):
             rows = np.stack([left.lo, left.n.astype(np.int64)], axis=1)
             for doc, pairs in _by_doc(left.of, rows):
                 told = pairs.astype("<i8").tobytes()
-                out.append((int(left.ids[doc]), int(left.marks[doc]), None, told))
-        return pd.DataFrame(out, columns=["id", "mark", "gone", "open"])
+                out.append((int(left.ids[doc]), int(left.marks[doc]), None, told, None))
+        return pd.DataFrame(out, columns=["id", "mark", "gone", "open", "often"])
 
     return run
 
@@ -458,23 +483,56 @@ def settled_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     )
     gone = told.where("gone is not null").select("id", "mark", "gone").unionByName(found)
     if len(frequent):
-        windows = docs.mapInPandas(
-            _frequent_windows(scheme, frequent),
-            "key long, print long, id long, mark long, pos long",
-        )
-        first = windows.groupBy("key", "print").agg(F.min(F.struct("id", "pos")).alias("first"))
-        later = F.col("id") > F.col("first.id")
+        often = told.where("often is not null").select(F.explode("often").alias("o"))
+        gone = gone.unionByName(_settled_frequent(often.select("o.*"), scheme))
+    return gone
+
+
+def _settled_frequent(segments: DataFrame, scheme: Scheme) -> DataFrame:
+    """The same for segments under frequent keys: of each content the earliest is found by a
+    minimum that tasks take beforehand, then of each window of these. The minima are stored, so
+    that both sides of a join are plain shuffles, whose large partitions Spark can split."""
+
+    def later(at: str, first: str):
+        after = F.col("id") > F.col(f"{first}.id")
         if scheme.same_doc:
-            later |= (F.col("id") == F.col("first.id")) & (F.col("pos") > F.col("first.pos"))
-        more = windows.join(first, ["key", "print"]).where(later)
+            after |= (F.col("id") == F.col(f"{first}.id")) & (F.col(at) > F.col(f"{first}.{at}"))
+        return after
+
+    alike = ["key", "print", "n"]
+    earliest = F.min(F.struct("id", "lo", "mark", "units")).alias("first")
+    firsts = keep(segments.groupBy(*alike).agg(earliest))
+    known = firsts.select(*alike, F.struct("first.id", "first.lo").alias("first"))
+    others = segments.drop("units").join(known, alike)
+    copies = others.where(later("lo", "first"))
+    # Some texts under one id, or places of one document, are as early as the first one.
+    opened = firsts.select(*alike, "first.*")
+    if not scheme.same_doc:
+        ties = (F.col("id") == F.col("first.id")) & (F.col("lo") > F.col("first.lo"))
+    else:
+        ties = (F.col("id") == F.col("first.id")) & (F.col("lo") == F.col("first.lo"))
+        ties &= F.col("mark") != F.col("first.mark")
+    known = firsts.select(*alike, F.col("first").alias("all"))
+    same = segments.drop("units").join(known, alike).withColumn("first", F.col("all"))
+    same = same.where(ties).select(*alike, "id", "lo", "mark", F.col("all.units").alias("units"))
+    opened = opened.unionByName(same)
+
+    windows = opened.mapInPandas(
+        _windows(scheme), "key long, print long, id long, mark long, pos long"
+    )
+    first = keep(windows.groupBy("key", "print").agg(F.min(F.struct("id", "pos")).alias("first")))
+    repeated = windows.join(first, ["key", "print"]).where(later("pos", "first"))
+    spans = copies.select("id", "mark", "lo", "n").unionByName(
+        repeated.select("id", "mark", F.col("pos").alias("lo"), F.lit(1).alias("n"))
+    )
 
-        @F.pandas_udf("binary")
-        def single(starts: pd.Series) -> pd.Series:
-            return starts.map(lambda x: np.stack([x, x + 1], axis=1).astype("<i8").tobytes())
+    @F.pandas_udf("binary")
+    def packed(begins: pd.Series, sizes: pd.Series) -> pd.Series:
+        pairs = zip(begins, sizes, strict=True)
+        return pd.Series([np.stack([b, b + n], axis=1).astype("<i8").tobytes() for b, n in pairs])
 
-        starts = more.groupBy("id", "mark").agg(F.collect_list("pos").alias("pos"))
-        gone = gone.unionByName(starts.select("id", "mark", single("pos").alias("gone")))
-    return gone
+    per_doc = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
+    return per_doc.select("id", "mark", packed("s.lo", "s.n").alias("gone"))
 
 
 def covered(spans: list[bytes], width: int) -> np.ndarray:
