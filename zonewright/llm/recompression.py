@@ -125,7 +125,7 @@ def word_scheme(width: int, rounds: int = 2) -> Scheme:
         raw = keys(units)[0][at].astype(">u8").tobytes()
         return [raw[i : i + 8] for i in range(0, len(raw), 8)]
 
-    return Scheme(width, word_codes, keys, lead, "<u8", same_doc=False)
+    return Scheme(width, word_codes, keys, lead, "<u8", same_doc=False, by_ranges=False)
 
 
 def dedup_passages(

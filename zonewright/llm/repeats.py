@@ -9,7 +9,7 @@ that neighbouring windows mostly share it. Windows in a row with one key are a s
    bucket of their key, where the same is done for all texts. A key with a single segment
    proves its windows unique (those of one segment differ where that matters). What remains open are the earliest segments of different content
    under one key; a segment's windows may stand in the others only in part.
-2. The content of these open segments is read again, partitioned by ranges of ``lead``, and all
+2. The content of these open segments is read again, partitioned by ``lead``, and all
    their windows are sorted by multikey quicksort: equal ones are neighbours, and of these all
    but the earliest are settled.
 3. Settled windows go back to their documents.
@@ -53,6 +53,7 @@ class Scheme:
     lead: Callable[[np.ndarray, np.ndarray], list[bytes]]
     dtype: str
     same_doc: bool  # whether an earlier start in the same document counts as earlier
+    by_ranges: bool  # whether leads are dealt out by ranges or by hash
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -476,9 +477,13 @@ def settled_windows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     content = docs.join(opened.agg(F.collect_list("open").alias("open")), ["id", "mark"]).mapInPandas(
         _read_open(scheme), "lead binary, id long, mark long, lo long, units binary"
     )
+    if scheme.by_ranges:
+        # stored, as the splitters are sampled from it in a job of its own
+        dealt = keep(content).repartitionByRange("lead")
+    else:
+        dealt = content.repartition("lead")
     found = (
-        content.repartitionByRange("lead")
-        .sortWithinPartitions("lead")
+        dealt.sortWithinPartitions("lead")
         .mapInPandas(_compare(scheme), "id long, mark long, gone binary")
     )
     gone = told.where("gone is not null").select("id", "mark", "gone").unionByName(found)

@@ -63,7 +63,7 @@ def byte_scheme(width: int) -> Scheme:
         raw = units.tobytes()
         return [raw[i : i + GRAM] for i in chosen.tolist()]
 
-    return Scheme(width, _bytes, keys, lead, "u1", same_doc=True)
+    return Scheme(width, _bytes, keys, lead, "u1", same_doc=True, by_ranges=True)
 
 
 def dedup_substrings(
