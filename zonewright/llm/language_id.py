@@ -172,8 +172,8 @@ def train(
 class Labeller:
     """Labels texts with a model."""
 
-    #: What a language outside the script's candidates loses on a word.
-    FOREIGN = -50.0
+    #: The most a language can lose on a word, so that no single word outweighs a switch.
+    FOREIGN = -6.0
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
@@ -193,27 +193,38 @@ class Labeller:
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best sequence of languages.
 
-        A path that stays in one language is proven best, without going word by word, if no
-        stretch of words gains more than the switch costs by taking the best other language
-        for each word of it.
+        Leaving the language that is best on the whole costs a switch, so it pays only within
+        stretches in which the best other languages gain more than that. Words in no such
+        stretch keep it, and the search goes only over the runs of the others.
         """
         main, penalty = int(scores.sum(axis=0).argmax()), self.model.switch
+        path = np.full(len(scores), main)
         if scores.shape[1] == 1:
-            return np.zeros(len(scores), np.int64)
+            return path
         gain = np.delete(scores, main, axis=1).max(axis=1) - scores[:, main]
         summed = np.concatenate([[0.0], np.cumsum(gain)])
-        if (summed - np.minimum.accumulate(summed)).max() <= penalty:
-            return np.full(len(scores), main)
+        lowest = np.minimum.accumulate(summed[:-1])
+        highest = np.maximum.accumulate(summed[:0:-1])[::-1]
+        wanted = np.flatnonzero(highest - lowest > penalty)
+        if len(wanted):
+            for run in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
+                a, b = int(run[0]), int(run[-1]) + 1
+                path[a:b] = self._search(scores[a:b], main, a > 0, b < len(scores))
+        return path
+
+    def _search(self, scores: np.ndarray, main: int, before: bool, after: bool) -> np.ndarray:
+        """Viterbi over some words, with ``main`` before and after them where told."""
+        penalty, own = self.model.switch, np.arange(scores.shape[1])
+        leave = np.where(own == main, 0.0, penalty)
         back = np.empty(scores.shape, np.int64)
-        own = np.arange(scores.shape[1])
-        best = scores[0]
+        best = scores[0] - leave if before else scores[0]
         for t in range(1, len(scores)):
             top = int(best.argmax())
             stay = best >= best[top] - penalty
             back[t] = np.where(stay, own, top)
             best = np.where(stay, best, best[top] - penalty) + scores[t]
         path = np.empty(len(scores), np.int64)
-        path[-1] = best.argmax()
+        path[-1] = (best - leave if after else best).argmax()
         for t in range(len(scores) - 1, 0, -1):
             path[t - 1] = back[t, path[t]]
         return path
