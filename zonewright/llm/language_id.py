@@ -138,12 +138,14 @@ def train(
             known, times = list(found), np.fromiter(found.values(), np.int64, len(found))
             if not known:
                 continue
-            of, bucket = gram_buckets(known, longest, buckets)
-            sizes = np.fromiter(map(len, known), np.int64, len(known))
-            for kind, total in (
-                ("gram", np.bincount(bucket, times[of], buckets)),
-                ("script", np.bincount(scripts_of(known), times * sizes, len(SCRIPTS))),
-            ):
+            counts, letters = np.zeros(buckets), np.zeros(len(SCRIPTS))
+            for a in range(0, len(known), 20_000):  # a slice of words at a time bounds the memory
+                part, n = known[a : a + 20_000], times[a : a + 20_000]
+                of, bucket = gram_buckets(part, longest, buckets)
+                sizes = np.fromiter(map(len, part), np.int64, len(part))
+                counts += np.bincount(bucket, n[of], buckets)
+                letters += np.bincount(scripts_of(part), n * sizes, len(SCRIPTS))
+            for kind, total in (("gram", counts), ("script", letters)):
                 at = np.flatnonzero(total)
                 n = total[at].astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "kind": kind, "key": at, "n": n})
@@ -239,7 +241,9 @@ class Labeller:
         ids = [[known.setdefault(w, len(known)) for w in words] for words in found]
         if not known:
             return [nothing] * len(texts)
-        scores = self.word_scores(list(known))
+        every = list(known)
+        slices = [every[a : a + 20_000] for a in range(0, len(every), 20_000)]
+        scores = np.concatenate([self.word_scores(x) for x in slices])
         sizes = np.fromiter(map(len, known), np.int64, len(known))
         return [
             self._one(t, words, scores[at], sizes[at]) if words else nothing
@@ -298,7 +302,7 @@ def identify(
         labeller = Labeller(shared.value)
         for batch in batches:
             values = ["" if t is None else t for t in batch]
-            rows = [r for _, part in chunks(values, values) for r in labeller.label(part)]
+            rows = [r for _, part in chunks(values, values, 1 << 18) for r in labeller.label(part)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
     clash = {"lang_pred", "score", "spans"} & {c.lower() for c in keep}
