@@ -66,6 +66,30 @@ def test_ids_are_those_of_the_library(name):
         assert ids == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_a_text_of_two_million_blanks(spark, blank):
+    from tokenizers import Tokenizer
+
+    text = "a" + blank * 2_000_000 + "b"
+    ids = np.array(Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids + [0], "<u4")
+    found = packing.pack_documents(docs(spark, [(1, text), (2, "short")]), BYTES, with_ids=True)
+    rows = sorted(found.where("doc_id = 1").collect(), key=lambda r: r.piece)
+    assert b"".join(bytes(r.ids) for r in rows) == ids.tobytes()
+    assert found.where("doc_id = 2").count() == 1
+
+
+def test_a_refused_text_goes_to_the_library():
+    own = packing.ByteTokenizer(BYTES)
+    want = own.encode("some text")
+
+    class Refuses:
+        def encode(self, *args, **kwargs):
+            raise ValueError("Max stack size exceeded for backtracking")
+
+    own.fast = Refuses()
+    assert own.encode("some text") == want
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

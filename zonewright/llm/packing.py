@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,9 @@ from zonewright.llm.common import keep
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+#: From about a million white-space characters in a row ``tiktoken`` refuses a text.
+BLANK_RUN = 500_000
+_BLANKS = re.compile(rf"\s{{{BLANK_RUN}}}")
 
 
 def byte_ranks(file: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
@@ -68,9 +72,11 @@ def byte_ranks(file: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
 
 class ByteTokenizer:
     """Token ids as little-endian 32-bit numbers, as the library ``tokenizers`` gives them for
-    a file. For plain byte-level BPE the same ids come several times faster from its ranks."""
+    a file. For plain byte-level BPE the same ids come several times faster from its ranks;
+    texts with a very long run of white space, or refused for another reason, go to the library."""
 
     def __init__(self, file: str) -> None:
+        self.file = file
         self.slow = self.fast = None
         if ranks := byte_ranks(file):
             import tiktoken
@@ -78,19 +84,26 @@ class ByteTokenizer:
             self.fast = tiktoken.Encoding(
                 "ranks", pat_str=PATTERN, mergeable_ranks=ranks[0], special_tokens=ranks[1]
             )
-        else:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(file)
 
     def encode(self, text: str) -> bytes:
-        if self.fast:
-            ids = self.fast.encode(text, allowed_special="all")
-        else:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+        ids = None
+        if self.fast and not (len(text) >= BLANK_RUN and _BLANKS.search(text)):
+            try:
+                ids = self.fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern ran out of stack
+                pass
+        if ids is None:
+            ids = self._library().encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
+    def _library(self):
+        if self.slow is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.file)
+        return self.slow
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(file: str) -> ByteTokenizer:
