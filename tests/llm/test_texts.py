@@ -219,6 +219,49 @@ def test_languages_of_mixed_texts(spark, model):
     assert language_id.identify(docs(spark, AWKWARD), model).count() == len(AWKWARD)
 
 
+UNBROKEN = {"xd": "ひらがなでかくことばはながい", "xe": "天地玄黄宇宙洪荒日月盈昃"}
+
+
+def test_long_runs_of_letters_are_read_to_their_end(spark, model):
+    first, rest = TAUGHT["xa"].replace(" ", "") * 3, TAUGHT["xb"].replace(" ", "") * 30
+    run = first[:64] + rest
+    rows = [(1, run), (2, "lorem" + TAUGHT["xc"].replace(" ", "") * 4)]
+    found = {r.doc_id: r for r in language_id.identify(docs(spark, rows), model).collect()}
+    assert found[1].lang_pred == "xb" and found[1].spans[-1].end == len(run)
+    assert [s.lang for s in found[1].spans] == ["xa", "xb"]
+    assert found[2].lang_pred == "xc"
+
+
+def test_runs_of_several_scripts_take_the_script_of_each_part(spark):
+    rng = random.Random(12)
+    said = TAUGHT | UNBROKEN
+    text = lambda lang: "".join(rng.choices(said[lang], k=60)) if lang in UNBROKEN else " ".join(
+        rng.choices(said[lang].split(), k=30)
+    )
+    taught = [(i, text(lang), lang) for i, lang in enumerate(list(said) * 40)]
+    model = language_id.train(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    kana, han = text("xd"), text("xe")
+    rows = [
+        (1, "lorem" + kana), (2, "ipsum" + han), (3, f"{TAUGHT['xa']} {kana[:40]} {TAUGHT['xa']}"),
+        (4, han + kana * 3),
+    ]
+    found = {r.doc_id: r for r in language_id.identify(docs(spark, rows), model).collect()}
+    assert found[1].lang_pred == "xd" and found[2].lang_pred == "xe"
+    assert [s.lang for s in found[3].spans] == ["xa", "xd", "xa"]
+    begin = len(TAUGHT["xa"]) + 1
+    assert (found[3].spans[1].begin, found[3].spans[1].end) == (begin, begin + 40)
+    assert [s.lang for s in found[4].spans] == ["xe", "xd"] and found[4].lang_pred == "xd"
+
+
+def test_words_hold_all_letters_of_one_script_each():
+    text = "Ünï" + "x" * 100 + "ж" * 70 + "漢字かな" * 9 + " 12_a\U0002a6d6"
+    words = language_id.PART.findall(text)
+    assert "".join(words) == "".join(language_id.WORD.findall(text))
+    names = [{language_id._SCRIPT[k] for k in language_id.scripts_of(list(w))} for w in words]
+    assert all(len(kinds) == 1 for kinds in names)
+    assert max(map(len, words)) == language_id.LONGEST
+
+
 def test_path_is_that_of_all_paths(model):
     """The shortcut and the search against trying every sequence of languages."""
     from itertools import product

@@ -1,7 +1,8 @@
 """Language identification of mixed texts.
 
-A word is a run of letters. The Unicode ranges of its letters narrow the languages it can
-belong to; character n-grams score it for these; Viterbi over the words of a text, with a
+A word is a run of letters of one script; longer runs are cut into several words, all of them
+scored. The Unicode range of its letters narrows the languages it can belong to; character
+n-grams score it for these; Viterbi over the words of a text, with a
 penalty for each switch, labels its spans. The language of the text is the one whose spans
 hold most letters.
 """
@@ -52,17 +53,38 @@ _STARTS = np.array([first for first, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
 #: Position in _NAMES of each range's script.
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
+#: Most letters of a word, and of one in scripts that may be written without blanks.
+LONGEST, LONGEST_UNBROKEN = 32, 8
+UNBROKEN = {"thai", "kana", "han", "other"}
+
+
+def _parts() -> re.Pattern:
+    """Runs of letters cut at changes of script and at the most letters of a word."""
+    ends = [first for first, _ in SCRIPTS[1:]] + [0x110000]
+    others: dict[str, list[str]] = {name: [] for _, name in SCRIPTS}
+    for (first, own), end in zip(SCRIPTS, ends, strict=True):
+        for name in others:
+            if name != own:
+                others[name].append(f"\\U{first:08x}-\\U{end - 1:08x}")
+    kinds = [
+        rf"[^\W\d_{''.join(ranges)}]{{1,{LONGEST_UNBROKEN if name in UNBROKEN else LONGEST}}}"
+        for name, ranges in others.items()
+    ]
+    return re.compile(rf"(?=[^\W\d_])(?:{'|'.join(kinds)})")
+
+
+PART = _parts()
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
-    """Position in SCRIPTS of each word's first letter: runs of letters rarely mix scripts."""
+    """Position in SCRIPTS of each word's first letter, which has the script of the others."""
     first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
     return np.searchsorted(_STARTS, first, side="right") - 1
 
 
 def gram_buckets(words: list[str], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(word position, hash bucket) of all character n-grams of the words, their ends marked."""
-    marked = [f"^{w[:64]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     of = np.repeat(np.arange(len(words)), sizes)
@@ -133,22 +155,27 @@ def train(
         words: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words[lang].update(WORD.findall(text.lower()))
+                words[lang].update(PART.findall(text.lower()))
+                if len(words[lang]) > 200_000:
+                    yield from told(lang, words.pop(lang))
         for lang, found in words.items():
-            known, times = list(found), np.fromiter(found.values(), np.int64, len(found))
-            if not known:
-                continue
-            counts, letters = np.zeros(buckets), np.zeros(len(SCRIPTS))
-            for a in range(0, len(known), 20_000):  # a slice of words at a time bounds the memory
-                part, n = known[a : a + 20_000], times[a : a + 20_000]
-                of, bucket = gram_buckets(part, longest, buckets)
-                sizes = np.fromiter(map(len, part), np.int64, len(part))
-                counts += np.bincount(bucket, n[of], buckets)
-                letters += np.bincount(scripts_of(part), n * sizes, len(SCRIPTS))
-            for kind, total in (("gram", counts), ("script", letters)):
-                at = np.flatnonzero(total)
-                n = total[at].astype(np.int64)
-                yield pd.DataFrame({"lang": lang, "kind": kind, "key": at, "n": n})
+            yield from told(lang, found)
+
+    def told(lang: str, found: Counter) -> Iterator[pd.DataFrame]:
+        known, times = list(found), np.fromiter(found.values(), np.int64, len(found))
+        if not known:
+            return
+        counts, letters = np.zeros(buckets), np.zeros(len(SCRIPTS))
+        for a in range(0, len(known), 20_000):  # a slice of words at a time bounds the memory
+            part, n = known[a : a + 20_000], times[a : a + 20_000]
+            of, bucket = gram_buckets(part, longest, buckets)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            counts += np.bincount(bucket, n[of], buckets)
+            letters += np.bincount(scripts_of(part), n * sizes, len(SCRIPTS))
+        for kind, total in (("gram", counts), ("script", letters)):
+            at = np.flatnonzero(total)
+            n = total[at].astype(np.int64)
+            yield pd.DataFrame({"lang": lang, "kind": kind, "key": at, "n": n})
 
     learned = (
         sample.mapInPandas(count, "lang string, kind string, key long, n long")
@@ -273,7 +300,7 @@ class Labeller:
 def _words(text: str) -> list[str]:
     """The words in lower case; none if there is no letter among them, as in a lone fraction."""
     low = text.lower()
-    words = WORD.findall(low if len(low) == len(text) else text)
+    words = PART.findall(low if len(low) == len(text) else text)
     if len(low) != len(text):
         words = [w.lower() for w in words]
     return words if any(c.isalpha() for w in words for c in w) else []
@@ -281,7 +308,7 @@ def _words(text: str) -> list[str]:
 
 def _places(text: str) -> list[tuple[int, int]]:
     low = text.lower()
-    return [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
+    return [m.span() for m in PART.finditer(low if len(low) == len(text) else text)]
 
 
 def identify(
