@@ -58,9 +58,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents that hold no test item; those without an id are told apart by their text."""
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text))
+    keyed = docs.withColumn("_own", own)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_own")
+    return keyed.join(found.select("_own").distinct(), "_own", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,22 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert sorted((r.doc_id for r in found), key=str) == [1, None]
 
 
+def test_documents_without_id_that_hold_a_test_item_go(spark, tmp_path):
+    item = " ".join(f"wort{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    docs = spark.createDataFrame(
+        [(None, f"vorher {item} nachher"), (None, "ganz ohne Aufgabe aber mit Worten"), (None, None),
+         (1, item), (2, "noch ein Text ohne jede Aufgabe")],
+        "doc_id long, text string",
+    )
+    left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    want = [(2, "noch ein Text ohne jede Aufgabe"), (None, None), (None, "ganz ohne Aufgabe aber mit Worten")]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.sql(AWKWARD).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.sql("select 1L item_id, 'x' text").limit(0).write.parquet(
