@@ -115,6 +115,30 @@ def test_near_duplicates(spark, block):
     assert got == classes(rows)
 
 
+def test_texts_without_id_are_fetched_once_each(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), jaccard._sets
+
+    def counted(n):
+        run = plain(n)
+
+        def over(batches):
+            def told():
+                for batch in batches:
+                    seen.add(len(batch))
+                    yield batch
+
+            return run(told())
+
+        return over
+
+    monkeypatch.setattr(jaccard, "_sets", counted)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join([*words, f"x{i}"])) for i in range(60)]
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == 60 and all(r.n_links == 59 for r in got)
+    assert 60 <= seen.value <= 4 * 60  # a range partitioning reads its input more than once
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     got = near_duplicates(docs(spark, [(1, None), (2, ""), (3, "a")])).collect()

@@ -79,7 +79,8 @@ def _signatures(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, values in chunks(batch["id"].tolist(), batch["text"].tolist(), 1 << 19):
+            rows_of = list(zip(batch["id"].tolist(), batch["row"].tolist(), strict=True))
+            for ids, values in chunks(rows_of, batch["text"].tolist(), 1 << 19):
                 sets = [gram_hashes(t, n) for t in values]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -99,7 +100,8 @@ def _signatures(n: int, bands: int, rows: int):
                             band[full, b] = mixed
                 yield pd.DataFrame(
                     {
-                        "id": ids,
+                        "id": [i for i, _ in ids],
+                        "row": [row for _, row in ids],
                         "key": keys,
                         "n": sizes,
                         "bands": [x.astype(np.int64).tolist() for x in band],
@@ -276,24 +278,22 @@ def near_duplicates(
     A block of members to verify holds at most ``block_elements`` n-grams, or one member.
     """
     bands, rows = choose_bands(threshold, miss, permutations)
-    base = texts(docs, id_col, text_col).withColumn(
-        "id", F.coalesce("id", F.lit(_NULL_ID).cast("long"))
-    )
-    kind = "id long, key binary, n long, bands array<long>"
-    signed = keep(
-        base.mapInPandas(_signatures(n, bands, rows), kind).withColumn(
-            "row", F.monotonically_increasing_id()
-        )
+    base = keep(
+        texts(docs, id_col, text_col)
+        .withColumn("id", F.coalesce("id", F.lit(_NULL_ID).cast("long")))
+        .withColumn("row", F.monotonically_increasing_id())
     )
+    kind = "id long, row long, key binary, n long, bands array<long>"
+    signed = keep(base.mapInPandas(_signatures(n, bands, rows), kind))
     members = keep(
         signed.where("n > 0")
         .groupBy("key")
         .agg(
-            F.min(F.struct("row", "id")).alias("own"),
+            F.min("row").alias("member"),
             F.min("id").alias("least"),
             F.count("*").alias("copies"),
         )
-        .select("key", F.col("own.row").alias("member"), "own.id", "least", "copies")
+        .select("key", "member", "least", "copies")
     )
     banded = (
         signed.join(members.select(F.col("member").alias("row")), "row", "left_semi")
@@ -312,7 +312,9 @@ def near_duplicates(
     hoods = keep(components(ties).select(F.col("node").alias("member"), F.col("label").alias("hood")))
 
     wanted = members.join(hoods, "member")
-    sets = base.join(wanted, "id").select("hood", "member", "copies", "key", "text")
+    sets = base.withColumnRenamed("row", "member").join(wanted, "member").select(
+        "hood", "member", "copies", "key", "text"
+    )
     blocks = keep(
         sets.mapInPandas(_sets(n), "hood long, member long, copies long, n long, grams binary")
         .repartitionByRange("hood", "n", "member")
