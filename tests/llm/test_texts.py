@@ -349,6 +349,17 @@ def test_content_without_conflict_is_left_alone(spark):
     assert chat_format.format_chats(chats(spark, [])).count() == 0
 
 
+def test_digest_follows_the_mask(spark, monkeypatch):
+    from zonewright.llm.queries import op10_chat_format
+
+    run = chat_format._run
+    monkeypatch.setattr(chat_format, "_run", lambda chars, loss: run(chars, not loss))
+    row = op10_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
+    told = "<s>user[INST]</s>[INST] ok [/INST][/INST]<s></s>"
+    assert row.loss_chars == len(told)
+    assert row.loss_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
 def test_digest_of_the_example(spark):
     from zonewright.llm.queries import op10_chat_format
 

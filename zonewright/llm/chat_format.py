@@ -134,6 +134,23 @@ def format_chats(
     )
 
 
+def under_loss(formatted: Column, runs: Column) -> Column:
+    """What ``runs`` put under the loss in a formatted text, unescaped and joined."""
+
+    def step(done: Column, run: Column) -> Column:
+        part = F.substr(formatted, (done["at"] + 1).cast("int"), run["chars"].cast("int"))
+        parts = F.when(run["loss"], F.concat(done["parts"], F.array(unescape(part))))
+        return F.struct(
+            (done["at"] + run["chars"]).alias("at"),
+            parts.otherwise(done["parts"]).alias("parts"),
+        )
+
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")
+    )
+    return F.array_join(F.aggregate(runs, start, step)["parts"], "")
+
+
 def _run(chars: Column, loss: bool) -> Column:
     return F.struct(chars.cast("long").alias("chars"), F.lit(loss).alias("loss"))
 

@@ -187,12 +187,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chats = chat_format.format_chats(rows.unionByName(own))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    told = F.array_join(
-        F.transform(
-            F.filter("turns", lambda t: t["role"] == chat_format.ASSISTANT), lambda t: t["text"]
-        ),
-        "",
-    )
+    told = chat_format.under_loss(F.col("formatted"), F.col("loss_runs"))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
