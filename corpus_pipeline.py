@@ -17,15 +17,16 @@ from zonewright.llm.jaccard import near_duplicates
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.packing import pack_documents
 
-#: Below this score the language of a text counts as unknown.
+#: Below this certainty the languages of a text count as unknown.
 LEAST_SCORE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with some certainty: not those without a letter."""
+    """Documents whose languages are known with some certainty, be they several: not those
+    without a letter, nor those only in scripts that no learned language is written in."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(docs, model, keep=docs.columns)
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE)
     return found.where(known).select(*docs.columns)
 
 

@@ -170,6 +170,21 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert sorted((r.doc_id for r in found), key=str) == [1, None]
 
 
+@pytest.mark.parametrize("several", [3, 4])
+def test_languages_of_documents_that_stay(spark, several):
+    taught = ["lorem ipsum dolor sit amet consectetur", "þökk ærið ðag veður þriðja hús",
+              "привет как дела сегодня хорошо", "καλημέρα τι κάνεις σήμερα φίλε"][:several]
+    rows = [(i, " ".join([t] * 5), f"x{k}") for k, t in enumerate(taught) for i in range(40)]
+    size = 90
+    equal = " ".join((" ".join([t] * 5))[:size] for t in taught)
+    rows += [(1000, equal, None), (1001, "გამარჯობა როგორ ხარ დღეს", None), (1002, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    left = corpus_pipeline.by_language(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert [r.doc_id for r in left.where("doc_id >= 1000").collect()] == [1000]
+    assert left.where("doc_id < 1000").count() == 40 * several
+
+
 def test_documents_without_id_that_hold_a_test_item_go(spark, tmp_path):
     item = " ".join(f"wort{i}" for i in range(20))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(

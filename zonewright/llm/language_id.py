@@ -259,8 +259,9 @@ class Labeller:
         return path
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list]]:
-        """Language, score from 0 to 1, and spans (first character, end, language) of each."""
-        nothing = (UNKNOWN, 0.0, [])
+        """Language, score from 0 to 1, spans (first character, end, language) and the certainty
+        of the spans of each."""
+        nothing = (UNKNOWN, 0.0, [], 0.0)
         if not self.model.languages:
             return [nothing] * len(texts)
         found = [_words(t or "") for t in texts]
@@ -272,18 +273,25 @@ class Labeller:
         slices = [every[a : a + 20_000] for a in range(0, len(every), 20_000)]
         scores = np.concatenate([self.word_scores(x) for x in slices])
         sizes = np.fromiter(map(len, known), np.int64, len(known))
+        seen = self.model.scripts.any(axis=1)[_SCRIPT[scripts_of(every)]]
         return [
-            self._one(t, words, scores[at], sizes[at]) if words else nothing
+            self._one(t, words, scores[at], sizes[at], seen[at]) if words else nothing
             for t, words, at in zip(texts, found, ids, strict=True)
         ]
 
-    def _one(self, text: str, words: list[str], scores: np.ndarray, sizes: np.ndarray) -> tuple:
+    def _one(
+        self, text: str, words: list[str], scores: np.ndarray, sizes: np.ndarray, seen: np.ndarray
+    ) -> tuple:
         languages = self.model.languages
         path = self.path(scores)
         letters = np.bincount(path, weights=sizes, minlength=len(languages))
         main = int(letters.argmax())
-        own = scores[path == main].sum(axis=0)
-        sure = 1.0 / np.exp(np.minimum(own - own[main], 50.0)).sum()
+        sure = np.zeros(len(languages))
+        for x in np.flatnonzero(letters):
+            own = scores[path == x].sum(axis=0)
+            sure[x] = 1.0 / np.exp(np.minimum(own - own[x], 50.0)).sum()
+        told = np.bincount(path, weights=sizes * seen, minlength=len(languages))
+        certainty = float(sure @ told / told.sum()) if told.any() else 0.0
         cuts = (np.flatnonzero(np.diff(path)) + 1).tolist()
         if cuts:
             at = _places(text)
@@ -294,7 +302,7 @@ class Labeller:
             {"begin": at[a][0], "end": at[b - 1][1], "lang": languages[path[a]]}
             for a, b in zip([0, *cuts], [*cuts, len(path)], strict=True)
         ]
-        return languages[main], float(sure * letters[main] / letters.sum()), spans
+        return languages[main], float(sure[main] * letters[main] / letters.sum()), spans, certainty
 
 
 def _words(text: str) -> list[str]:
@@ -314,15 +322,20 @@ def _places(text: str) -> list[tuple[int, int]]:
 def identify(
     docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
-    """Per row: the columns ``keep``, ``lang_pred``, ``score`` and ``spans`` (begin, end, lang).
+    """Per row: the columns ``keep``, ``lang_pred``, ``score``, ``spans`` (begin, end, lang) and
+    ``certainty``.
 
     The score is the share of letters in spans of that language times the model's certainty
-    of it. A null text, one without letters, or a model without languages gives ``und``, 0 and
-    no spans. One row out for each row in; kept columns pass unchanged, nulls included, and must
+    of it. The certainty is that of the languages of all spans, by their letters; letters of
+    scripts that no language was seen in do not count, and a text of only these has 0. A null
+    text, one without letters, or a model without languages gives ``und``, zeros and no spans. One row out for each row in; kept columns pass unchanged, nulls included, and must
     not have the names of the new ones; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see LanguageModel
-    kind = "lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>"
+    kind = (
+        "lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>, "
+        "certainty double"
+    )
 
     @F.pandas_udf(kind)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -330,14 +343,14 @@ def identify(
         for batch in batches:
             values = ["" if t is None else t for t in batch]
             rows = [r for _, part in chunks(values, values, 1 << 18) for r in labeller.label(part)]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans", "certainty"])
 
-    clash = {"lang_pred", "score", "spans"} & {c.lower() for c in keep}
+    clash = {"lang_pred", "score", "spans", "certainty"} & {c.lower() for c in keep}
     if clash:
         raise ValueError(f"columns to keep are named like new ones: {sorted(clash)}")
     kept = F.struct(*[col(c) for c in keep]).alias("kept")
     rows = docs.select(kept, label(col(text_col).cast("string")).alias("l"))
-    return rows.select("kept.*", "l.lang_pred", "l.score", "l.spans")
+    return rows.select("kept.*", "l.lang_pred", "l.score", "l.spans", "l.certainty")
 
 
 def held_out(id_column: Column) -> Column:
