@@ -5,8 +5,9 @@ symbols and b in the other. A name is a hash of what it stands for and of the ro
 the half, so all tasks give the same names without asking each other, and equal substrings
 have equal symbols but near their ends. For each symbol the words on which its naming depends
 are known. Of the symbols of the highest round whose words lie all in a window, the one of the
-smallest hash is the window's key: equal windows have equal keys. Shared keys reveal repeats,
-which are then verified word by word.
+smallest hash is the window's key: equal windows have equal keys. Shared keys reveal repeats:
+segments alike in key, print and length are settled by these hashes, windows under frequent
+keys too; the rest is verified word by word.
 """
 
 from __future__ import annotations

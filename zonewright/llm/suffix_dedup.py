@@ -3,7 +3,8 @@
 Of all suffixes only those at chosen places are sorted: where the hash of the next ``GRAM``
 bytes is the smallest within a window. Equal windows choose the same place, so a window can
 only stand twice if the suffix chosen in it begins with the same bytes twice; the rest is
-never sorted. What remains is partitioned by ranges of the suffixes' leading bytes, with
+never sorted. Copies alike in key, print and length are settled by these hashes, and so are
+windows under frequent keys. What remains is partitioned by ranges of the suffixes' leading bytes, with
 splitters that Spark samples, and sorted in each range by multikey quicksort; neighbours are
 compared, over the borders of batches too, while equal leads never part between ranges.
 """
