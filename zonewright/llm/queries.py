@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.llm import chat_format, language_id, mtree
@@ -13,6 +13,7 @@ from zonewright.llm.jaccard import near_duplicates
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.packing import pack_documents
 from zonewright.llm.recompression import dedup_passages
+from zonewright.llm.secrets import BREAK, KINDS, find_secrets, told
 from zonewright.llm.suffix_dedup import dedup_substrings
 from zonewright.llm.token_counts import token_counts
 
@@ -221,6 +222,81 @@ OP10_SQL = r"""
     FROM escaped GROUP BY conv_id"""
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.strong],
+        F.sha2(told(F.filter("spans", lambda s: s["strong"])), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
+def _op12_matches(i: int, pattern: str, good: str, group: int = 0) -> str:
+    """The matches of a kind with the sum of what lies before and in each."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+        SELECT id, {i} AS kind, nth, {good} AS ok, length(m) AS size,
+               sum(length(p) + length(m)) OVER (PARTITION BY id ORDER BY nth) AS e
+        FROM (SELECT id, unnest(regexp_extract_all(text, '{quoted}')) AS m,
+                     unnest(regexp_extract_all(text, '{quoted}', {group})) AS v,
+                     unnest(string_split_regex(text, '{quoted}')[:-2]) AS p,
+                     generate_subscripts(regexp_extract_all(text, '{quoted}'), 1) AS nth
+              FROM docs WHERE regexp_matches(text, '{quoted}'))"""
+
+
+def _op12_good(kind) -> str:
+    good = f"length(v) BETWEEN {kind.least} AND {kind.most}"
+    if kind.mixed:
+        good += "".join(f" AND regexp_matches(v, '{c}')" for c in ("[0-9]", "[A-Z]", "[a-z]"))
+    return good
+
+
+def _op12_table() -> str:
+    rows = [f"({i}, '{k.name}', '{k.role}', {k.strong})" for i, k in enumerate(KINDS)]
+    return "(VALUES " + ", ".join(rows) + ") k(kind, name, role, strong)"
+
+
+OP12_SQL = f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+    matches AS ({
+    " UNION ALL ".join(
+        [_op12_matches(i, k.pattern, _op12_good(k), k.group) for i, k in enumerate(KINDS)]
+        + [_op12_matches(len(KINDS), BREAK, "true")]
+    )
+}),
+    parts AS (
+        SELECT m.id, m.kind, name, role, strong, (e - size)::BIGINT AS s, e::BIGINT AS e,
+               (SELECT count(*) FROM matches b
+                WHERE b.kind = {len(KINDS)} AND b.id = m.id AND b.e - b.size < m.e - m.size) AS scope
+        FROM matches m JOIN {_op12_table()} ON m.kind = k.kind WHERE ok),
+    linked AS (
+        SELECT a.id, a.kind, a.name, false AS strong, a.s, a.e FROM parts a JOIN parts b
+        ON a.id = b.id AND a.scope = b.scope AND a.role <> b.role
+           AND b.s <= a.e + 200 AND b.e >= a.s - 200
+        WHERE NOT a.strong
+        GROUP BY ALL HAVING bool_or(b.strong) OR count(DISTINCT b.role) = 2),
+    spans AS (
+        SELECT id, kind, name, strong, s, e FROM parts WHERE strong
+        UNION ALL SELECT * FROM linked),
+    told AS (
+        SELECT id, count(*) FILTER (name = 'assign') AS n_assign,
+               count(*) FILTER (name = 'access') AS n_access,
+               count(*) FILTER (name = 'hex') AS n_hex,
+               string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (strong) AS base,
+               string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+        FROM spans GROUP BY id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+           coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+           coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN told ON told.id = docs.id"""
+
+
 def queries() -> dict:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -233,6 +309,7 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
+        "op12_secret_scan": op12_secret_scan,
     }
 
 
@@ -244,4 +321,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_top_k": OP4_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
         "op10_chat_format": OP10_SQL,
+        "op12_secret_scan": OP12_SQL,
     }
