@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from zonewright.llm import chat_format, language_id, mtree
 from zonewright.llm.common import table
 from zonewright.llm.decontaminate import contaminated
+from zonewright.llm.divergence import source_divergence
 from zonewright.llm.jaccard import near_duplicates
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.packing import pack_documents
@@ -222,6 +223,47 @@ OP10_SQL = r"""
     FROM escaped GROUP BY conv_id"""
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents),
+    words AS (SELECT id, lang, source, unnest(terms) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    counts AS (
+        SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term)
+        GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+    sources AS (SELECT DISTINCT lang, source FROM docs),
+    shares AS (
+        SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+               1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+               1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+        FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang)
+        LEFT JOIN totals t ON t.lang = s.lang AND t.source = s.source
+        LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+        FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+        LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+        GROUP BY ALL),
+    items AS (
+        SELECT lang, source, 'pair' AS part, item, value FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+    SELECT *, (row_number() OVER best)::INTEGER AS rank FROM items
+    WINDOW best AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+    QUALIFY part = 'pair' OR row_number() OVER best <= 50"""
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
 
@@ -309,6 +351,7 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
+        "op11_source_divergence": op11_source_divergence,
         "op12_secret_scan": op12_secret_scan,
     }
 
@@ -321,5 +364,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_top_k": OP4_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
         "op10_chat_format": OP10_SQL,
+        "op11_source_divergence": OP11_SQL,
         "op12_secret_scan": OP12_SQL,
     }
