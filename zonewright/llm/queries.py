@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from zonewright.llm.jaccard import near_duplicates
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.packing import pack_documents
 from zonewright.llm.recompression import dedup_passages
+from zonewright.llm.repair import digests, repair_conversations
 from zonewright.llm.secrets import BREAK, KINDS, find_secrets, told
 from zonewright.llm.suffix_dedup import dedup_substrings
 from zonewright.llm.token_counts import token_counts
@@ -339,6 +342,107 @@ OP12_SQL = f"""
     FROM docs LEFT JOIN told ON told.id = docs.id"""
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    said = F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text("text"), "[.!?]", ""))
+    damaged = rows.where(harm > 0).select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, "user").otherwise(text("role")).alias("role"),
+        said.otherwise(text("text")).alias("text"),
+        F.explode(F.when(harm == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    )
+    reports, turns = repair_conversations(damaged)
+    told = reports.unionByName(rows.select(F.col("conv_id").alias("conv")).distinct(), True)
+    told = told.unionByName(digests(turns), True)
+    # one exchange brings together what is known of a conversation, null ids too
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = hashlib.sha256().hexdigest()
+    return told.groupBy(F.col("conv").alias("conv_id")).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("sha256"), F.lit(nothing)).alias("repaired_sha256"),
+    )
+
+
+OP13_SQL = """
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce(list_concat([i::BIGINT], range(8)::BIGINT[]), lambda c, k:
+                    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM range(256) r(i)),
+    named AS (
+        SELECT coalesce('=' || conv_id, '') AS conv, conv_id, turn, coalesce(role, ' ') AS role,
+               coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+        FROM conversations),
+    hashed AS (
+        SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
+                   range(0, strlen(k)), lambda j: ('0x' || substr(hex(encode(k)), 2 * j + 1, 2))::BIGINT)),
+                   lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 20 AS harm
+        FROM named, crc),
+    rows AS (
+        SELECT conv, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE harm WHEN 3 THEN 2 ELSE 1 END))
+        FROM hashed WHERE harm <> 0),
+    ordered AS (
+        SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv) AS n,
+               lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+               regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body
+        FROM rows WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
+    faulty AS (
+        SELECT *, CASE WHEN body = '' THEN 'blank'
+                       WHEN i > min(i) OVER (PARTITION BY conv, role, text) THEN 'duplicate'
+                       WHEN NOT regexp_matches(body, '[.!?]$') THEN 'truncated' ELSE '' END AS fault
+        FROM ordered),
+    counts AS (
+        SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+        FROM faulty GROUP BY conv),
+    moves(a, r, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+    inserts AS (
+        SELECT DISTINCT a, '' AS w, 0 AS cost, a AS b, []::VARCHAR[] AS said FROM (SELECT unnest(range(4))::INTEGER AS a)
+        UNION ALL
+        SELECT a, 'I', 5, b, [if(r = 'u', 'user:', 'assistant:')] FROM moves WHERE r <> 's'
+        UNION ALL
+        SELECT x.a, 'II', 10, y.b, [if(x.r = 'u', 'user:', 'assistant:'), if(y.r = 'u', 'user:', 'assistant:')]
+        FROM moves x JOIN moves y ON x.b = y.a WHERE x.r <> 's' AND y.r <> 's'),
+    edits AS (
+        SELECT conv, i, a, 'D' AS w, 2 AS cost, a AS b, []::VARCHAR[] AS said
+        FROM faulty, (SELECT unnest(range(4))::INTEGER AS a)
+        UNION ALL
+        SELECT conv, i, a, 'K', if(fault = '', 0, 5), b, [role || ':' || text]
+        FROM faulty JOIN moves ON left(role, 1) = r WHERE fault IN ('', 'truncated')
+        UNION ALL
+        SELECT conv, i, a, 'R', if(fault = '', 1, 6), b, [if(r = 'u', 'user:', 'assistant:') || text]
+        FROM faulty JOIN moves ON r <> 's' WHERE fault IN ('', 'truncated')),
+    steps AS (
+        SELECT e.conv, e.i, n.a, n.w || e.w AS w, n.cost + e.cost AS cost, e.b, list_concat(n.said, e.said) AS said
+        FROM inserts n JOIN edits e ON n.b = e.a),
+    best(conv, i, state, cost, audit, said) AS (
+        SELECT DISTINCT conv, 1::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM named
+        UNION ALL
+        SELECT conv, i, state, cost, audit, said FROM (
+            SELECT p.conv, p.i + 1 AS i, s.b AS state, p.cost + s.cost AS cost, p.audit || s.w AS audit,
+                   list_concat(p.said, s.said) AS said
+            FROM best p JOIN steps s ON s.conv = p.conv AND s.i = p.i AND s.a = p.state)
+        QUALIFY row_number() OVER (PARTITION BY conv, state ORDER BY cost, audit) = 1),
+    ends AS (
+        SELECT p.conv, p.cost + n.cost AS cost, p.audit || n.w AS audit, list_concat(p.said, n.said) AS said
+        FROM best p LEFT JOIN counts c ON c.conv = p.conv JOIN inserts n ON n.a = p.state
+        WHERE p.i = coalesce(c.n, 0) + 1 AND n.b IN (0, 3)
+        QUALIFY row_number() OVER (PARTITION BY p.conv ORDER BY p.cost + n.cost, p.audit || n.w) = 1),
+    convs AS (SELECT DISTINCT conv, conv_id FROM named)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+           coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit,
+           sha256(array_to_string(said, chr(10))) AS repaired_sha256
+    FROM convs JOIN ends USING (conv) LEFT JOIN counts USING (conv)"""
+
+
 def queries() -> dict:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -353,6 +457,7 @@ def queries() -> dict:
         "op10_chat_format": op10_chat_format,
         "op11_source_divergence": op11_source_divergence,
         "op12_secret_scan": op12_secret_scan,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -366,4 +471,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_chat_format": OP10_SQL,
         "op11_source_divergence": OP11_SQL,
         "op12_secret_scan": OP12_SQL,
+        "op13_conversation_repair": OP13_SQL,
     }
