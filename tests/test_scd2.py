@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from zonewright import detect_changes, mask_columns, scd2_merge, scd2_open, stage_updates
-from zonewright.operators.scd2 import latest_per_key
+from zonewright.operators.scd2 import latest_per_key, scd2_changes
 
 DAY_1, DAY_2, DAY_3 = dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(2024, 3, 1)
 COLS = ["c_custkey", "c_name", "c_mktsegment"]
@@ -191,7 +191,53 @@ def test_one_shuffle_of_each_side(spark, plan, tmp_path):
     assert text.count("Exchange hashpartitioning") == 1  # the union of both sides
     assert text.count("+- Sort ") == 1
     assert "Join" not in text and "Python" not in text
-    assert "EqualTo(current,true)" in text.replace("PushedFilters: [IsNotNull(current), ", "[")
+    assert text.count("/l]") == 1
+
+
+@BOTH
+def test_a_chain_of_merges_reads_each_table_once(spark, plan, tmp_path, broadcast):
+    """Scans grow by one per merge, that of its batch, or by three small stored ones."""
+    history, batch = golden(spark, "sf0.001")
+    history.write.parquet(str(tmp_path / "l"))
+    history = spark.read.parquet(str(tmp_path / "l"))
+    scans = []
+    for day in ("2024-03-01", "2024-04-01", "2024-05-01"):
+        history = scd2_merge(history, batch, KEYS, TRACKED, day, broadcast_batch=broadcast)
+        text = plan(history)
+        assert text.count("/l]") == 1
+        scans.append(text.count("FileScan"))
+    steps = {b - a for a, b in zip(scans, scans[1:], strict=False)}
+    assert steps == {3 if broadcast else 1}
+
+
+def test_closed_versions_of_a_key_are_spread(spark):
+    """A key with a long history is not one group of the exchange."""
+    schema = "k int, v string, effectiveDate date, updateDate date, current boolean"
+    rows = spark.range(20_000).selectExpr(
+        "1 k", "string(id) v", "date_add(date'1970-01-01', int(id)) effectiveDate",
+        "date_add(date'1970-01-02', int(id)) updateDate", "false current",
+    )
+    batch = spark.createDataFrame([(1, "new")], "k int, v string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = scd2_merge(rows, batch, ["k"], ["v"], "2099-01-01")
+        sizes = [n for _, n in merged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_001 and max(sizes) < 7_000
+    assert spark.createDataFrame([], schema).columns == merged.columns
+
+
+@BOTH
+def test_only_the_changes(spark, broadcast):
+    """Two closed versions and three new ones of a merge that leaves most rows alone."""
+    stored, batch = golden(spark, "sf0.001")
+    merged = scd2_merge(stored, batch, KEYS, TRACKED, DAY_2, broadcast_batch=broadcast)
+    changes = scd2_changes(stored, batch, KEYS, TRACKED, DAY_2, broadcast_batch=broadcast)
+    assert changes.columns == merged.columns
+    want = merged.exceptAll(stored)
+    assert changes.exceptAll(want).count() == want.exceptAll(changes).count() == 0
+    assert 0 < changes.count() < merged.count()
 
 
 def test_broadcast_leaves_the_lookup_unshuffled(spark, plan, tmp_path):

@@ -24,6 +24,7 @@ from zonewright.functions.columns import (
     require,
 )
 from zonewright.operators.dictionary import as_date, key_of
+from zonewright.sources.scratch import kept
 from zonewright.sources.size import fits_broadcast
 
 _DUPLICATE = "a business key occurs more than once in one side of the merge"
@@ -76,19 +77,14 @@ def detect_changes(
         _tracked(tracked).alias("__tracked"),
     )
     differs = ~_tracked(tracked).eqNullSafe(F.col("__tracked"))
-    # Whole keys by plain equality, which uses a partitioning by key that is there already; a
-    # null-safe comparison of all would shuffle both sides anew.
-    whole = reduce(and_, [col(k).isNotNull() for k in keys])
-    whole_stored = reduce(and_, [F.col(n).isNotNull() for n in names])
-    equal = reduce(and_, [col(k) == F.col(n) for k, n in zip(keys, names, strict=True)])
-    same_key = all_same([col(k) for k in keys], [F.col(n) for n in names])
-    found = batch.where(whole).join(open_rows.where(whole_stored), equal & differs, "left_semi")
-    if not any(batch.schema[k].nullable for k in _as_named(batch, keys)):
-        return found
-    broken = batch.where(~whole).join(
-        open_rows.where(~whole_stored), same_key & differs, "left_semi"
-    )
-    return found.unionByName(broken)
+    # Null-safe only where a key may be NULL: a plain equality uses a partitioning by key that
+    # is there already. Either way both sides are read once.
+    nullable = [batch.schema[k].nullable for k in _as_named(batch, keys)]
+    same_key = [
+        col(k).eqNullSafe(F.col(n)) if null else col(k) == F.col(n)
+        for k, n, null in zip(keys, names, nullable, strict=True)
+    ]
+    return batch.join(open_rows, reduce(and_, same_key) & differs, "left_semi")
 
 
 def _as_named(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -104,23 +100,23 @@ def stage_updates(changed: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     return no_key.unionByName(batch.select(key_of(keys).alias("mergeKey"), "*"))
 
 
-def _merge_shuffled(
-    current: DataFrame,
-    batch: DataFrame,
-    keys: Sequence[str],
-    tracked: Sequence[str],
-    as_of: dt.date | str,
+def _seen(
+    lookup: DataFrame, batch: DataFrame, keys: Sequence[str], tracked: Sequence[str], as_of: dt.date | str
 ) -> DataFrame:
-    """Both sides meet in one exchange and one sort on the keys.
+    """Both sides from one scan each, met in one exchange and one sort on the keys.
 
     Per key there are at most an open version (side 0) and a batch row (side 1), next to
     each other, so each row sees its peer with lead or lag. Grouping treats NULL keys as
-    equal, which saves the second exchange of a null-safe join.
+    equal, which saves the second exchange of a null-safe join. A closed version (side -1) has a
+    group of its own, told by its dates, so that a key with a long history is spread.
     """
-    both = current.withColumn("__side", F.lit(0)).unionByName(
+    both = lookup.withColumn("__side", F.when(F.col("current"), 0).otherwise(-1)).unionByName(
         scd2_open(batch, as_of).withColumn("__side", F.lit(1))
     )
-    by_key = Window.partitionBy(*[col(k) for k in keys]).orderBy("__side")
+    is_closed = F.col("__side") == -1
+    dates = F.xxhash64("effectiveDate", "updateDate", *[col(k) for k in keys])
+    both = both.withColumn("__own", F.when(is_closed, dates))
+    by_key = Window.partitionBy(*[col(k) for k in keys], "__own").orderBy("__side")
     is_stored = F.col("__side") == 0
 
     def peer(name: str) -> Column:
@@ -133,83 +129,103 @@ def _merge_shuffled(
         # Two rows of one side tie in rank but not in row number. Stated without __side, so
         # that no filter on it, pushed down from above, is folded into the check.
         (F.row_number().over(by_key) == F.rank().over(by_key)).alias("__once"),
-        peer("__side").isNotNull().alias("__paired"),
+        (peer("__side").isNotNull() & ~is_closed).alias("__paired"),
         # Column by column: a struct would travel through the exchange beside its parts.
         all_same([peer(c) for c in tracked], [col(c) for c in tracked]).alias("__same"),
     )
     changed = F.col("__paired") & ~F.col("__same")
-    closed = is_stored & changed
-    in_time = ~closed | F.coalesce(F.col("effectiveDate") <= as_date(as_of), F.lit(True))
-    return (
-        seen.where(require(F.col("__once"), _DUPLICATE) & require(in_time, _LATE))
-        .where(is_stored | ~F.col("__paired") | changed)
-        .withColumns(
-            {
-                "updateDate": F.when(closed, as_date(as_of)).otherwise(F.col("updateDate")),
-                "current": ~closed,
-            }
-        )
-        .select(*[col(c) for c in current.columns])
+    closing = is_stored & changed
+    in_time = ~closing | F.coalesce(F.col("effectiveDate") <= as_date(as_of), F.lit(True))
+    once = F.col("__once") | F.col("__own").isNotNull()
+    return seen.where(require(once, _DUPLICATE) & require(in_time, _LATE)).withColumns(
+        {
+            "__new": (F.col("__side") == 1) & (~F.col("__paired") | changed),
+            "__closing": closing,
+        }
+    )
+
+
+def _closed(df: DataFrame, as_of: dt.date | str, closing: Column) -> DataFrame:
+    """``df`` with the versions closed that are ``closing``."""
+    return df.withColumns(
+        {
+            "updateDate": F.when(closing, as_date(as_of)).otherwise(F.col("updateDate")),
+            "current": F.when(closing, F.lit(False)).otherwise(F.col("current")),
+        }
     )
 
 
+def _merge_shuffled(
+    lookup: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    tracked: Sequence[str],
+    as_of: dt.date | str,
+    only_changes: bool = False,
+) -> DataFrame:
+    wanted = F.col("__new") | (F.col("__closing") if only_changes else F.col("__side") < 1)
+    seen = _seen(lookup, batch, keys, tracked, as_of).where(wanted)
+    return _closed(seen, as_of, F.col("__closing")).select(*[col(c) for c in lookup.columns])
+
+
 def _merge_broadcast(
-    current: DataFrame,
+    lookup: DataFrame,
     batch: DataFrame,
     keys: Sequence[str],
     tracked: Sequence[str],
     as_of: dt.date | str,
+    only_changes: bool = False,
 ) -> DataFrame:
-    """The batch goes to every task and the open versions are never shuffled; only those of keys
-    in the batch are grouped, to see that a key has one of them and when it was opened."""
+    """The batch goes to every task and the stored table is never shuffled; only open versions
+    of keys in the batch are grouped, to see that a key has one of them and when it was opened.
+    The batch and what it finds, a row per key of it at most, are stored, so that the result
+    reads the table once."""
     counted = Window.partitionBy(*[col(k) for k in keys])
-    batch = (
+    batch = kept(
         batch.withColumn("__n", F.count(F.lit(1)).over(counted))
         .where(require(F.col("__n") == 1, _DUPLICATE))
         .drop("__n")
     )
     key_names = [f"__key_{i}" for i in range(len(keys))]
-    small = F.broadcast(
-        batch.select(
-            *[col(k).alias(n) for k, n in zip(keys, key_names, strict=True)],
-            _tracked(tracked).alias("__tracked"),
-            F.lit(True).alias("__here"),
-        )
-    )
+    named = [col(k).alias(n) for k, n in zip(keys, key_names, strict=True)]
     same_key = all_same([col(k) for k in keys], [F.col(n) for n in key_names])
-    same_values = _tracked(tracked).eqNullSafe(F.col("__tracked"))
-
-    closed = F.col("__here").isNotNull() & ~same_values
-    kept = (
-        current.join(small, same_key, "left")
-        .withColumns(
-            {
-                "updateDate": F.when(closed, as_date(as_of)).otherwise(F.col("updateDate")),
-                "current": ~closed,
-            }
-        )
-        .select(*[col(c) for c in current.columns])
-    )
-    # What is stored under the keys of the batch: no more rows than it has.
-    stored = F.broadcast(
-        current.join(small, same_key)
-        .groupBy(*[F.col(n) for n in key_names])
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.bool_and(same_values).alias("__same"),
-            F.max("effectiveDate").alias("__since"),
-        )
+    is_open = F.coalesce(F.col("current"), F.lit(False))
+
+    small = F.broadcast(batch.select(*named, _tracked(tracked).alias("__tracked")))
+    found = lookup.where(is_open).join(small, same_key).groupBy(*[F.col(n) for n in key_names])
+    matches = found.agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.bool_and(_tracked(tracked).eqNullSafe(F.col("__tracked"))).alias("__same"),
+        F.max("effectiveDate").alias("__since"),
     )
-    known = F.col("__n").isNotNull()
-    changed = ~F.coalesce(F.col("__same"), F.lit(False))
-    in_time = ~(known & changed) | F.coalesce(F.col("__since") <= as_date(as_of), F.lit(True))
-    opened = (
-        batch.join(stored, same_key, "left")
-        .where(require(~known | (F.col("__n") == 1), _DUPLICATE) & require(in_time, _LATE))
-        .where(changed)
-        .select(*[col(c) for c in batch.columns])
+    in_time = F.col("__same") | F.coalesce(F.col("__since") <= as_date(as_of), F.lit(True))
+    checks = require(F.col("__n") == 1, _DUPLICATE) & require(in_time, _LATE)
+    matches = kept(matches.where(checks).select(*[F.col(n) for n in key_names], "__same"))
+
+    changed = F.broadcast(matches.where(~F.col("__same")))
+    seen = lookup.join(changed, same_key & is_open, "inner" if only_changes else "left")
+    stored = _closed(seen, as_of, F.col("__same").isNotNull())
+    same = F.coalesce(F.col("__same"), F.lit(False))
+    opened = batch.join(F.broadcast(matches), same_key, "left").where(~same)
+    return stored.select(*[col(c) for c in lookup.columns]).unionByName(
+        scd2_open(opened.select(*[col(c) for c in batch.columns]), as_of)
     )
-    return kept.unionByName(scd2_open(opened, as_of))
+
+
+def scd2_changes(
+    lookup: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    tracked: Sequence[str],
+    as_of: dt.date | str,
+    broadcast_batch: bool = False,
+) -> DataFrame:
+    """Only the rows that ``scd2_merge`` changes: the versions it closes, as they are afterwards,
+    and those it opens. Refuses what the merge refuses."""
+    refuse_reserved(lookup, batch)
+    small = broadcast_batch and fits_broadcast(batch)
+    merge = _merge_broadcast if small else _merge_shuffled
+    return merge(lookup, batch, keys, tracked, as_of, only_changes=True)
 
 
 def scd2_merge(
@@ -226,17 +242,17 @@ def scd2_merge(
     Changed keys have their open version closed and a new one opened, new keys get one,
     everything else is left alone. A key that occurs twice in the batch fails the query,
     unless ``order_by`` names the columns whose greatest values win, which is also the way
-    for a batch with many rows of one key: they are reduced before the shuffle. Closed
-    versions take no part in the join. ``broadcast_batch`` has the batch measured, and
-    broadcast if it is small; the result, and what is refused, is the same either way: a key
-    with two open versions, and an ``as_of`` before the version it would close. Column names
-    beginning with ``__`` are refused.
+    for a batch with many rows of one key: they are reduced before the shuffle. The stored
+    table is read once, so a chain of merges reads its first table once; closed versions go
+    through the exchange with the others, each key's spread over many groups. Merge the open
+    versions alone where the closed ones are kept apart, as the jobs do. ``broadcast_batch`` has
+    the batch measured, and broadcast if it is small; the stored table is then not shuffled. The
+    result, and what is refused, is the same either way: a key with two open versions, and an
+    ``as_of`` before the version it would close. Column names beginning with ``__`` are refused.
     """
     refuse_reserved(lookup, batch)
     if order_by:
         batch = latest_per_key(batch, keys, order_by)
-    current = lookup.where(F.col("current"))
-    history = lookup.where(~F.coalesce(F.col("current"), F.lit(False)))
     small = broadcast_batch and fits_broadcast(batch)
     merge = _merge_broadcast if small else _merge_shuffled
-    return history.unionByName(merge(current, batch, keys, tracked, as_of))
+    return merge(lookup, batch, keys, tracked, as_of)

@@ -21,6 +21,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a scratch table and read back, for a result that is returned: computed
+    once, with no lineage behind it. The table goes when the session's JVM ends."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def materialized(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` written once as a scratch table: it is computed once, outlives lost executors
