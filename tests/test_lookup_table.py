@@ -1,0 +1,211 @@
+"""Lookup tables on folders: what a merge writes, replays, unfinished writes and expiry."""
+
+import datetime as dt
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from zonewright import lookup_projection, mask_columns, scd2_merge, scd2_open
+from zonewright.functions.fingerprint import table_print
+from zonewright.plans.jobs import update_dictionary, update_history
+from zonewright.sources import lookup_table
+
+DAYS = ["2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01"]
+SCHEMA = "k int, v string, w string"
+
+
+@pytest.fixture
+def root(tmp_path):
+    return str(tmp_path / "lookup")
+
+
+def files(root):
+    """Data files, without commits and fingerprints."""
+    found = {p.relative_to(root) for p in Path(root).rglob("*.parquet")}
+    return {p for p in found if not str(p).startswith(("commit=", "batches"))}
+
+
+def states(spark):
+    """Three batches over 300 keys, NULL among them."""
+    base = spark.range(300).selectExpr("int(nullif(id, 7)) k", "string(id % 5) v", "string(id) w")
+    second = base.where("k % 10 < 2").withColumn("v", F.when(F.col("k") % 10 == 0, "new").otherwise(F.col("v")))
+    third = spark.createDataFrame([(None, "null", "7"), (4, None, "4"), (900, "x", "y")], SCHEMA)
+    return [base, second, third]
+
+
+def merge(spark, root, batch, day, **more):
+    update_history(spark, root, batch, ["k"], ["v", "w"], day, **more)
+    return lookup_table.read_history(spark, root)
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_same_rows_as_the_operator(spark, root, same_rows, monkeypatch, small, buckets):
+    import zonewright.operators.scd2 as scd2
+
+    monkeypatch.setattr(scd2, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(lookup_table, "fits_broadcast", lambda df: small)
+    want = None
+    for batch, day in zip(states(spark), DAYS, strict=False):
+        got = merge(spark, root, batch, day, buckets=buckets)
+        opened = scd2_open(batch, day)
+        want = opened if want is None else scd2_merge(want, batch, ["k"], ["v", "w"], day)
+        same_rows(got.select(want.columns), want)
+
+
+def test_one_changed_key_rewrites_one_bucket(spark, root):
+    merge(spark, root, states(spark)[0], DAYS[0], buckets=16)
+    before, state = files(root), lookup_table.history_state(spark, root)
+    assert state.buckets == 16 and set(state.holder.values()) == {0} and len(before) == 16
+    change = spark.createDataFrame([(5, "changed", "5"), (6, "1", "6")], SCHEMA)
+    merge(spark, root, change, DAYS[1])
+    new = files(root) - before
+    assert sorted(str(p.parent.parent if "bucket" in str(p) else p.parent) for p in new) == ["closed=1", "v=1"]
+    moved = lookup_table.history_state(spark, root)
+    assert sorted(moved.holder.values()) == [0] * 15 + [1]
+
+
+def test_a_batch_without_news_writes_no_data(spark, root):
+    base = states(spark)[0]
+    merge(spark, root, base, DAYS[0])
+    before = files(root)
+    merge(spark, root, base.where("k < 50"), DAYS[1])
+    assert files(root) == before
+    assert lookup_table.history_state(spark, root).number == 1
+
+
+def test_a_replay_of_an_earlier_batch_does_nothing(spark, root, same_rows):
+    batches = states(spark)
+    for batch, day in zip(batches, DAYS, strict=False):
+        merge(spark, root, batch, day)
+    before, number = files(root), lookup_table.history_state(spark, root).number
+    rows = lookup_table.read_history(spark, root)
+    # in another order and number of files; without the fingerprint it would come too late
+    again = batches[1].repartition(7).orderBy(F.desc("k"))
+    same_rows(merge(spark, root, again, DAYS[1]), rows)
+    assert files(root) == before and lookup_table.history_state(spark, root).number == number
+    # the same rows on another day are a batch of their own
+    merge(spark, root, batches[1], DAYS[3])
+    assert lookup_table.history_state(spark, root).number == number + 1
+
+
+def test_keys_of_another_type_find_their_bucket(spark, root):
+    merge(spark, root, states(spark)[0], DAYS[0])
+    wide = spark.createDataFrame([(5, "changed", "5")], "k long, v string, w string")
+    found = merge(spark, root, wide, DAYS[1]).where("k = 5")
+    assert sorted(found.select("v", "current").collect()) == [("0", False), ("changed", True)]
+
+
+def test_unfinished_merges_are_not_seen(spark, root, same_rows):
+    batches = states(spark)
+    before = merge(spark, root, batches[0], DAYS[0]).collect()
+    for name in ("v=1/__bucket=3", "closed=1", "commit=1"):
+        half = Path(root) / name
+        half.mkdir(parents=True)
+        (half / "junk.parquet").write_text("half a file")
+    assert lookup_table.read_history(spark, root).collect() == before
+    change = spark.createDataFrame([(900, "only", "new")], SCHEMA)  # closes nothing
+    assert merge(spark, root, change, DAYS[1]).count() == 301
+    want = scd2_merge(scd2_open(batches[0], DAYS[0]), change, ["k"], ["v", "w"], DAYS[1])
+    same_rows(lookup_table.read_history(spark, root), want)
+
+
+def test_a_merge_without_its_commit_is_not_seen(spark, root):
+    batches = states(spark)
+    before = merge(spark, root, batches[0], DAYS[0]).collect()
+    merge(spark, root, batches[1], DAYS[1])
+    (Path(root) / "commit=1" / "_SUCCESS").unlink()
+    assert lookup_table.read_history(spark, root).collect() == before
+
+
+def test_closed_rows_of_many_tasks_share_a_file(spark, root):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("int(id) k", "string(id) v", "'' w")
+    merge(spark, root, rows, DAYS[0], buckets=2)
+    merge(spark, root, rows.withColumn("v", F.lit("all new")), DAYS[1])
+    assert len(list(Path(root, "closed=1").glob("*.parquet"))) == 1
+    assert len(list(Path(root, "v=1").rglob("*.parquet"))) == 2
+
+
+def test_rebucket(spark, root, same_rows):
+    assert lookup_table.rebucket(spark, root, ["k"], 4) is None
+    batches = states(spark)
+    for batch, day in zip(batches[:2], DAYS, strict=False):
+        before = merge(spark, root, batch, day, buckets=16)
+    state = lookup_table.rebucket(spark, root, ["k"], 4)
+    assert state.buckets == 4 and set(state.holder) == {0, 1, 2, 3}
+    same_rows(lookup_table.read_history(spark, root), before)
+    want = scd2_merge(before, batches[2], ["k"], ["v", "w"], DAYS[2])
+    same_rows(merge(spark, root, batches[2], DAYS[2]), want)
+
+
+def later():
+    return dt.datetime.now() + dt.timedelta(hours=1)
+
+
+def test_expiry_of_a_history(spark, root, same_rows):
+    secret = states(spark)[0].where("k < 40")
+    merge(spark, root, secret, DAYS[0], buckets=4)
+    merge(spark, root, secret.withColumn("w", F.lit("hidden")), DAYS[1])
+    merge(spark, root, spark.createDataFrame([(1, "z", "z")], SCHEMA), DAYS[2])
+    before = lookup_table.read_history(spark, root).collect()
+    assert lookup_table.expire(spark, root, dt.datetime.now() - dt.timedelta(days=1)) == []
+    gone = lookup_table.expire(spark, root, later())
+    assert f"{root}/v=0" in gone and len(gone) == 2
+    assert not Path(root, "v=0").exists() and not any(Path(g).exists() for g in gone)
+    assert lookup_table.read_history(spark, root).collect() == before
+    # fingerprints stay, so a replay is still one
+    merge(spark, root, secret, DAYS[0])
+    assert lookup_table.read_history(spark, root).collect() == before
+    assert lookup_table.expire(spark, root, later()) == []
+
+
+def dictionary(spark, rows, day):
+    masked = mask_columns(spark.createDataFrame(rows, "a string, b string"), ["a", "b"])
+    return lookup_projection(masked, ["a", "b"], day)
+
+
+def put(spark, root, rows, day):
+    update_dictionary(spark, root, dictionary(spark, rows, day), ["a", "b"], day)
+    found = lookup_table.read_dictionary(spark, root)
+    return sorted((r.a or "", r.b or "", str(r.effectiveDate)) for r in found.collect())
+
+
+def test_a_replay_does_not_insert_null_keys_again(spark, root, monkeypatch):
+    monkeypatch.setattr(lookup_table, "MOST_ADDS", 2)
+    rows = [("x", None), ("y", "1")]
+    first = put(spark, root, rows, DAYS[0])
+    assert first == [("x", "", DAYS[0])] * 2 + [("y", "1", DAYS[0])]  # parity on a first run
+    assert put(spark, root, rows[::-1], DAYS[0]) == first
+    second = put(spark, root, [*rows, ("z", "2")], DAYS[1])
+    assert len(second) == len(first) + 2  # on another day they come again
+    third = put(spark, root, [("q", None)], DAYS[2])  # gathers all into a new generation
+    assert len(third) == len(second) + 1 and Path(root, "gen=1").exists()
+    for old, day in ((rows, DAYS[0]), ([*rows, ("z", "2")], DAYS[1]), ([("q", None)], DAYS[2])):
+        assert put(spark, root, old, day) == third
+    assert lookup_table.expire(spark, root, later()) == [f"{root}/gen=0"]
+    assert put(spark, root, rows, DAYS[0]) == third
+
+
+def test_an_unfinished_append_is_no_merge(spark, root):
+    put(spark, root, [("y", "1")], DAYS[0])
+    put(spark, root, [("x", None)], DAYS[1])
+    Path(root, "gen=0/add=1/_SUCCESS").unlink()
+    assert len(put(spark, root, [("x", None)], DAYS[1])) == 2
+
+
+def test_fingerprints(spark):
+    schema = "a int, b string, c double, d array<int>, e map<string,int>"
+    rows = [(1, "x", 0.5, [1, None], {"p": 1, "q": 2}), (None, "x", float("nan"), None, None), (2, None, None, [], {})]
+    df = spark.createDataFrame(rows, schema)
+    base = table_print(df)
+    assert table_print(df.repartition(3).orderBy("b")) == base
+    swapped = [(1, None, 0.5, [1, None], {"q": 2, "p": 1}), (None, "x", float("nan"), None, None), (2, "x", None, [], {})]
+    moved = [(1, "x", 0.5, [None, 1], {"p": 1, "q": 2}), *rows[1:]]
+    twice = rows + rows[:2]
+    empty = [(1, "x", 0.5, [1, None], {"p": 1, "q": 2}), (None, "x", float("nan"), [], None), (2, None, None, [], {})]
+    prints = [table_print(spark.createDataFrame(r, schema)) for r in (swapped, moved, twice, empty, [])]
+    assert len({base, *prints}) == 6
+    same = spark.createDataFrame([(0.0,), (float("nan"),)], "x double")
+    other = spark.createDataFrame([(-0.0,), (float("nan"),)], "x double")
+    assert table_print(same) == table_print(other)

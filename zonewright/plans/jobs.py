@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright.functions.columns import col, name_folding
+from zonewright.functions.fingerprint import table_print
 from zonewright.operators.casting import cast_columns
 from zonewright.operators.dictionary import (
     duplicate_keys,
@@ -32,7 +33,7 @@ from zonewright.operators.quality import (
     reconcile,
     settle,
 )
-from zonewright.operators.scd2 import latest_per_key, scd2_merge, scd2_open
+from zonewright.operators.scd2 import latest_per_key, scd2_changes, scd2_open
 from zonewright.plans.spec import JobSpec
 from zonewright.sources import lookup_table
 from zonewright.sources.scratch import materialized
@@ -166,26 +167,33 @@ def history_batch(
 def update_dictionary(
     spark: SparkSession, root: str, batch: DataFrame, pii_cols: Sequence[str], as_of: dt.date | str
 ) -> None:
-    """Merge a ``lookup_projection`` into the dictionary at ``root``."""
+    """Merge a ``lookup_projection`` into the dictionary at ``root``.
+
+    A batch that has been merged already, the date of the run included, changes nothing, so a
+    run can be repeated: its rows without a complete key are not inserted again.
+    """
     with materialized(batch) as batch:
+        told = table_print(batch)
+        if lookup_table.in_dictionary(spark, root, told):
+            return
         stored = lookup_table.read_dictionary(spark, root)
         if stored is None:
             repeats = _most(duplicate_keys(batch, pii_cols))
             if repeats:
                 raise ValueError(f"{repeats} batch rows match one lookup row")
             first = lookup_first_run(batch, pii_cols, as_of)
-            lookup_table.replace_dictionary(spark, root, first)
+            lookup_table.replace_dictionary(spark, root, first, told)
             return
         # The one pass over the stored table; what it gives has a row per batch key at most.
         with materialized(match_stored(stored, batch, pii_cols)) as matches:
             moved = matches.agg(F.bool_or("__touched")).first()[0]
             new = unseen_rows(batch, matches, pii_cols, as_of)
             if not moved:
-                lookup_table.append_dictionary(spark, root, new)
+                lookup_table.append_dictionary(spark, root, new, told)
                 return
             # A stored row only changes when two tuples share a key: then all is rewritten.
             kept = updated_rows(stored, batch, matches, pii_cols, as_of)
-            lookup_table.replace_dictionary(spark, root, kept.unionByName(new))
+            lookup_table.replace_dictionary(spark, root, kept.unionByName(new), told)
 
 
 def update_history(
@@ -196,24 +204,39 @@ def update_history(
     tracked: Sequence[str],
     as_of: dt.date | str,
     unique_batch: bool = False,
+    buckets: int = lookup_table.BUCKETS,
 ) -> None:
     """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``.
 
-    Unless the batch is known to be ``unique_batch``, repeated keys are looked for first, by
-    a count that is partial in every task: the merge would refuse them too, but only after
-    bringing all rows of a key together.
+    Only the buckets of the batch's keys are read, and only those with a change are written. A
+    batch that has been merged already, on the same date, changes nothing: a repeated run does
+    not close what later ones opened. Unless the batch is known to be ``unique_batch``, repeated
+    keys are looked for first, by a count that is partial in every task: the merge would refuse
+    them too, but only after bringing all rows of a key together.
     """
-    current = lookup_table.read_current(spark, root)
-    if current is None:
-        if not unique_batch:
-            _refuse_repeats(batch, keys)
-        lookup_table.write_history(spark, root, scd2_open(batch, as_of))
-        return
     with materialized(batch) as batch:
+        told = f"{table_print(batch)} {as_of}"
+        state = lookup_table.history_state(spark, root)
+        if state and lookup_table.in_history(spark, root, state, told):
+            return
         if not unique_batch:
             _refuse_repeats(batch, keys)
-        merged = scd2_merge(current, batch, keys, tracked, as_of, broadcast_batch=True)
-        lookup_table.write_history(spark, root, merged)
+        kinds = lookup_table.stored_types(spark, root, state)
+        if kinds is None:
+            opened = scd2_open(batch, as_of)
+            lookup_table.commit_changes(spark, root, keys, opened, told, buckets)
+            return
+        # as stored, since the number of a bucket depends on the type
+        batch = batch.select(*[col(c).cast(kinds[c.lower()]).alias(c) for c in batch.columns])
+        number = lookup_table.bucket_of(keys, state.buckets)
+        hit = [r[0] for r in batch.select(number).distinct().collect()]
+        current = lookup_table.read_current(spark, root, hit)
+        if current is None:
+            changes = scd2_open(batch, as_of)
+        else:
+            changes = scd2_changes(current, batch, keys, tracked, as_of, broadcast_batch=True)
+        with materialized(changes) as changes:
+            lookup_table.commit_changes(spark, root, keys, changes, told)
 
 
 def _keys_stay_apart(spec: JobSpec) -> bool:
@@ -288,8 +311,9 @@ def stage(
         batch = history_batch(raw, spec, salt, on_cast_error)
         unique = _keys_stay_apart(spec)
         update_history(
-            spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of, unique
-        )
+            spark, spec.lookup_path, batch, spec.lookup_keys, spec.pii_cols, as_of, unique,
+            spec.lookup_buckets,
+        )
     elif spec.pii_cols:
         batch = dictionary_batch(raw, spec, as_of, salt, on_cast_error)
         update_dictionary(spark, spec.lookup_path, batch, spec.pii_cols, as_of)
