@@ -56,6 +56,8 @@ class Kind:
     most: int = 1 << 30
     mixed: bool = False
     strong: bool = False
+    #: a match holds one of these; looking for them is much cheaper than looking for matches
+    needs: tuple[str, ...] = ()
 
     def good(self, value: Column) -> Column:
         ok = F.length(value).between(self.least, self.most)
@@ -67,12 +69,12 @@ class Kind:
 # The first three kinds, by which results are compared.
 KINDS = (
     Kind("assign", SECRET, f"({any_case('password|passwd|secret|token|api_?key')}){_IS}([A-Za-z0-9+/_.=-]+)",
-         6, group=2, strong=True),
-    Kind("access", IDENTIFIER, "AKIA[A-Z0-9]+", 20, strong=True),
+         6, group=2, strong=True, needs=("=", ":")),
+    Kind("access", IDENTIFIER, "AKIA[A-Z0-9]+", 20, strong=True, needs=("AKIA",)),
     Kind("hex", SECRET, "[0-9a-f]{24,}", 24, strong=True),
     Kind("key", SECRET, "[A-Za-z0-9+/_-]{16,}", 16, most=128, mixed=True),
     Kind("login", IDENTIFIER, f"({any_case('username|user|login|account|client_?id')}){_IS}[A-Za-z0-9_.@-]+"
-         r"|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,190}", 1),
+         r"|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,190}", 1, needs=("=", ":", "@")),
     Kind("endpoint", ENDPOINT, r"(https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+"
          r"|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(:[0-9]{1,5})?", 1),
 )
@@ -83,7 +85,11 @@ _RUN = "array<struct<gap:int,size:int,ok:boolean>>"
 
 
 def _matches(text: Column, kind: Kind) -> Column:
-    return F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
+    if not kind.needs:
+        return found
+    able = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in kind.needs])
+    return F.when(able, found).otherwise(F.array().cast("array<string>"))
 
 
 def _run(text: Column, pattern: str, whole: Column, ok: Column) -> Column:
@@ -106,13 +112,22 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         col(id_col).alias("id"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    values = rows.select("*", *[_matches(F.col("text"), k).alias(f"v{i}") for i, k in enumerate(KINDS)])
-    good = values.select("*", *[F.transform(f"v{i}", k.good).alias(f"ok{i}") for i, k in enumerate(KINDS)])
-
     def has(chosen) -> Column:
         some = [F.exists(f"ok{i}", lambda x: x) for i, k in enumerate(KINDS) if chosen(k)]
         return reduce(lambda a, b: a | b, some)
 
+    def with_good(df: DataFrame, wanted: dict[int, Column]) -> DataFrame:
+        none = F.array().cast("array<string>")
+        found = {f"v{i}": F.when(w, _matches(F.col("text"), KINDS[i])).otherwise(none) for i, w in wanted.items()}
+        df = df.select("*", *[v.alias(name) for name, v in found.items()])
+        return df.select("*", *[F.transform(f"v{i}", KINDS[i].good).alias(f"ok{i}") for i in wanted])
+
+    # keys are the costliest to find, and only count beside another role
+    first = [i for i, k in enumerate(KINDS) if not k.mixed]
+    good = with_good(rows, dict.fromkeys(first, F.lit(True)))
+    beside = has(lambda k: not k.mixed and k.role != SECRET)
+    good = with_good(good, {i: beside for i, k in enumerate(KINDS) if k.mixed})
+
     # weak parts can only be reported where another role is present
     roles = sum(has(lambda k, r=r: k.role == r).cast("int") for r in (IDENTIFIER, SECRET, ENDPOINT))
     told = good.withColumn("linked", roles > 1)
