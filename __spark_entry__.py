@@ -6,6 +6,7 @@ lookup table and a batch), both are derived from the dates in ``orders``.
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -40,9 +41,12 @@ from zonewright.plans.jobs import (  # noqa: E402
     raw_to_staging,
     read_lookup,
     run_chain,
+    update_dictionary,
+    update_history,
     validate_raw,
     validate_staging,
 )
+from zonewright.sources.lookup_table import expire, read_dictionary, read_history  # noqa: E402
 from zonewright.sources.scratch import scratch_dir  # noqa: E402
 
 try:
@@ -240,6 +244,21 @@ def lookup_upsert_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_upsert(stored, lookup(cut, name, DAY_2), parts, DAY_2)
 
 
+def lookup_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary whose first batch, with keys that are not complete, is merged three times on
+    one day, in another order of rows each time."""
+    cols = ["o_orderkey", "o_orderstatus"]
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
+    )
+    batch = lookup_projection(mask_columns(orders, cols), cols, DAY_1)
+    root = f"{scratch_dir(spark)}/lookup"
+    for order in (cols, cols[::-1], cols):
+        update_dictionary(spark, root, batch.repartition(4, *order), cols, DAY_1)
+    return read_dictionary(spark, root)
+
+
 # -- the type-2 history ----------------------------------------------------------------
 
 KEYS = ["o_custkey"]
@@ -292,6 +311,16 @@ def scd2_merge_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history
 
 
+def lookup_history_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merges on a stored history, with replays of two batches and expiry between."""
+    first, second, third = _order_states(spark, sf_dir)
+    root = f"{scratch_dir(spark)}/lookup"
+    for batch, day in ((first, DAY_1), (second, DAY_2), (first, DAY_1), (third, DAY_3), (second, DAY_2)):
+        update_history(spark, root, batch, KEYS, TRACKED, day)
+    expire(spark, root, dt.datetime.now())
+    return read_history(spark, root)
+
+
 def scd2_merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch holds every event of a user; the last one counts."""
     events = table(spark, sf_dir, "events")
@@ -487,12 +516,14 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lookup_projection": lookup_projection_customer,
         "lookup_bootstrap": lookup_bootstrap_customer,
         "lookup_first_run": lookup_first_run_orders,
+        "lookup_replay": lookup_replay,
         "lookup_upsert": lookup_upsert_buyers,
         "lookup_upsert_collisions": lookup_upsert_collisions,
         "detect_changes": detect_changes_orders,
         "stage_updates": stage_updates_orders,
         "scd2_merge": scd2_merge_orders,
         "scd2_merge_broadcast": scd2_merge_broadcast,
+        "lookup_history_merges": lookup_history_merges,
         "scd2_merge_ordered": scd2_merge_ordered,
         "reconcile_zones": reconcile_zones,
         "reconcile_failures": reconcile_failures,
@@ -599,6 +630,20 @@ def zone_sql() -> dict[str, str]:
                 FROM s1),
             t2 AS ({_scd2_sql("t1", "s2", DAY_2)})
             {_scd2_sql("t2", "s3", DAY_3)}"""
+    first_run = f"""
+        WITH b AS (
+            SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+                   nullif(o_orderstatus, 'P') AS o_orderstatus
+            FROM orders)
+        SELECT o_orderkey, sha256(o_orderkey) AS masked_o_orderkey, o_orderstatus,
+               sha256(o_orderstatus) AS masked_o_orderstatus,
+               DATE '{DAY_1}' AS "effectiveDate", 'null' AS "updateDate",
+               'true' AS "current"
+        FROM b
+        UNION ALL
+        SELECT o_orderkey, sha256(o_orderkey), o_orderstatus, sha256(o_orderstatus),
+               DATE '{DAY_1}', NULL, 'true'
+        FROM b WHERE o_orderkey || o_orderstatus IS NULL"""
     bought = "SELECT o_custkey FROM orders WHERE o_orderdate"
     events_staged = """
         SELECT CAST(event_id AS VARCHAR) AS event_id, ts, event_type,
@@ -651,20 +696,8 @@ def zone_sql() -> dict[str, str]:
         "lookup_projection": f"{_CUSTOMER_LOOKUP} FROM customer",
         "lookup_bootstrap": f"""
             {_CUSTOMER_LOOKUP}, 'null' AS "updateDate", 'true' AS "current" FROM customer""",
-        "lookup_first_run": f"""
-            WITH b AS (
-                SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
-                       nullif(o_orderstatus, 'P') AS o_orderstatus
-                FROM orders)
-            SELECT o_orderkey, sha256(o_orderkey) AS masked_o_orderkey, o_orderstatus,
-                   sha256(o_orderstatus) AS masked_o_orderstatus,
-                   DATE '{DAY_1}' AS "effectiveDate", 'null' AS "updateDate",
-                   'true' AS "current"
-            FROM b
-            UNION ALL
-            SELECT o_orderkey, sha256(o_orderkey), o_orderstatus, sha256(o_orderstatus),
-                   DATE '{DAY_1}', NULL, 'true'
-            FROM b WHERE o_orderkey || o_orderstatus IS NULL""",
+        "lookup_first_run": first_run,
+        "lookup_replay": first_run,
         "lookup_upsert": f"""
             WITH stored AS (
                 SELECT * FROM customer WHERE c_custkey IN ({bought} < '1996-01-01')),
@@ -710,6 +743,7 @@ def zone_sql() -> dict[str, str]:
             SELECT CAST(o_custkey AS VARCHAR), s2.* FROM s2""",
         "scd2_merge": merged,
         "scd2_merge_broadcast": merged,
+        "lookup_history_merges": merged,
         "scd2_merge_ordered": f"""
             WITH last AS (
                 SELECT user_id, ts, event_id, event_type, ts >= '2024-01-03' AS late

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions.columns import col, masked_name, quote, require
+from zonewright.operators.heavy import spread_join
+from zonewright.sources.size import fits_broadcast
 
 # The texts stored in the status columns of a dictionary.
 NO_UPDATE, CURRENT = "null", "true"
@@ -166,10 +168,13 @@ def upsert_parts(
         keyless = marked.where(F.col(_KEY).isNull()).withColumn(_TOUCHED, F.lit(False))
         stored = stored.unionByName(keyless.drop(_KEY, _HASH))
 
-    known = marked.select(_HASH, _KEY)
+    # A value with many stored rows comes as one per task; grouped by the key alone, see above.
+    known = marked.where(F.col(_KEY).isNotNull()).select(_KEY).distinct()
+    known = known.withColumn(_HASH, F.xxhash64(_KEY))
     if broadcast_batch:
         # At most one row per batch key is left, so this side is as small as the batch.
-        known = F.broadcast(known.join(small, same_key, "left_semi").distinct())
+        known = marked.select(_HASH, _KEY).join(small, same_key, "left_semi")
+        known = F.broadcast(known.distinct())
     unseen = complete_rows.join(known, [_HASH, _KEY], "left_anti")
     new = _inserted(
         unseen.unionByName(rows.where(F.col(_KEY).isNull())), pii_cols, as_of
@@ -220,7 +225,11 @@ def updated_rows(
     pii_cols: Sequence[str],
     as_of: dt.date | str,
 ) -> DataFrame:
-    """The stored table with a new ``updateDate`` where a matched row differs from the batch."""
+    """The stored table with a new ``updateDate`` where a matched row differs from the batch.
+
+    What the batch changes is broadcast if measured small; beyond that values with many stored
+    rows are spread over several tasks.
+    """
     masks = [masked_name(c) for c in pii_cols]
     moved = matches.where(F.col(_TOUCHED)).select(_HASH, _KEY)
     new = (
@@ -230,7 +239,11 @@ def updated_rows(
     )
     marked = _keyed(lookup, pii_cols)
     hit = touched([col(f"__new_{m}") for m in masks], [col(m) for m in masks], F.col("current"))
-    complete = marked.where(F.col(_KEY).isNotNull()).join(new, [_HASH, _KEY], "left")
+    complete = marked.where(F.col(_KEY).isNotNull())
+    if fits_broadcast(new):
+        complete = complete.join(F.broadcast(new), [_HASH, _KEY], "left")
+    else:
+        complete = spread_join(complete, new, [_HASH, _KEY], "left")
     changed = complete.withColumn(
         "updateDate",
         F.when(F.coalesce(hit, F.lit(False)), F.lit(str(as_of))).otherwise(F.col("updateDate")),
