@@ -108,8 +108,10 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 19, 2000])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(1 << 19, 4), (2000, 4), (1 << 19, 2), (2000, 30)])
+def test_near_duplicates(spark, monkeypatch, block, few):
+    """Whatever way a pair is verified, it counts once."""
+    monkeypatch.setattr(jaccard, "FEW", few)
     rows = repeats(5, n=120) + near_copies(1, 80) + AWKWARD
     got = sorted(map(tuple, near_duplicates(docs(spark, rows), block_elements=block).collect()), key=repr)
     assert got == classes(rows)
@@ -152,11 +154,14 @@ def test_bands_reach_the_recall():
         choose_bands(0.1, 1e-9, 16)
 
 
-def test_blocks_split_a_neighbourhood():
-    rows = [(1, i, 1, 10, np.arange(i, i + 10).astype("<u8").tobytes()) for i in range(10)]
-    frame = pd.DataFrame(rows, columns=["hood", "member", "copies", "n", "grams"])
-    blocks = pd.concat(jaccard._cut_blocks(1000, 4)(iter([frame.iloc[:3], frame.iloc[3:]])))
-    assert [len(x) // 8 for x in blocks["members"]] == [4, 4, 2]
+def test_blocks_end_with_their_leader_and_size():
+    rows = [(i // 7, i, 1, 10, np.arange(i % 7, i % 7 + 10).astype("<u8").tobytes(), [1, 2]) for i in range(10)]
+    frame = pd.DataFrame(rows, columns=["leader", "member", "copies", "n", "grams", "bands"])
+    blocks = pd.concat(jaccard._cut_blocks(0.8, 1000, 4)(iter([frame.iloc[:3], frame.iloc[3:]])))
+    assert [len(x) // 8 for x in blocks["members"]] == [4, 3, 3]
+    # neighbours share 9 of 11, and in a chain all are one class
+    assert [np.frombuffer(x, "<i8").tolist() for x in blocks["labels"]] == [[0] * 4, [4] * 3, [7] * 3]
+    assert [np.frombuffer(x, "<i8").tolist() for x in blocks["degrees"]] == [[1, 2, 2, 1], [1, 2, 1], [1, 2, 1]]
 
 
 def test_components(spark):

@@ -3,18 +3,22 @@
 1. Texts with the same n-gram set are one member. A member's MinHash signature is cut into
    bands; rows per band and their number are chosen so that a pair at the threshold is missed
    with at most the given probability.
-2. Band hashes are shuffled. Members that share one are tied to the smallest of them, which is
-   a row per member, not per pair; what is tied together, over all bands, is a neighbourhood.
-3. Neighbourhoods are cut into blocks of members ordered by set size, and pairs of blocks whose
-   sizes allow the threshold are verified on full n-gram sets: intersections of all members
-   at once, as products of incidence matrices. A block pair returns the number of links of
-   each member and a spanning forest of the links, so rows grow with members, not with pairs.
+2. Band hashes are shuffled; members that share one form a bucket. Buckets of at most ``FEW``
+   members give their pairs as rows, a bounded number per member. Most of these are there by
+   chance, and are verified one by one.
+3. Members of larger buckets go into blocks, next to those with the same first member in their
+   buckets. Pairs within a block are verified on full n-gram sets, all intersections at once as
+   products of incidence matrices. Two blocks meet if they have a bucket in common. A block takes
+   in the others one by one and adds up, so it returns a row per member and one per pair of
+   groups that are linked, never one per pair of members.
+4. A pair that shares a larger bucket counts in step 3, else in step 2. Classes are the components
+   of verified links; what only shares a band ties nothing together.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import chunks, keep, texts
+from zonewright.functions.columns import col
+from zonewright.llm.common import chunks, keep
 from zonewright.llm.graph import components
 
 WORD = re.compile(r"\w+")
+#: Members of a bucket that gives its pairs as rows.
+FEW = 4
 _NULL_ID = 2**63 - 1
 
 
@@ -115,35 +122,40 @@ def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [gram_hashes(t, n) for t in batch["text"]]
-            same = [
-                xxhash.xxh3_128_digest(s.tobytes()) == key
-                for s, key in zip(sets, batch["key"], strict=True)
-            ]
-            out = batch.loc[same, ["hood", "member", "copies"]]
-            out = out.assign(
-                n=[len(s) for s, ok in zip(sets, same, strict=True) if ok],
-                grams=[s.tobytes() for s, ok in zip(sets, same, strict=True) if ok],
-            )
+            out = batch[["member"]].assign(n=[len(s) for s in sets], grams=[s.tobytes() for s in sets])
             yield out
 
     return run
 
 
-_BLOCK = "hood long, low long, high long, members binary, copies binary, sizes binary, grams binary"
+_BLOCK = (
+    "low long, high long, members binary, copies binary, sizes binary, grams binary, "
+    "bands array<long>, cuts array<int>, labels binary, degrees binary"
+)
+
 
+def _cut_blocks(threshold: float, most_elements: int, most_members: int):
+    """Blocks of members with one leader, compared within. ``cuts`` tells how many of ``bands``
+    each member has; ``labels`` are the smallest members they are linked with in the block."""
 
-def _cut_blocks(most_elements: int, most_members: int):
     def block(held: list) -> pd.DataFrame:
+        sets = [np.frombuffer(r.grams, "<u8") for r in held]
+        bands = [np.sort(np.asarray(r.bands, np.int64)) for r in held]
+        members, copies, sizes = (np.array([getattr(r, c) for r in held], np.int64) for c in ("member", "copies", "n"))
+        links = _links(threshold, sets, bands, sizes)
         return pd.DataFrame(
             [
                 {
-                    "hood": held[0].hood,
                     "low": held[0].n,
                     "high": held[-1].n,
-                    "members": np.array([r.member for r in held], "<i8").tobytes(),
-                    "copies": np.array([r.copies for r in held], "<i8").tobytes(),
-                    "sizes": np.array([r.n for r in held], "<i8").tobytes(),
+                    "members": members.astype("<i8").tobytes(),
+                    "copies": copies.astype("<i8").tobytes(),
+                    "sizes": sizes.astype("<i8").tobytes(),
                     "grams": b"".join(r.grams for r in held),
+                    "bands": np.concatenate(bands),
+                    "cuts": [len(x) for x in bands],
+                    "labels": members[_labels(links, members)].astype("<i8").tobytes(),
+                    "degrees": (links @ copies).astype("<i8").tobytes(),
                 }
             ]
         )
@@ -153,10 +165,8 @@ def _cut_blocks(most_elements: int, most_members: int):
         elements = 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if held and row.member == held[-1].member:
-                    continue  # a repeated row of the table
                 if held and (
-                    row.hood != held[0].hood
+                    row.leader != held[0].leader
                     or elements + row.n > most_elements
                     or len(held) >= most_members
                 ):
@@ -170,6 +180,33 @@ def _cut_blocks(most_elements: int, most_members: int):
     return run
 
 
+def _links(threshold: float, sets: list, bands: list, sizes: np.ndarray, other: tuple | None = None) -> np.ndarray:
+    """Which pairs share a band and are similar; within one block, or with ``other``."""
+    same = other is None
+    sets_2, bands_2, sizes_2 = (sets, bands, sizes) if same else other
+    both = overlaps(sets, sets_2, same)
+    links = both >= threshold * (sizes[:, None] + sizes_2 - both) - 1e-4
+    if links.any():
+        links &= overlaps(bands, bands_2, same) > 0
+    if same:
+        np.fill_diagonal(links, False)
+    return links
+
+
+def _labels(links: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """For each the place of the smallest member it is connected with."""
+    label = np.full(len(members), -1)
+    for start in np.argsort(members, kind="stable").tolist():
+        if label[start] < 0:
+            label[start] = start
+            todo = [start]
+            while todo:
+                near = np.flatnonzero(links[todo.pop()] & (label < 0))
+                label[near] = start
+                todo += near.tolist()
+    return label
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np.ndarray:
     """Sizes of all intersections but, if ``same``, those of a set with itself. Elements that no
     two sets share cost nothing."""
@@ -199,63 +236,167 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np.
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray, links: np.ndarray, same: bool) -> tuple[list, list]:
-    """A spanning forest of the links: member to the first it is linked with, and the first of
-    each such star on. At most members many rows."""
-    n = links.shape[0]
-    size = n if same else n + links.shape[1]
-    root = np.arange(size)
-    who = a if same else np.concatenate([a, b])
+class _Forest:
+    """Which of the edges between labels are news, each label in a tree at most once."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = x = self.root.get(up, up)
         return x
 
-    out: tuple[list, list] = ([], [])
-    label = np.arange(size)
-    for i in range(n):
-        to = np.flatnonzero(links[i]) + (0 if same else n)
-        to = to[label[to] != label[i]]
-        for j in to.tolist():
-            x, y = find(i), find(j)
-            if x != y:
-                root[y] = x
-                out[0].append(int(who[i]))
-                out[1].append(int(who[j]))
-        if len(to):
-            label = root[root]
-    return out
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[b] = a
+        return a != b
 
 
-def _verify(threshold: float):
-    def unpack(row, suffix: str = "") -> tuple:
-        get = lambda name, kind: np.frombuffer(getattr(row, name + suffix), kind)
+def _across(threshold: float):
+    """Rows in the order of the left block, itself first: (a, b, links) with the degrees that its
+    members gain (a = b), and the edges between labels that are linked."""
+
+    def unpack(row) -> tuple:
+        get = lambda name, kind: np.frombuffer(getattr(row, name), kind)
         sizes = get("sizes", "<i8")
-        cuts = np.cumsum(sizes)[:-1]
-        return get("members", "<i8"), get("copies", "<i8"), sizes, np.split(get("grams", "<u8"), cuts)
+        bands = np.split(np.asarray(row.bands, np.int64), np.cumsum(row.cuts)[:-1])
+        sets = np.split(get("grams", "<u8"), np.cumsum(sizes)[:-1])
+        return (sets, bands, sizes), get("members", "<i8"), get("copies", "<i8"), get("labels", "<i8")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, number = None, None
+        gained, edges, forest = np.zeros(0, np.int64), [], _Forest()
+
+        def told() -> pd.DataFrame:
+            hit = np.flatnonzero(gained)
+            rows = [(int(left[1][i]), int(left[1][i]), int(gained[i])) for i in hit]
+            return pd.DataFrame(rows + [(a, b, 0) for a, b in edges], columns=["a", "b", "links"])
+
         for batch in batches:
             for row in batch.itertuples(index=False):
-                a, copies, size, sets = unpack(row)
-                same = not hasattr(row, "grams_2")
-                b, copies_b, size_b, sets_b = (a, copies, size, sets) if same else unpack(row, "_2")
-                both = overlaps(sets, sets_b, same)
-                links = both >= threshold * (size[:, None] + size_b - both) - 1e-4
-                if same:
-                    np.fill_diagonal(links, False)
-                left, right = _forest(a, b, links, same)
-                degree = links @ copies_b
-                yield pd.DataFrame({"a": a, "b": a, "links": degree})
-                if not same:
-                    yield pd.DataFrame({"a": b, "b": b, "links": copies @ links})
-                yield pd.DataFrame({"a": left, "b": right, "links": 0})
+                if row.left != number:
+                    if number is not None:
+                        yield told()
+                    left, number = unpack(row), row.left
+                    gained, edges, forest = np.zeros(len(left[1]), np.int64), [], _Forest()
+                    continue
+                right = unpack(row)
+                links = _links(threshold, *left[0], other=right[0])
+                gained += links @ right[2]
+                if row.right > number:  # the other way round it is told by the other block
+                    for i, j in {(int(left[3][i]), int(right[3][j])) for i, j in zip(*np.nonzero(links), strict=True)}:
+                        if forest.joins(i, j):
+                            edges.append((i, j))
+        if number is not None:
+            yield told()
 
     return run
 
 
+def _pairs(threshold: float):
+    """Linked pairs among rows of two sets: the degree of each and the edge."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x, y = np.frombuffer(r.grams, "<u8"), np.frombuffer(r.grams_2, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both) - 1e-4:
+                    out += [(r.a, r.a, r.copies_2), (r.b, r.b, r.copies), (r.a, r.b, 0)]
+            yield pd.DataFrame(out, columns=["a", "b", "links"])
+
+    return run
+
+
+_FOUND = "a long, b long, links long"
+
+
+def _linked(
+    base: DataFrame, signed: DataFrame, members: DataFrame, n: int, threshold: float, most_elements: int, most_members: int
+) -> DataFrame:
+    """(a, b, links): degrees of members, beyond their own copies, and edges that connect them."""
+    alone = members.select(F.col("member").alias("row"), "copies")
+    banded = signed.join(alone, "row").select(
+        F.col("row").alias("member"), "copies", "n", F.explode("bands").alias("band")
+    )
+    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("member").alias("first"))
+    shared = keep(banded.join(buckets.where("m > 1"), "band"))
+
+    big = shared.where(F.col("m") > FEW).groupBy("member").agg(
+        F.min("first").alias("leader"), F.collect_set("band").alias("big")
+    )
+    each = F.struct("member", "copies", "n")
+    small = shared.where(F.col("m") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list(each)).alias("e"))
+    both = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, FEW), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    near = (F.col("p.x.n") >= threshold * F.col("p.y.n")) & (F.col("p.y.n") >= threshold * F.col("p.x.n"))
+    pairs = small.select(F.explode(both).alias("p")).where(near).select(
+        F.col("p.x.member").alias("a"), F.col("p.y.member").alias("b"),
+        F.col("p.x.copies").alias("copies"), F.col("p.y.copies").alias("copies_2"),
+    ).distinct()
+    of = lambda x: big.select(F.col("member").alias(x), F.col("big").alias(f"big_{x}"))
+    together = F.coalesce(F.arrays_overlap("big_a", "big_b"), F.lit(False))
+    pairs = keep(
+        pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~together)
+        .select("a", "b", "copies", "copies_2")
+    )
+    big = keep(big)
+
+    wanted = big.select("member").unionByName(pairs.select(F.col("a").alias("member")))
+    wanted = wanted.unionByName(pairs.select(F.col("b").alias("member"))).distinct()
+    texts_of = base.select(F.col("row").alias("member"), "text").join(wanted, "member")
+    sets = keep(texts_of.mapInPandas(_sets(n), "member long, n long, grams binary"))
+
+    one = pairs.join(sets.select(F.col("member").alias("a"), "grams"), "a")
+    two = one.join(sets.select(F.col("member").alias("b"), F.col("grams").alias("grams_2")), "b")
+    few = two.mapInPandas(_pairs(threshold), _FOUND)
+
+    of_big = shared.where(F.col("m") > FEW).groupBy("member").agg(F.first("copies").alias("copies"), F.first("n").alias("n"))
+    total = of_big.agg(F.sum("n")).first()[0] or 0
+    rows = sets.drop("n").join(of_big, "member").join(big, "member").withColumnRenamed("big", "bands")
+    blocks = keep(
+        # blocks end where partitions do, so there are no more of these than the sets fill
+        rows.repartitionByRange(max(1, -(-total // (8 * most_elements))), "leader", "n", "member")
+        .sortWithinPartitions("leader", "n", "member")
+        .mapInPandas(_cut_blocks(threshold, most_elements, most_members), _BLOCK)
+        .withColumn("block", F.monotonically_increasing_id())
+    )
+    told = few.unionByName(blocks.mapInPandas(_inside, _FOUND))
+
+    met = blocks.select("block", "low", "high", F.explode(F.array_distinct("bands")).alias("band"))
+    met = met.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("of"))
+    met = met.where(F.size("of") > 1).select("of").distinct()
+    low, high, low_2, high_2 = (F.col(c) for c in ("x.low", "x.high", "y.low", "y.high"))
+    met = met.select(F.explode("of").alias("x"), "of").select("x", F.explode("of").alias("y")).where(
+        (F.col("x.block") != F.col("y.block")) & (low * threshold <= high_2) & (low_2 * threshold <= high)
+    )
+    met = keep(met.select(F.col("x.block").alias("left"), F.col("y.block").alias("right")).distinct())
+    if met.isEmpty():
+        return told
+    own = met.select("left").distinct().withColumn("right", F.col("left"))
+    content = blocks.select(F.col("block").alias("right"), "members", "copies", "sizes", "grams", "bands", "cuts", "labels")
+    across = (
+        met.unionByName(own).join(content, "right").withColumn("other", F.col("left") != F.col("right"))
+        .repartition("left").sortWithinPartitions("left", "other", "right")
+    )
+    return told.unionByName(across.mapInPandas(_across(threshold), _FOUND))
+
+
+def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What blocks found within."""
+    for batch in batches:
+        parts = []
+        for row in batch.itertuples(index=False):
+            members, labels, degrees = (np.frombuffer(getattr(row, c), "<i8") for c in ("members", "labels", "degrees"))
+            hit = degrees > 0
+            parts.append(pd.DataFrame({"a": members[hit], "b": members[hit], "links": degrees[hit]}))
+            hit = members != labels
+            parts.append(pd.DataFrame({"a": members[hit], "b": labels[hit], "links": 0}))
+        if parts:
+            yield pd.concat(parts)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -266,6 +407,7 @@ def near_duplicates(
     permutations: int = 240,
     block_elements: int = 1 << 19,
     block_members: int = 1024,
+    keep_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Per row: the id, ``class_id`` (the smallest id among all rows connected by links) and
     ``n_links``, the number of other rows whose n-gram sets are similar by ``threshold``.
@@ -276,67 +418,41 @@ def near_duplicates(
     all others. An empty table gives an empty one; other columns are not read. A link is only
     missed, with probability ``miss`` at the threshold and less above it, if no band agrees.
     A block of members to verify holds at most ``block_elements`` n-grams, or one member.
+
+    With ``keep_columns`` the rows of ``docs`` come instead, in a struct ``kept``, with ``first``:
+    whether this is the one of its class with the smallest id, the first of these if several rows
+    have it.
     """
     bands, rows = choose_bands(threshold, miss, permutations)
+    wanted = list(dict.fromkeys([*keep_columns, id_col, text_col]))
     base = keep(
-        texts(docs, id_col, text_col)
-        .withColumn("id", F.coalesce("id", F.lit(_NULL_ID).cast("long")))
-        .withColumn("row", F.monotonically_increasing_id())
+        docs.select(
+            F.struct(*[col(c) for c in wanted]).alias("kept"), F.monotonically_increasing_id().alias("row")
+        )
+    )
+    own = F.col("kept").getField(id_col).cast("long")
+    base = base.select(
+        F.coalesce(own, F.lit(_NULL_ID).cast("long")).alias("id"),
+        F.coalesce(F.col("kept").getField(text_col).cast("string"), F.lit("")).alias("text"),
+        "row",
+        "kept",
     )
     kind = "id long, row long, key binary, n long, bands array<long>"
-    signed = keep(base.mapInPandas(_signatures(n, bands, rows), kind))
+    signed = keep(base.select("id", "row", "text").mapInPandas(_signatures(n, bands, rows), kind))
     members = keep(
         signed.where("n > 0")
         .groupBy("key")
         .agg(
             F.min("row").alias("member"),
-            F.min("id").alias("least"),
+            F.min(F.struct("id", "row")).alias("least"),
             F.count("*").alias("copies"),
         )
-        .select("key", "member", "least", "copies")
     )
-    banded = (
-        signed.join(members.select(F.col("member").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("member"), F.explode("bands").alias("band"))
-    )
-    firsts = (
-        banded.groupBy("band")
-        .agg(F.min("member").alias("first"), F.max("member").alias("last"))
-        .where("first <> last")
-    )
-    ties = (
-        banded.join(firsts, "band").where("member <> first").select(
-            F.col("member").alias("a"), F.col("first").alias("b")
-        )
-    )
-    hoods = keep(components(ties).select(F.col("node").alias("member"), F.col("label").alias("hood")))
-
-    wanted = members.join(hoods, "member")
-    sets = base.withColumnRenamed("row", "member").join(wanted, "member").select(
-        "hood", "member", "copies", "key", "text"
-    )
-    blocks = keep(
-        sets.mapInPandas(_sets(n), "hood long, member long, copies long, n long, grams binary")
-        .repartitionByRange("hood", "n", "member")
-        .sortWithinPartitions("hood", "n", "member")
-        .mapInPandas(_cut_blocks(block_elements, block_members), _BLOCK)
-        .withColumn("block", F.monotonically_increasing_id())
-    )
-    found = "a long, b long, links long"
-    other = blocks.select("hood", *[F.col(c).alias(f"{c}_2") for c in blocks.columns if c != "hood"])
-    several = blocks.groupBy("hood").agg(F.count("*").alias("k")).where("k > 1").select("hood")
-    across = (
-        blocks.join(several, "hood", "left_semi")
-        .join(other, "hood")
-        .where((F.col("block") < F.col("block_2")) & _may_link(threshold))
-    )
-    names = ["members", "copies", "sizes", "grams"]
-    inside = blocks.select(*names).mapInPandas(_verify(threshold), found)
-    between = across.select(*names, *[f"{c}_2" for c in names]).mapInPandas(
-        _verify(threshold), found
-    )
-    told = keep(inside.unionByName(between).groupBy("a", "b").agg(F.sum("links").alias("links")))
-    classes = keep(components(told.where("a <> b").select("a", "b")))
+    told = keep(
+        _linked(base, signed, members, n, threshold, block_elements, block_members)
+        .groupBy("a", "b").agg(F.sum("links").alias("links"))
+    )
+    classes = components(told.where("a <> b").select("a", "b"))
     degrees = told.where("a = b").select(F.col("a").alias("member"), "links")
 
     labelled = (
@@ -344,20 +460,18 @@ def near_duplicates(
         .join(degrees, "member", "left")
         .withColumn("label", F.coalesce("label", "member"))
     )
-    firsts = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
+    firsts = labelled.groupBy("label").agg(F.min("least").alias("class"))
     per_key = labelled.join(firsts, "label").select(
-        "key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "key", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    result = signed.select("id", "key").join(per_key, "key", "left")
+    result = signed.select("id", "row", "key").join(per_key, "key", "left")
+    if keep_columns:
+        later = result.where(F.col("row") != F.col("class.row")).select("row")
+        later = base.select("row", "kept").join(later.withColumn("later", F.lit(True)), "row", "left")
+        return later.select("kept", F.col("later").isNull().alias("first"))
     null = F.lit(_NULL_ID)
     return result.select(
         F.nullif("id", null).alias(id_col),
-        F.nullif(F.coalesce("class_id", "id"), null).alias("class_id"),
+        F.nullif(F.coalesce("class.id", "id"), null).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-
-
-def _may_link(threshold: float):
-    """Whether sizes of the two blocks are near enough for any of their pairs."""
-    low, high, low_2, high_2 = (F.col(c) for c in ("low", "high", "low_2", "high_2"))
-    return (low <= high_2 / threshold) & (low_2 <= high / threshold)
