@@ -25,9 +25,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose languages are known with some certainty, be they several: not those
     without a letter, nor those only in scripts that no learned language is written in."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model, keep=docs.columns)
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE)
-    return found.where(known).select(*docs.columns)
+    found = language_id.labelled(docs, model, keep=docs.columns)
+    sure = F.col("label.certainty") >= LEAST_SCORE
+    return found.where((F.col("label.lang_pred") != language_id.UNKNOWN) & sure).select("kept.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,25 +46,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, and it once."""
-    own = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    first = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .select(own.alias("_own"))
-        .distinct()
-    )
-    kept = docs.withColumn("_own", own).join(first, "_own", "left_semi")
-    return kept.dropDuplicates(["_own", "text"]).drop("_own")
+    """Of each group of near copies the row with the smallest id, a null id being the largest; of
+    several rows with this id one. Groups are made of rows, so texts that share an id, or have
+    none, are kept or dropped each by itself. Columns may have any names."""
+    return near_duplicates(docs, keep_columns=docs.columns).where("first").select("kept.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item; those without an id are told apart by their text."""
-    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text))
-    keyed = docs.withColumn("_own", own)
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_own")
-    return keyed.join(found.select("_own").distinct(), "_own", "left_anti").select(*docs.columns)
+    """Documents that hold no test item. Each is searched by itself, told apart by id and text,
+    so texts that share an id, or have none, stay apart too. Columns may have any names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    told = F.concat_ws(" ", F.col("doc_id"), F.hex(F.xxhash64(text)), F.length(text)).alias("told")
+    found = contaminated(docs.select(told, "text"), table(spark, sf_dir, "benchmark"), id_col="told")
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), told)
+    return rows.join(found.select("told").distinct(), "told", "left_anti").select("kept.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 import hashlib
 import zlib
 from collections import Counter
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_dedup import bytes_brute, lines_brute, words_brute
@@ -201,6 +204,30 @@ def test_documents_without_id_that_hold_a_test_item_go(spark, tmp_path):
     assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
 
 
+def test_near_copies_without_id_or_under_one_id(spark):
+    """Rows are judged by themselves: neither a null nor a repeated id saves a copy."""
+    text = " ".join(f"wort{i}" for i in range(60))
+    near, other = text + " ende", " ".join(f"ander{i}" for i in range(30))
+    rows = [(5, text), (None, near), (None, near + " ende"), (None, other), (7, other), (7, near), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(5, text), (7, other), (None, None), (8, None)], key=str)
+    alone = spark.createDataFrame([(None, text), (None, near)], docs.schema)
+    assert corpus_pipeline.without_near_copies(spark, alone, SF).count() == 1
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    names = ["score", "spans", "lang_pred", "certainty", "_own", "kept", "first", "row", "id", "told", "label"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, more, SF)
+        assert found.columns == more.columns
+        wrong = [F.col(n) != F.concat(F.lit(n), F.col("doc_id")) for n in names]
+        assert 0 < found.count() == found.select("doc_id").intersect(stage(spark, docs, SF).select("doc_id")).count()
+        assert found.where(reduce(or_, wrong)).isEmpty()
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.sql(AWKWARD).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.sql("select 1L item_id, 'x' text").limit(0).write.parquet(

@@ -328,9 +328,20 @@ def identify(
     The score is the share of letters in spans of that language times the model's certainty
     of it. The certainty is that of the languages of all spans, by their letters; letters of
     scripts that no language was seen in do not count, and a text of only these has 0. A null
-    text, one without letters, or a model without languages gives ``und``, zeros and no spans. One row out for each row in; kept columns pass unchanged, nulls included, and must
-    not have the names of the new ones; other columns are not read.
+    text, one without letters, or a model without languages gives ``und``, zeros and no spans.
+    One row out for each row in; kept columns pass unchanged, nulls included, and must not have
+    the names of the new ones, see ``labelled``; other columns are not read.
     """
+    clash = {"lang_pred", "score", "spans", "certainty"} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"columns to keep are named like new ones: {sorted(clash)}")
+    return labelled(docs, model, keep, text_col).select("kept.*", "label.*")
+
+
+def labelled(
+    docs: DataFrame, model: LanguageModel, keep: Sequence[str], text_col: str = "text"
+) -> DataFrame:
+    """The same as two structs, ``kept`` and ``label``, so that no names can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see LanguageModel
     kind = (
         "lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>, "
@@ -345,12 +356,8 @@ def identify(
             rows = [r for _, part in chunks(values, values, 1 << 18) for r in labeller.label(part)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans", "certainty"])
 
-    clash = {"lang_pred", "score", "spans", "certainty"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"columns to keep are named like new ones: {sorted(clash)}")
     kept = F.struct(*[col(c) for c in keep]).alias("kept")
-    rows = docs.select(kept, label(col(text_col).cast("string")).alias("l"))
-    return rows.select("kept.*", "l.lang_pred", "l.score", "l.spans", "l.certainty")
+    return docs.select(kept, label(col(text_col).cast("string")).alias("label"))
 
 
 def held_out(id_column: Column) -> Column:
