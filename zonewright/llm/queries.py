@@ -137,6 +137,31 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+    WITH RECURSIVE docs AS (
+        SELECT row_number() OVER () AS id, doc_id,
+               regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+    grams AS (
+        SELECT DISTINCT id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS gram
+        FROM (SELECT *, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i
+              FROM docs WHERE len(w) > 0)),
+    sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+    shared AS (
+        SELECT a.id AS a, b.id AS b, count(*) AS n
+        FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+    near AS (
+        SELECT a, b FROM shared s JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
+        WHERE 5 * s.n >= 4 * (x.n + y.n - s.n)),
+    links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    reached AS (
+        SELECT id AS a, id AS b FROM docs
+        UNION
+        SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+    classes AS (SELECT r.a, min(d.doc_id) AS class_id FROM reached r JOIN docs d ON d.id = r.b GROUP BY r.a)
+    SELECT d.doc_id, c.class_id, (SELECT count(*) FROM links l WHERE l.a = d.id) AS n_links
+    FROM docs d JOIN classes c ON c.a = d.id"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(table(spark, sf_dir, "documents"), model)
@@ -467,6 +492,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": OP2_SQL,
         "op3_line_dedup": OP3_SQL,
         "op4_exact_top_k": OP4_SQL,
+        "op5_ngram_jaccard_join": OP5_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
         "op10_chat_format": OP10_SQL,
         "op11_source_divergence": OP11_SQL,
