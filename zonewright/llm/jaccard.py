@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from zonewright.functions.columns import col
 from zonewright.llm.common import chunks, keep
 from zonewright.llm.graph import components
+from zonewright.sources.size import fits_broadcast
 
 WORD = re.compile(r"\w+")
 #: Members of a bucket that gives its pairs as rows.
 FEW = 4
+#: How often leaders are passed on to those who share a band.
+LEADER_ROUNDS = 2
 _NULL_ID = 2**63 - 1
 
 
@@ -314,19 +317,14 @@ _FOUND = "a long, b long, links long"
 
 
 def _linked(
-    base: DataFrame, signed: DataFrame, members: DataFrame, n: int, threshold: float, most_elements: int, most_members: int
+    base: DataFrame, members: DataFrame, n: int, threshold: float, most_elements: int, most_members: int
 ) -> DataFrame:
     """(a, b, links): degrees of members, beyond their own copies, and edges that connect them."""
-    alone = members.select(F.col("member").alias("row"), "copies")
-    banded = signed.join(alone, "row").select(
-        F.col("row").alias("member"), "copies", "n", F.explode("bands").alias("band")
-    )
+    banded = members.select("member", "copies", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("member").alias("first"))
     shared = keep(banded.join(buckets.where("m > 1"), "band"))
 
-    big = shared.where(F.col("m") > FEW).groupBy("member").agg(
-        F.min("first").alias("leader"), F.collect_set("band").alias("big")
-    )
+    big = _leaders(shared.where(F.col("m") > FEW).select("member", "copies", "n", "band", "first"))
     each = F.struct("member", "copies", "n")
     small = shared.where(F.col("m") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list(each)).alias("e"))
     both = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, FEW), lambda y: F.struct(x.alias("x"), y.alias("y")))))
@@ -345,6 +343,8 @@ def _linked(
 
     wanted = big.select("member").unionByName(pairs.select(F.col("a").alias("member")))
     wanted = wanted.unionByName(pairs.select(F.col("b").alias("member"))).distinct()
+    wanted = keep(wanted)
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     texts_of = base.select(F.col("row").alias("member"), "text").join(wanted, "member")
     sets = keep(texts_of.mapInPandas(_sets(n), "member long, n long, grams binary"))
 
@@ -352,9 +352,8 @@ def _linked(
     two = one.join(sets.select(F.col("member").alias("b"), F.col("grams").alias("grams_2")), "b")
     few = two.mapInPandas(_pairs(threshold), _FOUND)
 
-    of_big = shared.where(F.col("m") > FEW).groupBy("member").agg(F.first("copies").alias("copies"), F.first("n").alias("n"))
-    total = of_big.agg(F.sum("n")).first()[0] or 0
-    rows = sets.drop("n").join(of_big, "member").join(big, "member").withColumnRenamed("big", "bands")
+    total = big.agg(F.sum("n")).first()[0] or 0
+    rows = sets.drop("n").join(big, "member").withColumnRenamed("big", "bands")
     blocks = keep(
         # blocks end where partitions do, so there are no more of these than the sets fill
         rows.repartitionByRange(max(1, -(-total // (8 * most_elements))), "leader", "n", "member")
@@ -383,6 +382,21 @@ def _linked(
     return told.unionByName(across.mapInPandas(_across(threshold), _FOUND))
 
 
+def _leaders(banded: DataFrame) -> DataFrame:
+    """(member, copies, n, leader, big): the bands of each member, and a small member that those
+    around it have too. Members with one leader go into blocks together; a group whose members
+    found different ones only makes more blocks."""
+    banded = keep(banded)
+    led = banded.groupBy("member").agg(F.min("first").alias("leader"))
+    for _ in range(LEADER_ROUNDS):
+        least = banded.select("member", "band").join(led, "member").groupBy("band").agg(F.min("leader").alias("leader"))
+        led = keep(banded.select("member", "band").join(least, "band").groupBy("member").agg(F.min("leader").alias("leader")))
+    told = banded.groupBy("member").agg(
+        F.first("copies").alias("copies"), F.first("n").alias("n"), F.collect_set("band").alias("big")
+    )
+    return told.join(led, "member")
+
+
 def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What blocks found within."""
     for batch in batches:
@@ -443,20 +457,21 @@ def near_duplicates(
         signed.where("n > 0")
         .groupBy("key")
         .agg(
-            F.min("row").alias("member"),
+            F.min(F.struct("row", "n", "bands")).alias("own"),
             F.min(F.struct("id", "row")).alias("least"),
             F.count("*").alias("copies"),
         )
+        .select("key", F.col("own.row").alias("member"), "own.n", "own.bands", "least", "copies")
     )
     told = keep(
-        _linked(base, signed, members, n, threshold, block_elements, block_members)
+        _linked(base, members, n, threshold, block_elements, block_members)
         .groupBy("a", "b").agg(F.sum("links").alias("links"))
     )
     classes = components(told.where("a <> b").select("a", "b"))
     degrees = told.where("a = b").select(F.col("a").alias("member"), "links")
 
     labelled = (
-        members.join(classes.withColumnRenamed("node", "member"), "member", "left")
+        members.select("key", "member", "least", "copies").join(classes.withColumnRenamed("node", "member"), "member", "left")
         .join(degrees, "member", "left")
         .withColumn("label", F.coalesce("label", "member"))
     )
