@@ -20,6 +20,7 @@ from zonewright import (  # noqa: E402
     JobSpec,
     Zone,
     cast_columns,
+    check_text_types,
     check_types,
     detect_changes,
     lookup_bootstrap,
@@ -30,6 +31,7 @@ from zonewright import (  # noqa: E402
     pii_swap,
     read_zone,
     reconcile,
+    reconcile_values,
     scd2_merge,
     scd2_open,
     stage_updates,
@@ -371,6 +373,44 @@ def reconcile_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.fillna(0, ["source_count", "target_count"])
 
 
+def reconcile_values_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy with all that counts cannot see: altered values, values moved between rows, and
+    another sign of zero, which is none."""
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "o_zero", F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(0.0)
+    )
+    # neighbours in the order of keys, told by numbers that each side has once
+    pairs = orders.select(
+        (F.col("o_orderkey").bitwiseXOR(F.lit(1))).alias("o_orderkey"), F.col("o_orderpriority").alias("moved")
+    )
+    shifted = F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    target = orders.join(pairs, "o_orderkey", "left").select(
+        "o_orderkey",
+        shifted.alias("o_custkey"),
+        "o_orderstatus",
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.coalesce("moved", "o_orderpriority").alias("o_orderpriority"),
+        (-F.col("o_zero")).alias("o_zero"),
+        F.lit(1).alias("o_extra"),
+    )
+    return reconcile_values(orders, target).select("column_name", "status")
+
+
+def check_text_types_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as CSV holds them: one with its scale, one without its trailing zeros, one with a
+    scale that its rule does not have."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    text = lineitem.select(
+        F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("l_extendedprice"),
+        F.regexp_replace(F.col("l_discount").cast("decimal(5,2)").cast("string"), "0+$", "").alias("l_discount"),
+        F.col("l_tax").cast("decimal(5,2)").cast("string").alias("l_tax"),
+        "l_returnflag",
+    )
+    rules = ("l_extendedprice:DecimalType:DoubleType:2", "l_discount:DecimalType:DoubleType:2",
+             "l_tax:DecimalType:DoubleType:4", "l_returnflag:StringType:StringType", "l_lost:StringType:StringType")
+    return check_text_types(text, rules)
+
+
 def reconcile_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = customer_spec(spark, sf_dir, raw=Zone(sf_dir))
     raw_to_staging(spark, spec, "customer.parquet", DAY_1)
@@ -529,7 +569,9 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reconcile_failures": reconcile_failures,
         "reconcile_staging": reconcile_staging,
         "reconcile_staging_csv": reconcile_staging_csv,
+        "reconcile_values": reconcile_values_orders,
         "check_types": check_types_lineitem,
+        "check_text_types": check_text_types_lineitem,
         "raw_to_staging": raw_to_staging_customer,
         "staging_lookup_dictionary": staging_lookup_dictionary,
         "staging_lookup_history": staging_lookup_history,
@@ -798,6 +840,50 @@ def zone_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'l_shipdate', 'string', 'timestamp_ntz', count(l_shipdate), 'failed'
             FROM lineitem""",
+        "reconcile_values": """
+            WITH s AS (
+                SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'NaN'::DOUBLE ELSE 0 END AS o_zero FROM orders),
+            t AS (
+                SELECT s.o_orderkey,
+                       CASE WHEN s.o_orderkey % 1000 = 1 THEN s.o_custkey + 1 ELSE s.o_custkey END AS o_custkey,
+                       s.o_orderstatus, s.o_totalprice,
+                       coalesce(p.o_orderpriority, s.o_orderpriority) AS o_orderpriority, s.o_zero
+                FROM s LEFT JOIN s p ON p.o_orderkey = xor(s.o_orderkey, 1)),
+            differ(column_name, n) AS (
+                SELECT '*', (SELECT count(*) FROM (
+                    (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_zero FROM s)
+                    EXCEPT ALL SELECT * FROM t))
+                UNION ALL SELECT 'o_orderkey', (SELECT count(*) FROM (
+                    SELECT o_orderkey FROM s EXCEPT ALL SELECT o_orderkey FROM t))
+                UNION ALL SELECT 'o_custkey', (SELECT count(*) FROM (
+                    SELECT o_custkey FROM s EXCEPT ALL SELECT o_custkey FROM t))
+                UNION ALL SELECT 'o_orderstatus', (SELECT count(*) FROM (
+                    SELECT o_orderstatus FROM s EXCEPT ALL SELECT o_orderstatus FROM t))
+                UNION ALL SELECT 'o_totalprice', (SELECT count(*) FROM (
+                    SELECT o_totalprice FROM s EXCEPT ALL SELECT o_totalprice FROM t))
+                UNION ALL SELECT 'o_orderpriority', (SELECT count(*) FROM (
+                    SELECT o_orderpriority FROM s EXCEPT ALL SELECT o_orderpriority FROM t))
+                UNION ALL SELECT 'o_zero', (SELECT count(*) FROM (
+                    SELECT o_zero FROM s EXCEPT ALL SELECT o_zero FROM t)))
+            SELECT column_name, CASE WHEN n = 0 THEN 'success' ELSE 'failed' END AS status FROM differ
+            UNION ALL SELECT 'o_orderdate', 'missing_in_target'
+            UNION ALL SELECT 'o_extra', 'missing_in_source'""",
+        "check_text_types": """
+            SELECT 'l_extendedprice' AS column_name, 'decimal scale 2' AS expected_type,
+                   'text' AS actual_type, count(*) AS n, 'success' AS status FROM lineitem
+            UNION ALL
+            SELECT 'l_discount', 'decimal scale 2', 'text',
+                   count(*) FILTER (CAST(l_discount AS DECIMAL(5,2)) * 100 % 10 <> 0),
+                   CASE WHEN count(*) FILTER (CAST(l_discount AS DECIMAL(5,2)) * 100 % 10 = 0) = 0
+                        THEN 'success' ELSE 'failed' END
+            FROM lineitem
+            UNION ALL
+            SELECT 'l_tax', 'decimal scale 4', 'text', 0,
+                   CASE WHEN count(*) = 0 THEN 'success' ELSE 'failed' END FROM lineitem
+            UNION ALL
+            SELECT 'l_returnflag', 'string', 'text', count(l_returnflag), 'success' FROM lineitem
+            UNION ALL
+            SELECT 'l_lost', 'string', 'missing', 0, 'failed'""",
         "raw_to_staging": _CUSTOMER_STAGED,
         "staging_lookup_dictionary": f"""
             SELECT DISTINCT user_id, sha256(CAST(user_id AS VARCHAR)) AS masked_user_id,

@@ -416,3 +416,36 @@ def test_an_append_of_nothing_writes_nothing(spark, tmp_path):
         lookup_table.append_dictionary(spark, root, rows)
     assert (tmp_path / "d" / "gen=1").exists()
     assert lookup_table.read_dictionary(spark, root).count() == lookup_table.MOST_ADDS + 1
+
+
+def test_types_in_csv_staging(spark, spec, monkeypatch):
+    job = spec(raw=Zone(spec().raw.root, "csv"), staging=Zone(spec().staging.root, "csv"))
+    run_chain(spark, job, "customer.parquet", DAY_1)
+    report = {r.column_name: (r.n, r.status) for r in jobs.validate_staging_types(spark, job, "customer.parquet").collect()}
+    assert report == {"c_acctbal": (150, "success")}
+    # a staging written with another scale is refused before the lookup table is touched
+    staged = jobs._staged
+    monkeypatch.setattr(
+        jobs, "_staged", lambda *a: staged(*a).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,3)"))
+    )
+    with pytest.raises(ValueError, match="decimal scale 2"):
+        run_chain(spark, job, "customer.parquet", DAY_2, mode="overwrite")
+    assert read_lookup(spark, job).where(f"effectiveDate = '{DAY_2}'").isEmpty()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_values_are_compared_along_the_chain(spark, spec, fmt, monkeypatch):
+    job = spec(raw=Zone(spec().raw.root, fmt), staging=Zone(spec().staging.root, fmt))
+    assert run_chain(spark, job, "customer.parquet", DAY_1, compare_values=True).count() == 150
+    write = jobs.write_zone
+
+    def swapped(df, zone, *args):
+        """As many values as before, one of them another."""
+        if zone == job.raw:
+            df = df.replace({"BUILDING": "MACHINERY"}, subset=["c_mktsegment"])
+        return write(df, zone, *args)
+
+    monkeypatch.setattr(jobs, "write_zone", swapped)
+    assert run_chain(spark, job, "customer.parquet", DAY_2, mode="overwrite").count() == 150
+    with pytest.raises(ValueError, match="c_mktsegment"):
+        run_chain(spark, job, "customer.parquet", DAY_2, mode="overwrite", compare_values=True)

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 from zonewright import (
     assert_passed,
     cast_columns,
+    check_text_types,
     check_types,
     mask_columns,
     non_null_counts,
     pii_swap,
     reconcile,
+    reconcile_values,
 )
 from zonewright.operators.quality import observe_counts
 
@@ -160,3 +162,62 @@ def test_nested_columns_are_never_counted_from_footers(spark, footers, plan, tmp
     report = non_null_counts(spark.read.parquet(str(tmp_path / "t")))
     assert dict(report.collect()) == {"*": 3, "a": 2, "b": 2, "s": 2}
     assert "PushedAggregation: [COUNT" not in plan(report)
+
+
+
+def test_values_that_counts_cannot_tell(spark):
+    schema = "k int, s string, x double, a array<int>"
+    rows = [(1, "a", 0.0, [1, None]), (2, None, float("nan"), []), (3, "c", None, None)]
+    source = spark.createDataFrame(rows, schema)
+    same = source.repartition(3).orderBy(F.desc("k")).withColumn("x", -F.col("x"))
+    assert {s for *_, s in lines(reconcile_values(source, same)).values()} == {"success"}
+
+    def status(changed):
+        found = lines(reconcile_values(source, spark.createDataFrame(changed, schema)))
+        return {name for name, (*_, s) in found.items() if s != "success"}
+
+    moved = [(1, None, 0.0, [1, None]), (2, "a", float("nan"), []), (3, "c", None, None)]
+    assert status(moved) == {"*"}
+    altered = [(1, "a", 0.0, [None, 1]), (2, None, None, []), (3, "b", None, None)]
+    assert status(altered) == {"*", "s", "x", "a"}
+    assert status(rows + rows[:1]) == {"*", "k", "s", "x", "a"}
+    assert status([(1, "a", 0.0, [1, None]), (2, None, float("nan"), None), (3, "c", None, [])]) == {"*"}
+    assert status([]) == {"*", "k", "s", "x", "a"}
+
+
+def test_values_of_other_types_and_columns(spark):
+    source = spark.createDataFrame([(1, "1.50", "x"), (2, "oops", "y")], "k int, v string, own string")
+    target = spark.createDataFrame([("1", 1.5, 0), ("2", None, 0)], "K string, v double, more int")
+    report = reconcile_values(source, target)
+    assert {n: s for n, (*_, s) in lines(report).items()} == {
+        "*": "success", "K": "success", "v": "success", "own": "missing_in_target", "more": "missing_in_source",
+    }
+    with pytest.raises(ValueError, match="missing_in_target"):
+        assert_passed(report)
+    none = source.select("own").limit(0)
+    assert lines(reconcile_values(none, none)) == {"*": ("0", "0", "success"), "own": ("0", "0", "success")}
+
+
+def test_value_sums_are_partial_in_every_task(spark, plan):
+    source = spark.range(0, 1000, 1, 8).selectExpr("id", "string(id) s")
+    text = plan(reconcile_values(source, source))
+    assert text.count("partial_sum") >= 2 and "hashpartitioning(id" not in text and "Python" not in text
+
+
+def test_types_of_text(spark):
+    text = spark.createDataFrame(
+        [("1.50", "1.5", "007", "x"), ("-0.10", "1e3", "7", None), (None, "12345678901.00", "", "")],
+        "good string, bad string, lead string, s string",
+    )
+    rules = ["good:DecimalType:x:2", "bad:DecimalType:x:2", "lead:DecimalType:x:0", "s:StringType:x", "none:StringType:x"]
+    assert lines(check_text_types(text, rules)) == {
+        "good": ("decimal scale 2", "text", 2, "success"),
+        "bad": ("decimal scale 2", "text", 0, "failed"),
+        "lead": ("decimal scale 0", "text", 1, "failed"),
+        "s": ("string", "text", 2, "success"),
+        "none": ("string", "missing", 0, "failed"),
+    }
+    assert lines(check_text_types(text, rules[2:3], null_text="007"))["lead"][2:] == (1, "failed")
+    assert lines(check_text_types(text.limit(0), rules[:1]))["good"][2:] == (0, "success")
+    with pytest.raises(ValueError, match="no cast rules"):
+        check_text_types(text, [])

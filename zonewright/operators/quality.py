@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright.functions.columns import MASK_PREFIX, col, name_folding
+from zonewright.functions.fingerprint import bag_print, value_hash
 from zonewright.plans.spec import CastRule, as_rules
 
 ROWS = "*"  # report line holding the number of rows
@@ -163,6 +164,97 @@ def compare_counts(
     )
 
 
+def value_prints(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, print``: the fingerprint of each column's values as a bag, and of whole rows
+    as ``*``. One aggregate that is partial in every task; only sums are shuffled."""
+    prints = [(ROWS, bag_print(value_hash(df, columns)))]
+    prints += [(c, bag_print(value_hash(df, [c]))) for c in columns]
+    return _report(df, prints).withColumnRenamed("n", "print")
+
+
+def reconcile_values(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Compare the values of two tables, in whatever order their rows come.
+
+    ``column_name, source_print, target_print, status``, a line per column and one for whole
+    rows, ``*``, over the columns both have. A column fails if a value was altered, lost or
+    added; if values only moved to other rows, its line succeeds and that of whole rows fails.
+    A column of another type is compared in the type of the target; what cannot be cast counts
+    as NULL. NULL is a value like any other, all NaN are one, and 0.0 is -0.0, but see
+    ``fingerprint`` for numbers inside nested values. A column of one side only has the status
+    ``missing_in_source`` or ``missing_in_target``, and its print is NULL on the other.
+    """
+    fold = name_folding(source)
+    named = {fold(f.name): f for f in source.schema.fields}
+    both = [f for f in target.schema.fields if fold(f.name) in named]
+
+    def as_target(f: T.StructField) -> Column:
+        own = named[fold(f.name)]
+        value = col(own.name)
+        return (value if own.dataType == f.dataType else value.try_cast(f.dataType)).alias(f.name)
+
+    names = [f.name for f in both]
+    s = value_prints(source.select(*[as_target(f) for f in both]), names)
+    t = value_prints(target, names)
+    lines = s.withColumnRenamed("print", "source_print").join(
+        t.withColumnRenamed("print", "target_print"), "column_name"
+    )
+    same = F.col("source_print") == F.col("target_print")
+    report = lines.withColumn("status", F.when(same, "success").otherwise("failed"))
+    known = {fold(n) for n in names}
+    extra = [(f.name, "missing_in_target") for f in source.schema.fields if fold(f.name) not in known]
+    extra += [(f.name, "missing_in_source") for f in target.schema.fields if fold(f.name) not in known]
+    if not extra:
+        return report
+    more = source.sparkSession.createDataFrame(extra, "column_name string, status string")
+    return report.unionByName(more, allowMissingColumns=True)
+
+
+def check_text_types(
+    df: DataFrame, rules: Sequence[str | CastRule], null_text: str | None = None
+) -> DataFrame:
+    """``check_types`` for a dataset whose files hold text, as CSV does.
+
+    ``column_name, expected_type, actual_type, n, status``: a value has the type of its rule if
+    reading it and writing it again gives the same text, so the scale must be right, and so
+    must signs, leading zeros and exponents. Any text is a string. ``actual_type`` is ``text``,
+    or ``missing``; ``n`` counts the values of the type. NULL, or ``null_text``, is no value.
+    All columns are checked in one aggregate.
+    """
+    fold = name_folding(df)
+    by_name = {fold(f.name): f for f in df.schema.fields}
+    decided = {rule.column: rule for rule in as_rules(rules)}  # the last rule on a column
+    if not decided:
+        raise ValueError("no cast rules to check")
+    counts, facts = [], {}
+    for name, rule in decided.items():
+        found = by_name.get(fold(name))
+        expected = f"decimal scale {rule.scale}" if rule.kind == "decimal" else "string"
+        facts[name] = expected, "text" if found else "missing"
+        if not found:
+            counts.append((name, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("bad"))))
+            continue
+        value = col(found.name).cast("string")
+        value = value if null_text is None else F.nullif(value, F.lit(null_text))
+        ok = F.lit(True)
+        if rule.kind == "decimal":
+            again = value.try_cast(f"decimal({rule.precision},{rule.scale})").cast("string")
+            ok = F.coalesce(again == value, F.lit(False))
+        held = value.isNotNull()
+        counts.append((name, F.struct(F.count_if(held & ok).alias("n"), F.count_if(held & ~ok).alias("bad"))))
+
+    def fact(i: int) -> Column:
+        pairs = [F.lit(x) for name, values in facts.items() for x in (name, values[i])]
+        return F.create_map(*pairs)[F.col("column_name")]
+
+    return _report(df, counts).select(
+        "column_name",
+        fact(0).alias("expected_type"),
+        fact(1).alias("actual_type"),
+        F.col("n.n").alias("n"),
+        F.when(F.col("n.bad") == 0, "success").otherwise("failed").alias("status"),
+    )
+
+
 def check_types(
     df: DataFrame, rules: Sequence[str | CastRule], count_values: bool = True
 ) -> DataFrame:

@@ -25,12 +25,14 @@ from zonewright.operators.dictionary import (
 from zonewright.operators.masking import mask_columns, pii_swap
 from zonewright.operators.quality import (
     assert_passed,
+    check_text_types,
     check_types,
     compare_counts,
     mask_origins,
     non_null_counts,
     observe_counts,
     reconcile,
+    reconcile_values,
     settle,
 )
 from zonewright.operators.scd2 import latest_per_key, scd2_changes, scd2_open
@@ -110,6 +112,18 @@ def validate_staging(
     return reconcile(source, target, masked=True, compare_rows=False, may_differ=may_differ)
 
 
+def validate_staging_types(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
+    """Report: do the files of staging hold values of the types the cast rules ask for? Parquet
+    by the types of its columns, CSV by its text; partition values are text and not checked."""
+    partitions = {c.lower() for c in spec.partition_cols}
+    rules = [r for r in spec.cast_rules if r.column.lower() not in partitions]
+    if spec.staging.fmt == "parquet":
+        return check_types(read_zone(spark, spec.staging, data_path), rules)
+    source = _read_staging_source(spark, spec, data_path)
+    text = read_zone(spark, spec.staging, data_path, _text(_staged(source, spec).schema))
+    return check_text_types(text, rules)
+
+
 def _read_staging_source(spark: SparkSession, spec: JobSpec, data_path: str) -> DataFrame:
     """What staging is made from; a CSV raw zone has the names of landing."""
     if spec.staging_source == spec.raw and spec.raw.fmt == "csv" and spec.landing.fmt != "csv":
@@ -204,7 +218,7 @@ def update_history(
     tracked: Sequence[str],
     as_of: dt.date | str,
     unique_batch: bool = False,
-    buckets: int = lookup_table.BUCKETS,
+    buckets: int | None = None,
 ) -> None:
     """Merge rows of ``keys`` and ``tracked`` columns into the history at ``root``.
 
@@ -343,6 +357,7 @@ def run_chain(
     salt: str | None = None,
     on_cast_error: str = "raise",
     may_differ: Sequence[str] = (),
+    compare_values: bool = False,
 ) -> DataFrame:
     """Ingest, reconcile, stage, reconcile and check types; raise at the first bad report, with
     the lookup table as it was.
@@ -350,7 +365,9 @@ def run_chain(
     The values of landing are counted while they are copied and those of raw once for both
     comparisons. So landing is read once, raw three times (its counts, staging, the lookup
     batch, of which only the columns that matter) and staging once, for its counts.
-    ``may_differ`` names columns whose counts may differ between raw and staging.
+    ``may_differ`` names columns whose counts may differ between raw and staging. Types are checked
+    in parquet and in CSV staging. ``compare_values`` compares the values themselves too, those
+    of landing with raw and those staging should hold with what it holds, for a pass over each.
     """
     _refuse_overlap(spark, spec, data_path, "raw", "staging", "lookup")
     landing, landing_counts = observe_counts(_read_landing(spark, spec, data_path))
@@ -360,6 +377,8 @@ def run_chain(
     typed = read_zone(spark, spec.raw, data_path, landing.schema)
     raw_counts = settle(non_null_counts(typed))
     assert_passed(compare_counts(landing_counts(), raw_counts))
+    if compare_values:
+        assert_passed(reconcile_values(_read_landing(spark, spec, data_path), raw))
 
     if spec.staging_source != spec.raw:
         raw = read_zone(spark, spec.staging_source, data_path)
@@ -378,5 +397,10 @@ def run_chain(
         if on_disk and spec.staging.fmt == "parquet":
             stored = read_zone(spark, spec.staging, data_path)
             assert_passed(check_types(stored, on_disk, count_values=False))
+        elif on_disk:
+            text = read_zone(spark, spec.staging, data_path, _text(staged.schema))
+            assert_passed(check_text_types(text, on_disk))
+        if compare_values:
+            assert_passed(reconcile_values(_staged(raw, spec, drop_raw, salt, on_cast_error), staged))
 
     return stage(raw, spec, data_path, as_of, mode, drop_raw, salt, on_cast_error, check)

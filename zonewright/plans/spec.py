@@ -97,7 +97,7 @@ class JobSpec:
     mask_source: Zone | None = None  # where staging reads from; the raw zone unless set
     lookup_distinct: bool = False  # dictionary: drop repeated PII values of a batch
     lookup_order_by: Sequence[str] = ()  # history: columns telling the last row of a key
-    lookup_buckets: int = 64  # history: folders of a new one; a merge rewrites those it changes
+    lookup_buckets: int | None = None  # history: folders of a new one, else by its size
 
     def __post_init__(self) -> None:
         # Names that only differ in case are told apart, if at all, by the session's analysis.

@@ -31,8 +31,9 @@ from zonewright.sources.size import fits_broadcast
 
 #: Additions to a dictionary before it is gathered into one folder again.
 MOST_ADDS = 64
-#: Buckets of a new history. A merge rewrites whole buckets, and its commit has a row for each.
-BUCKETS = 64
+#: Rows per bucket of a new history, and the least number of buckets. A merge rewrites whole
+#: buckets, and its commit has a row for each; ``rebucket`` changes their number.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 4
 _BUCKET = "__bucket"
 
 
@@ -221,18 +222,21 @@ def commit_changes(
     keys: Sequence[str],
     changes: DataFrame,
     batch: str | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> History:
     """Apply the rows that a merge closes and opens, and return the new state.
 
     Only buckets with a change are read and written, in Spark's own partitioned layout; without
     a change no data is written. ``changes`` is read several times, so it should be a stored
-    table. ``buckets`` counts for a new history only.
+    table. ``buckets`` counts for a new history only, and follows from its rows if not given.
     """
     root = root.rstrip("/")
     state = history_state(spark, root)
     n = state.number + 1 if state else 0
-    buckets = state.buckets if state else buckets
+    if state:
+        buckets = state.buckets
+    elif buckets is None:
+        buckets = max(LEAST_BUCKETS, -(-changes.count() // BUCKET_ROWS))
     numbered = changes.withColumn(_BUCKET, bucket_of(keys, buckets))
     facts = numbered.groupBy(_BUCKET).agg(F.bool_or(~F.col("current")).alias("closes")).collect()
     touched = sorted(r[_BUCKET] for r in facts)
