@@ -6,10 +6,12 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, docs, repeats
 from zonewright.llm import jaccard
 from zonewright.llm.decontaminate import contaminated
+from zonewright.llm.decontaminate import grams as grams_of
 from zonewright.llm.graph import components
 from zonewright.llm.jaccard import choose_bands, near_duplicates
 from zonewright.llm.mtree import top_k
@@ -213,6 +215,22 @@ def test_contaminated(spark):
     assert got == sorted(want) and len(got) > 20
 
 
+def test_long_items_are_never_missed(spark):
+    """A text that lacks a fifth of an item's n-grams, those with the smallest hashes first."""
+    words = [f"w{i}" for i in range(1504)]
+    item = " ".join(words)
+    one = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hashes = grams_of(one, "item_id", "text", 5).select(F.explode("grams")).collect()
+    order = sorted(range(1500), key=lambda i: hashes[i][0])
+    for lost, found in ((300, 1), (301, 0)):
+        gone = set(order[:lost])
+        # each kept run of n-grams by itself, so that just these are missing
+        parts = [" ".join(words[i : i + 5]) for i in range(1500) if i not in gone]
+        text = " | ".join(f"{p} x{k}y" for k, p in enumerate(parts))
+        rows = contaminated(docs(spark, [(7, text)]), one).collect()
+        assert [(r.n_grams, r.n_shared) for r in rows] == [(1500, 1500 - lost)] * found
+
+
 def test_contaminated_by_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs(spark, AWKWARD), none).count() == 0

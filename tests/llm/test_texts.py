@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -369,3 +370,24 @@ def test_digest_of_the_example(spark):
     assert row.n_turns == 2 and row.loss_chars == len(said)
     assert row.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_a_long_conversation_takes_time_by_its_turns(spark):
+    """Four times the turns, and nothing like sixteen times the time."""
+
+    def seconds(turns):
+        rows = spark.range(0, turns, 1, 1).selectExpr(
+            "1 conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role",
+            "concat('says </s> ', id, ' ', repeat('word ', 60)) text",
+        )
+        chats = chat_format.format_chats(rows)
+        told = chat_format.under_loss(F.col("formatted"), F.col("loss_runs"))
+        start = time.perf_counter()
+        (row,) = chats.select(F.length(told).alias("n"), F.sha2(told, 256).alias("s")).collect()
+        took = time.perf_counter() - start
+        want = "".join(f"says </s> {i} " + "word " * 60 for i in range(1, turns, 2))
+        assert (row.n, row.s) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+        return took
+
+    seconds(100)
+    assert seconds(8000) < 8 * seconds(2000) + 2

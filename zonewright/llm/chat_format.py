@@ -135,20 +135,43 @@ def format_chats(
 
 
 def under_loss(formatted: Column, runs: Column) -> Column:
-    """What ``runs`` put under the loss in a formatted text, unescaped and joined."""
+    """What ``runs`` put under the loss in a formatted text, unescaped and joined.
 
-    def step(done: Column, run: Column) -> Column:
-        part = F.substr(formatted, (done["at"] + 1).cast("int"), run["chars"].cast("int"))
-        parts = F.when(run["loss"], F.concat(done["parts"], F.array(unescape(part))))
-        return F.struct(
-            (done["at"] + run["chars"]).alias("at"),
-            parts.otherwise(done["parts"]).alias("parts"),
-        )
-
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")
-    )
-    return F.array_join(F.aggregate(runs, start, step)["parts"], "")
+    Only numbers are added up along the runs; each text is then cut from its own turn, so the
+    time does not grow with the length of a conversation times its turns. A run that does not lie
+    in a turn of its own, as those of ``format_chats`` all do, is cut from the whole text.
+    """
+    none = F.array().cast("array<struct<begin:bigint,chars:bigint>>")
+
+    def placed(sizes: Column, chars, wanted) -> Column:
+        """(begin, chars) of the entries of an array that are ``wanted``."""
+
+        def step(done: Column, x: Column) -> Column:
+            here = F.array(F.struct(done["at"].alias("begin"), chars(x).alias("chars")))
+            return F.struct(
+                (done["at"] + chars(x)).alias("at"),
+                F.when(wanted(x), F.concat(done["found"], here)).otherwise(done["found"]).alias("found"),
+            )
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+        return F.aggregate(sizes, start, step)["found"]
+
+    said = placed(runs, lambda r: r["chars"], lambda r: r["loss"])
+    pieces = F.split(formatted, BEGIN, -1)
+    turns = F.slice(pieces, F.lit(2), F.size(pieces))
+    ends = lambda t: F.endswith(t, F.lit(END))
+    size = lambda t: (F.length(t) + len(BEGIN)).cast("long")
+    own = F.arrays_zip(F.filter(turns, ends).alias("t"), placed(turns, size, ends).alias("p"))
+    def cut(turn: Column, run: Column) -> Column:
+        at = run["begin"] - turn["p"]["begin"] - len(BEGIN)
+        inside = (at >= 0) & (at + run["chars"] <= F.length(turn["t"]))
+        near = F.substr(turn["t"], (at + 1).cast("int"), run["chars"].cast("int"))
+        far = F.substr(formatted, (run["begin"] + 1).cast("int"), run["chars"].cast("int"))
+        part = F.when(inside, near).otherwise(far)
+        return F.when(run["begin"].isNotNull(), unescape(part))
+
+    # turns without a run come last and give null, which is left out
+    return F.array_join(F.zip_with(own, said, cut), "")
 
 
 def _run(chars: Column, loss: bool) -> Column:

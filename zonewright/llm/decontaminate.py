@@ -3,16 +3,16 @@
 Test items are partitioned by the number of their word n-grams, the classes doubling. An item
 is sketched by its smallest n-gram hashes (bottom-k MinHash); k follows from the upper size of
 the class: a text that holds the given share of the item lacks at most (1 - share) of its
-n-grams, so one more than that many can never be missing all at once, and beyond ``most_hashes``
-the chance that all are missing is below (1 - share) ** most_hashes. Texts with fewer n-grams
-than the item's share are no candidates, whatever they hold. Candidates are verified by exact
-containment of the item's n-gram set. Only DataFrame functions.
+n-grams, so of one more than that many it must hold one, and no item is missed, however long.
+Texts with fewer n-grams than the item's share are no candidates, whatever they hold. Candidates
+are verified by exact containment of the item's n-gram set. Only DataFrame functions.
+
+Departure from the method: texts are not sketched, as the sketch of a long text says little about
+a short part of it. All their n-grams are looked up among those of the sketched items.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +42,10 @@ def grams(table: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return words.select("id", F.when(F.size("words") >= n, gram).alias("grams"))
 
 
-def sketch_sizes(share: float, most_hashes: int) -> Column:
+def sketch_sizes(share: float) -> Column:
     """How many hashes an item needs, from the upper size of its class, in column ``n``."""
     upper = F.pow(F.lit(2), F.ceil(F.log2(F.col("n"))))
-    exact = F.floor(F.lit(1.0 - share) * upper + 1e-9) + 1
-    return F.least(exact, F.lit(most_hashes)).cast("int")
+    return (F.floor(F.lit(1.0 - share) * upper + 1e-9) + 1).cast("int")
 
 
 def contaminated(
@@ -58,7 +57,6 @@ def contaminated(
     item_text_col: str = "text",
     n: int = 5,
     share: float = 0.8,
-    miss: float = 1e-9,
 ) -> DataFrame:
     """(id, item, n_grams, n_shared, containment) wherever a text holds at least ``share`` of
     the distinct n-grams of an item.
@@ -67,7 +65,6 @@ def contaminated(
     with a null id. Rows with the same id are searched together as one text's n-grams, so
     repeated rows give one pair. Empty tables give an empty result; other columns are not read.
     """
-    most = max(1, math.ceil(math.log(miss) / math.log(1.0 - share)))
     own = (
         grams(items, item_col, item_text_col, n)
         .where("id is not null")
@@ -81,7 +78,7 @@ def contaminated(
         .withColumn("nth", F.row_number().over(by_item.orderBy("gram")))
         .withColumn("least", F.ceil(F.lit(share) * F.col("n") - 1e-9))
     )
-    sketch = parts.where(F.col("nth") <= sketch_sizes(share, most)).select("item", "gram", "least")
+    sketch = parts.where(F.col("nth") <= sketch_sizes(share)).select("item", "gram", "least")
     whole = parts.select("item", "gram", "n", "least")
 
     def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
