@@ -21,9 +21,23 @@ from zonewright.llm.packing import pack_documents
 LEAST_SCORE = 0.3
 
 
+#: Rows that Python workers take at a time. Texts are long, so Spark's default of 10,000 rows fills
+#: a worker's memory with input.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session to at most ``BATCH_ROWS``. Stages return what is not computed yet, so this
+    stays; results do not depend on it."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose languages are known with some certainty, be they several: not those
     without a letter, nor those only in scripts that no learned language is written in."""
+    _small_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.labelled(docs, model, keep=docs.columns)
     sure = F.col("label.certainty") >= LEAST_SCORE
@@ -32,6 +46,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has; a document left with nothing goes."""
+    _small_batches(spark)
     found = dedup_lines(docs, keep=docs.columns)
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
@@ -49,6 +64,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of each group of near copies the row with the smallest id, a null id being the largest; of
     several rows with this id one. Groups are made of rows, so texts that share an id, or have
     none, are kept or dropped each by itself. Columns may have any names."""
+    _small_batches(spark)
     return near_duplicates(docs, keep_columns=docs.columns).where("first").select("kept.*")
 
 
@@ -64,6 +80,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
