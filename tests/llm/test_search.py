@@ -159,11 +159,29 @@ def test_bands_reach_the_recall():
 def test_blocks_end_with_their_leader_and_size():
     rows = [(i // 7, i, 1, 10, np.arange(i % 7, i % 7 + 10).astype("<u8").tobytes(), [1, 2]) for i in range(10)]
     frame = pd.DataFrame(rows, columns=["leader", "member", "copies", "n", "grams", "bands"])
-    blocks = pd.concat(jaccard._cut_blocks(0.8, 1000, 4)(iter([frame.iloc[:3], frame.iloc[3:]])))
-    assert [len(x) // 8 for x in blocks["members"]] == [4, 3, 3]
+    pieces = pd.concat(jaccard._cut_pieces(1000, 4)(iter([frame.iloc[:3], frame.iloc[3:]])))
+    assert [len(x) // 8 for x in pieces["members"]] == [4, 3, 3]
+
+    def blocks(groups):
+        found = pd.concat(jaccard._compare_within(0.8)(iter([pieces.assign(group=groups)])))
+        return [[np.frombuffer(x, "<i8").tolist() for x in found[c]] for c in ("labels", "degrees")]
+
     # neighbours share 9 of 11, and in a chain all are one class
-    assert [np.frombuffer(x, "<i8").tolist() for x in blocks["labels"]] == [[0] * 4, [4] * 3, [7] * 3]
-    assert [np.frombuffer(x, "<i8").tolist() for x in blocks["degrees"]] == [[1, 2, 2, 1], [1, 2, 1], [1, 2, 1]]
+    assert blocks([0, 1, 0]) == [[[0] * 4, [4] * 3, [7] * 3], [[1, 2, 2, 1], [1, 2, 1], [1, 2, 1]]]
+    assert blocks([0, 0, 0]) == [[[0] * 7, [7] * 3], [[1, 2, 2, 2, 2, 2, 1], [1, 2, 1]]]
+
+
+def test_many_partitions_do_not_make_many_blocks(spark, monkeypatch):
+    """What a cluster deals out in many tasks comes together in blocks of full size."""
+    frames = type(spark.range(1))
+    dealt, kept = frames.repartitionByRange, []
+    monkeypatch.setattr(frames, "repartitionByRange", lambda df, n, *by: dealt(df, 37, *by))
+    keep = jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    rows = near_copies(2, 120)
+    assert sorted(map(tuple, near_duplicates(docs(spark, rows)).collect())) == sorted(classes(rows))
+    counts = {name: [df.count() for df in kept if name in df.columns] for name in ("piece", "block")}
+    assert counts["piece"][0] > 20 and counts["block"][0] <= 3
 
 
 def test_components(spark):

@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonewright.functions.columns import col
@@ -131,34 +131,30 @@ def _sets(n: int):
     return run
 
 
-_BLOCK = (
-    "low long, high long, members binary, copies binary, sizes binary, grams binary, "
-    "bands array<long>, cuts array<int>, labels binary, degrees binary"
+_PIECE = (
+    "leader long, low long, high long, members binary, copies binary, sizes binary, "
+    "grams binary, bands array<long>, cuts array<int>"
 )
+_BLOCK = _PIECE + ", labels binary, degrees binary"
 
 
-def _cut_blocks(threshold: float, most_elements: int, most_members: int):
-    """Blocks of members with one leader, compared within. ``cuts`` tells how many of ``bands``
-    each member has; ``labels`` are the smallest members they are linked with in the block."""
+def _cut_pieces(most_elements: int, most_members: int):
+    """Members with one leader, packed. ``cuts`` tells how many of ``bands`` each member has."""
 
-    def block(held: list) -> pd.DataFrame:
-        sets = [np.frombuffer(r.grams, "<u8") for r in held]
-        bands = [np.sort(np.asarray(r.bands, np.int64)) for r in held]
-        members, copies, sizes = (np.array([getattr(r, c) for r in held], np.int64) for c in ("member", "copies", "n"))
-        links = _links(threshold, sets, bands, sizes)
+    def piece(held: list) -> pd.DataFrame:
+        packed = {c: np.array([getattr(r, c) for r in held], "<i8") for c in ("member", "copies", "n")}
         return pd.DataFrame(
             [
                 {
+                    "leader": held[0].leader,
                     "low": held[0].n,
                     "high": held[-1].n,
-                    "members": members.astype("<i8").tobytes(),
-                    "copies": copies.astype("<i8").tobytes(),
-                    "sizes": sizes.astype("<i8").tobytes(),
+                    "members": packed["member"].tobytes(),
+                    "copies": packed["copies"].tobytes(),
+                    "sizes": packed["n"].tobytes(),
                     "grams": b"".join(r.grams for r in held),
-                    "bands": np.concatenate(bands),
-                    "cuts": [len(x) for x in bands],
-                    "labels": members[_labels(links, members)].astype("<i8").tobytes(),
-                    "degrees": (links @ copies).astype("<i8").tobytes(),
+                    "bands": np.concatenate([np.sort(np.asarray(r.bands, np.int64)) for r in held]),
+                    "cuts": [len(r.bands) for r in held],
                 }
             ]
         )
@@ -173,10 +169,49 @@ def _cut_blocks(threshold: float, most_elements: int, most_members: int):
                     or elements + row.n > most_elements
                     or len(held) >= most_members
                 ):
-                    yield block(held)
+                    yield piece(held)
                     held, elements = [], 0
                 held.append(row)
                 elements += row.n
+        if held:
+            yield piece(held)
+
+    return run
+
+
+def _compare_within(threshold: float):
+    """Pieces of one leader and group, one behind the other, as a block whose members are compared.
+    ``labels`` are the smallest members each is linked with in the block."""
+
+    def block(held: list) -> pd.DataFrame:
+        joined = {c: b"".join(getattr(r, c) for r in held) for c in ("members", "copies", "sizes", "grams")}
+        members, copies, sizes = (np.frombuffer(joined[c], "<i8") for c in ("members", "copies", "sizes"))
+        every, cuts = (np.concatenate([np.asarray(getattr(r, c), np.int64) for r in held]) for c in ("bands", "cuts"))
+        sets = np.split(np.frombuffer(joined["grams"], "<u8"), np.cumsum(sizes)[:-1])
+        links = _links(threshold, sets, np.split(every, np.cumsum(cuts)[:-1]), sizes)
+        return pd.DataFrame(
+            [
+                {
+                    "leader": held[0].leader,
+                    "low": min(r.low for r in held),
+                    "high": max(r.high for r in held),
+                    **joined,
+                    "bands": every,
+                    "cuts": cuts,
+                    "labels": members[_labels(links, members)].astype("<i8").tobytes(),
+                    "degrees": (links @ copies).astype("<i8").tobytes(),
+                }
+            ]
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if held and (row.leader, row.group) != (held[0].leader, held[0].group):
+                    yield block(held)
+                    held = []
+                held.append(row)
         if held:
             yield block(held)
 
@@ -354,13 +389,23 @@ def _linked(
 
     total = big.agg(F.sum("n")).first()[0] or 0
     rows = sets.drop("n").join(big, "member").withColumnRenamed("big", "bands")
-    blocks = keep(
-        # blocks end where partitions do, so there are no more of these than the sets fill
+    # Pieces end where partitions do, however many these are; small ones of a leader make a block.
+    pieces = keep(
         rows.repartitionByRange(max(1, -(-total // (8 * most_elements))), "leader", "n", "member")
         .sortWithinPartitions("leader", "n", "member")
-        .mapInPandas(_cut_blocks(threshold, most_elements, most_members), _BLOCK)
-        .withColumn("block", F.monotonically_increasing_id())
+        .mapInPandas(_cut_pieces(most_elements, most_members), _PIECE)
+        .withColumn("piece", F.monotonically_increasing_id())
     )
+    before = Window.partitionBy("leader").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.select("piece", "leader", F.length("grams").alias("g"), F.length("members").alias("m"))
+    full = [F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / (8 * most))
+            for c, most in (("g", most_elements), ("m", most_members))]
+    blocks = keep(
+        pieces.join(sizes.select("piece", F.greatest(*full).alias("group")), "piece")
+        .repartition("leader", "group").sortWithinPartitions("leader", "group", "piece")
+        .mapInPandas(_compare_within(threshold), _BLOCK)
+        .withColumn("block", F.monotonically_increasing_id())
+    )
     told = few.unionByName(blocks.mapInPandas(_inside, _FOUND))
 
     met = blocks.select("block", "low", "high", F.explode(F.array_distinct("bands")).alias("band"))
