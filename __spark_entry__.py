@@ -37,9 +37,10 @@ from zonewright import (  # noqa: E402
     stage_updates,
     write_zone,
 )
-from zonewright.operators.scd2 import latest_per_key  # noqa: E402
+from zonewright.operators.scd2 import latest_per_key, lookup_as_of  # noqa: E402
 from zonewright.plans.jobs import (  # noqa: E402
     ingest,
+    ingest_with_quarantine,
     raw_to_staging,
     read_lookup,
     run_chain,
@@ -59,6 +60,7 @@ except ModuleNotFoundError as missing:  # both can be left out; anything else mu
         raise
     corpus_pipeline = llm = None
 
+AS_OF_DAYS = ("1994-03-01", "1996-08-15", "1998-02-28")
 DAY_1, DAY_2, DAY_3 = "2024-01-01", "2024-02-01", "2024-03-01"
 
 CUSTOMER_RULES = ("c_acctbal:DecimalType:DoubleType:2", "c_nationkey:StringType:IntegerType")
@@ -123,6 +125,25 @@ def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, spec, "customer").toDF(*customer.columns)
 
 
+def ingest_csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of text, some of them without a field, with one more, or with a key that
+    is no number. Good rows and the lines that were put aside, as one table."""
+    root = scratch_dir(spark)
+    key = F.col("c_custkey")
+    name = F.concat(F.lit('"'), "c_name", F.lit(', Inc"'))
+    line = (
+        F.when(key % 50 == 0, F.concat_ws(",", key, name, "c_nationkey"))
+        .when(key % 50 == 1, F.concat_ws(",", key, name, "c_nationkey", "c_mktsegment", F.lit("more")))
+        .when(key % 50 == 2, F.concat_ws(",", F.concat(F.lit("no"), key), name, "c_nationkey", "c_mktsegment"))
+        .otherwise(F.concat_ws(",", key, name, "c_nationkey", "c_mktsegment"))
+    )
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(f"{root}/landing/customer")
+    spec = customer_spec(spark, sf_dir, landing=Zone(f"{root}/landing", "csv"), raw=Zone(f"{root}/raw"))
+    schema = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").schema
+    good, bad = ingest_with_quarantine(spark, spec, "customer", Zone(f"{root}/aside"), schema)
+    return good.unionByName(bad.select("line", "reason"), allowMissingColumns=True)
+
+
 def ingest_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = customer_spec(spark, sf_dir, raw=Zone(f"{scratch_dir(spark)}/raw", "csv"))
     names = table(spark, sf_dir, "part").columns
@@ -323,6 +344,17 @@ def lookup_history_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_history(spark, root)
 
 
+def lookup_as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the state its customer had on that day, from three merges."""
+    history = None
+    for batch, day in zip(_order_states(spark, sf_dir), AS_OF_DAYS, strict=True):
+        opened = scd2_open(batch, day)
+        history = opened if history is None else scd2_merge(history, batch, KEYS, TRACKED, day)
+    named = {c: f"then_{c}" for c in TRACKED}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return lookup_as_of(orders, history.withColumnsRenamed(named), KEYS, "o_orderdate", list(named.values()))
+
+
 def scd2_merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch holds every event of a user; the last one counts."""
     events = table(spark, sf_dir, "events")
@@ -543,6 +575,7 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ingest_parquet": ingest_parquet,
         "ingest_csv": ingest_csv,
+        "ingest_csv_quarantine": ingest_csv_quarantine,
         "ingest_convert": ingest_convert,
         "ingest_documents_csv": ingest_documents_csv,
         "write_partitioned": write_partitioned,
@@ -564,6 +597,7 @@ def zone_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scd2_merge": scd2_merge_orders,
         "scd2_merge_broadcast": scd2_merge_broadcast,
         "lookup_history_merges": lookup_history_merges,
+        "lookup_as_of": lookup_as_of_orders,
         "scd2_merge_ordered": scd2_merge_ordered,
         "reconcile_zones": reconcile_zones,
         "reconcile_failures": reconcile_failures,
@@ -664,14 +698,17 @@ def zone_sql() -> dict[str, str]:
         UNION ALL
         SELECT 'masked_c_mktsegment', count(c_mktsegment), count(c_mktsegment), 'success'
         FROM customer"""
-    merged = f"""
+    def merges(first: str, second: str, third: str) -> str:
+        return f"""
             WITH {_STATES},
             t1 AS (
-                SELECT *, DATE '{DAY_1}' AS "effectiveDate",
+                SELECT *, DATE '{first}' AS "effectiveDate",
                        CAST(NULL AS DATE) AS "updateDate", true AS "current"
                 FROM s1),
-            t2 AS ({_scd2_sql("t1", "s2", DAY_2)})
-            {_scd2_sql("t2", "s3", DAY_3)}"""
+            t2 AS ({_scd2_sql("t1", "s2", second)})
+            {_scd2_sql("t2", "s3", third)}"""
+
+    merged = merges(DAY_1, DAY_2, DAY_3)
     first_run = f"""
         WITH b AS (
             SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
@@ -697,6 +734,20 @@ def zone_sql() -> dict[str, str]:
         "ingest_csv": "SELECT "
         + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in customer)
         + " FROM customer",
+        "ingest_csv_quarantine": """
+            SELECT c_custkey, c_name || ', Inc' AS c_name, c_nationkey, c_mktsegment,
+                   CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS reason
+            FROM customer WHERE c_custkey % 50 > 2
+            UNION ALL
+            SELECT NULL, NULL, NULL, NULL,
+                   CASE c_custkey % 50
+                       WHEN 0 THEN concat_ws(',', c_custkey, '"' || c_name || ', Inc"', c_nationkey)
+                       WHEN 1 THEN concat_ws(',', c_custkey, '"' || c_name || ', Inc"', c_nationkey,
+                                             c_mktsegment, 'more')
+                       ELSE concat_ws(',', 'no' || c_custkey, '"' || c_name || ', Inc"', c_nationkey,
+                                      c_mktsegment) END,
+                   CASE WHEN c_custkey % 50 = 2 THEN 'type' ELSE 'fields' END
+            FROM customer WHERE c_custkey % 50 <= 2""",
         "ingest_convert": "SELECT "
         + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in part)
         + " FROM part",
@@ -786,6 +837,12 @@ def zone_sql() -> dict[str, str]:
         "scd2_merge": merged,
         "scd2_merge_broadcast": merged,
         "lookup_history_merges": merged,
+        "lookup_as_of": f"""
+            SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, h.o_orderstatus AS then_o_orderstatus,
+                   h.o_orderpriority AS then_o_orderpriority
+            FROM orders o LEFT JOIN ({merges(*AS_OF_DAYS)}) h
+            ON h.o_custkey = o.o_custkey AND h."effectiveDate" <= o.o_orderdate::DATE
+               AND (h."updateDate" IS NULL OR o.o_orderdate::DATE < h."updateDate")""",
         "scd2_merge_ordered": f"""
             WITH last AS (
                 SELECT user_id, ts, event_id, event_type, ts >= '2024-01-03' AS late

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import zonewright.operators.scd2 as scd2
 import zonewright.plans.jobs as jobs
@@ -449,3 +450,45 @@ def test_values_are_compared_along_the_chain(spark, spec, fmt, monkeypatch):
     assert run_chain(spark, job, "customer.parquet", DAY_2, mode="overwrite").count() == 150
     with pytest.raises(ValueError, match="c_mktsegment"):
         run_chain(spark, job, "customer.parquet", DAY_2, mode="overwrite", compare_values=True)
+
+
+LINES = ['1,"x, y",3', "2,b", "3,c,4,5", "q,d,5", "5,,", '6,"say ""hi""",7', ""]
+MARKED = "k int, s string, n int"
+
+
+@pytest.fixture
+def broken(tmp_path):
+    """A CSV landing zone of three files, one of which is whole."""
+    folder = tmp_path / "landing" / "t"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("\n".join(LINES) + "\n")
+    (folder / "b.csv").write_text("7,good,1\n8,good,2\n")
+    (folder / "c.csv").write_text("9,bad\n10,good,3")
+    return Zone(str(tmp_path / "landing"), "csv")
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_malformed_lines_are_put_aside(spark, spec, broken, tmp_path, monkeypatch, fmt, most):
+    monkeypatch.setattr(jobs, "MOST_FILES", most)
+    job = spec(landing=broken, raw=Zone(str(tmp_path / "raw"), fmt))
+    schema = T.StructType.fromDDL(MARKED)
+    good, bad = jobs.ingest_with_quarantine(spark, job, "t", Zone(str(tmp_path / "aside")), schema)
+    assert good.columns == ["k", "s", "n"]
+    assert sorted((int(r.k), r.s) for r in good.collect()) == [
+        (1, "x, y"), (5, None), (6, 'say "hi"'), (7, "good"), (8, "good"), (10, "good")
+    ]
+    assert sorted((r.file.rsplit("/", 1)[1], r.line, r.reason) for r in bad.collect()) == [
+        ("a.csv", "2,b", "fields"), ("a.csv", "3,c,4,5", "fields"), ("a.csv", "q,d,5", "type"), ("c.csv", "9,bad", "fields")
+    ]
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):  # strict is the default
+        ingest(spark, job, "t", mode="overwrite")
+
+
+def test_text_columns_and_a_whole_dataset(spark, spec, broken, tmp_path):
+    job = spec(landing=broken)
+    good, bad = jobs.ingest_with_quarantine(spark, job, "t/b.csv", Zone(str(tmp_path / "aside")))
+    assert [tuple(r) for r in good.orderBy("_c0").collect()] == [("7", "good", "1"), ("8", "good", "2")]
+    assert bad.columns == ["line", "file", "reason"] and bad.isEmpty()
+    with pytest.raises(ValueError, match="CSV"):
+        jobs.ingest_with_quarantine(spark, spec(), "customer.parquet", Zone(str(tmp_path / "aside")))

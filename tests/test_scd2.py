@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from zonewright import detect_changes, mask_columns, scd2_merge, scd2_open, stage_updates
-from zonewright.operators.scd2 import latest_per_key, scd2_changes
+from zonewright.operators.scd2 import latest_per_key, lookup_as_of, scd2_changes
 
 DAY_1, DAY_2, DAY_3 = dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(2024, 3, 1)
 COLS = ["c_custkey", "c_name", "c_mktsegment"]
@@ -305,3 +305,51 @@ def test_changes_under_null_keys(spark):
     stored = scd2_open(spark.createDataFrame([(None, "a", "x"), (2, "b", None)], schema), DAY_1)
     batch = spark.createDataFrame([(None, "z", "x"), (2, "b", None), (3, "c", "x")], schema)
     assert [r.c_name for r in detect_changes(stored, batch, KEYS, TRACKED).collect()] == ["z"]
+
+
+def states_as_of(rows, versions):
+    out = []
+    for i, key, day in rows:
+        open_then = [v for k, v, a, b in versions if key is not None and day and k == key and a <= day and (b is None or day < b)]
+        out.append((i, key, day, open_then[0] if open_then else None))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.9, 0.02])
+def test_lookup_as_of(spark, share):
+    """Keys with many versions, a hot key, days on borders, and keys and days that are NULL."""
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    versions = []
+    for key, step in ((1, 1), (2, 45), (3, 400), (None, 30)):
+        begins = list(range(0, 900, step))
+        for a, b in zip(begins, [*begins[1:], None], strict=True):
+            versions.append((key, f"{key}@{a}", day(a), None if b is None else day(b)))
+    versions.append((4, "closed", day(10), day(20)))
+    versions.append((4, "same day", day(30), day(30)))
+    history = spark.createDataFrame(
+        [(k, v, a, b, b is None) for k, v, a, b in versions],
+        "k int, v string, effectiveDate date, updateDate date, current boolean",
+    )
+    rows = [(i, 1 if i % 3 else i % 7, day(i % 950 - 20)) for i in range(3000)]
+    rows += [(9001, None, day(5)), (9002, 1, None), (9003, 77, day(5)), (9004, 4, day(30)), (9005, 4, day(19)), (9006, 4, day(20))]
+    df = spark.createDataFrame(rows, "id int, k int, at date").repartition(5)
+    found = lookup_as_of(df, history, ["k"], "at", ["v"], share=share)
+    assert found.columns == ["id", "k", "at", "v"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(states_as_of(rows, versions), key=str)
+    assert lookup_as_of(df.limit(0), history, ["k"], "at", ["v"]).count() == 0
+    assert lookup_as_of(df, history.limit(0), ["k"], "at", ["v"]).where("v is null").count() == len(rows)
+
+
+def test_a_hot_key_is_spread_over_months(spark, plan):
+    history = scd2_open(spark.createDataFrame([(1, "a")], "k int, v string"), "2020-01-01")
+    rows = spark.range(40_000).selectExpr("1 k", "date_add(date'2020-01-01', int(id % 700)) at")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookup_as_of(rows, history, ["k"], "at", ["v"], share=0.9)
+        sizes = [n for _, n in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and len(sizes) == 4 and max(sizes) < 25_000

@@ -61,6 +61,7 @@ def spread_join(
     how: str = "left",
     heavy: Mapping[int, int] | None = None,
     share: float = 0.01,
+    also: Column | None = None,
 ) -> DataFrame:
     """``left.join(right, on, how)`` with the rows of ``left`` under a frequent key spread over
     several tasks. ``heavy`` comes from ``heavy_keys`` on the left side, which is called unless
@@ -69,18 +70,24 @@ def spread_join(
     The salt of a row comes from its values and its task, so equal rows of different tasks part
     too, and a task that runs again deals its rows as before. Rows of ``right`` under a frequent
     key are repeated as often as it has pieces, so they should be few. NULL keys match nothing.
+    ``also`` is a further condition on columns of both sides, whose names must differ.
     """
     if how not in _WAYS:
         raise ValueError(f"cannot spread a {how} join, expected one of {_WAYS}")
     if _SALT in (*left.columns, *right.columns):
         raise ValueError(f"reserved column name: {_SALT}")
     heavy = heavy_keys(left, on, share) if heavy is None else heavy
-    if not heavy:
-        return left.join(right, list(on), how)
-    pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
-    own = F.coalesce(F.element_at(pieces, _hash(on)), F.lit(1))
-    others = [col(c) for c in left.columns if left.schema[c].dataType.typeName() not in ("map", "variant")]
-    dealt = F.xxhash64(F.spark_partition_id(), *others)
-    salted = left.withColumn(_SALT, F.pmod(dealt, own).cast("int"))
-    repeated = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), own - 1)))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+    pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair]) if heavy else None
+    own = F.coalesce(F.element_at(pieces, _hash(on)), F.lit(1)) if heavy else None
+    if heavy:
+        others = [col(c) for c in left.columns if left.schema[c].dataType.typeName() not in ("map", "variant")]
+        dealt = F.xxhash64(F.spark_partition_id(), *others)
+        left = left.withColumn(_SALT, F.pmod(dealt, own).cast("int"))
+        right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), own - 1)))
+        on = [*on, _SALT]
+    if also is None:
+        return left.join(right, list(on), how).drop(_SALT)
+    theirs = {k: f"__of_{k}" for k in on}
+    same = [col(k) == col(v) for k, v in theirs.items()]
+    joined = left.join(right.withColumnsRenamed(theirs), reduce(and_, same) & also, how)
+    return joined.drop(_SALT, *theirs.values())

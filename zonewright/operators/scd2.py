@@ -24,6 +24,7 @@ from zonewright.functions.columns import (
     require,
 )
 from zonewright.operators.dictionary import as_date, key_of
+from zonewright.operators.heavy import spread_join
 from zonewright.sources.scratch import kept
 from zonewright.sources.size import fits_broadcast
 
@@ -256,3 +257,49 @@ def scd2_merge(
     small = broadcast_batch and fits_broadcast(batch)
     merge = _merge_broadcast if small else _merge_shuffled
     return merge(lookup, batch, keys, tracked, as_of)
+
+
+def lookup_as_of(
+    rows: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    columns: Sequence[str],
+    share: float = 0.01,
+) -> DataFrame:
+    """``rows`` with ``columns`` of the version of their key that was open on the date ``at``: opened
+    on that day or before, and not closed by then. NULL where there was none, or the key or the
+    date is NULL. Names in ``columns`` must be new to ``rows``.
+
+    Both sides meet by key and month, versions once per month they were open in, within the dates
+    of ``rows``. So a key with many rows, or with many versions, is spread over its months, and
+    one month of a key that still holds more than ``share`` of the rows over several tasks.
+    """
+    refuse_reserved(rows, history)
+    day = col(at).cast("date")
+    first, last = (F.lit(x).cast("date") for x in rows.agg(F.min(day), F.max(day)).first())
+    month = lambda c: F.trunc(c, "month")
+    until = F.least(F.coalesce(F.date_sub("updateDate", 1), last), last)
+    versions = history.select(
+        *[col(k) for k in keys],
+        F.col("effectiveDate").alias("__from"),
+        F.col("updateDate").alias("__until"),
+        *[col(c) for c in columns],
+        month(F.greatest("effectiveDate", first)).alias("__begin"),
+        month(until).alias("__end"),
+    )
+    versions = versions.where("__begin <= __end").select(
+        "*", F.explode(F.sequence("__begin", "__end", F.expr("interval 1 month"))).alias("__month")
+    )
+    open_then = (F.col("__from") <= F.col("__day")) & (
+        F.col("__until").isNull() | (F.col("__day") < F.col("__until"))
+    )
+    found = spread_join(
+        rows.withColumns({"__day": day, "__month": month(day)}),
+        versions.drop("__begin", "__end"),
+        [*keys, "__month"],
+        "left",
+        share=share,
+        also=open_then,
+    )
+    return found.select(*[col(c) for c in [*rows.columns, *columns]])

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ from zonewright.operators.scd2 import latest_per_key, scd2_changes, scd2_open
 from zonewright.plans.spec import JobSpec
 from zonewright.sources import lookup_table
 from zonewright.sources.scratch import materialized
-from zonewright.sources.zones import dataset_path, qualified, read_zone, write_zone
+from zonewright.sources.zones import dataset_path, qualified, read_marked, read_zone, write_zone
 
 
 def ingest(
@@ -52,6 +52,43 @@ def ingest(
     return _read_raw(spark, spec, data_path, landing)
 
 
+#: Files with malformed lines that are read again by name; beyond that the dataset is.
+MOST_FILES = 10_000
+
+
+def ingest_with_quarantine(
+    spark: SparkSession,
+    spec: JobSpec,
+    data_path: str,
+    quarantine: Zone,
+    schema: T.StructType | None = None,
+    mode: str = "errorifexists",
+) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of a CSV landing zone whose malformed lines go to ``quarantine``, as parquet of
+    ``line``, ``file`` and ``reason``; returns raw and the quarantine of this dataset.
+
+    The scan that copies the good rows names the files that hold others, and only those files are
+    read again. ``ingest`` itself stays strict.
+    """
+    if spec.landing.fmt != "csv":
+        raise ValueError("only lines of CSV can be malformed")
+    _refuse_overlap(spark, spec, data_path, "raw")
+    rows = read_marked(spark, spec.landing, data_path, schema)
+    named = rows.schema[:-3]  # line, file and reason come last
+    seen = Observation()
+    # the same whether a task ran once or twice
+    observed = rows.observe(seen, F.collect_set("__file").alias("files"))
+    good = observed.where(F.col("__line").isNull()).select(*[col(f.name) for f in named])
+    write_zone(good, spec.raw, data_path, mode)
+    files = seen.get["files"]
+    some = files if len(files) <= MOST_FILES else ()
+    again = read_marked(spark, spec.landing, data_path, named, some)
+    bad = again.where(F.col("__line").isNotNull()) if files else again.limit(0)
+    aside = dataset_path(quarantine, data_path)
+    bad.select(*[F.col(f"__{c}").alias(c) for c in ("line", "file", "reason")]).write.mode(mode).parquet(aside)
+    return _read_raw(spark, spec, data_path, good), spark.read.parquet(aside)
+
+
 def _refuse_overlap(spark: SparkSession, spec: JobSpec, data_path: str, *written: str) -> None:
     """What is written may not be what another step reads or writes: neither the same folder,
     by whatever name, nor one inside the other."""

@@ -107,3 +107,36 @@ def write_zone(
     else:
         writer.options(**csv_options(zone)).csv(path, header=header)
     return path
+
+
+def read_marked(
+    spark: SparkSession,
+    zone: Zone,
+    data_path: str,
+    schema: T.StructType | None = None,
+    files: Sequence[str] = (),
+) -> DataFrame:
+    """Scan a CSV dataset, or these ``files`` of it, malformed lines included: the columns of ``schema``, or text ones as
+    ``read_zone``, and ``__line``, ``__file`` and ``__reason`` of a malformed line, whose other
+    columns are NULL. The reason is ``fields`` for another number of them, else ``type``.
+    """
+    path = dataset_path(zone, data_path)
+    options = csv_options(zone) | {"columnPruning": False}
+    if schema is None:
+        schema = spark.read.options(**options).csv(path).schema
+    corrupt = T.StructField("__line", T.StringType())
+    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord="__line", **options)
+    rows = reader.schema(T.StructType([*schema.fields, corrupt])).csv(list(files) or path)
+    # Spark refuses a query that needs nothing but the malformed lines, so their test takes in the
+    # other columns too: a hash is never above the greatest int.
+    parsed = F.hash(*[col(f.name) for f in schema.fields]) <= F.lit(2**31 - 1)
+    is_good = ~(F.col("__line").isNotNull() & parsed)
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], corrupt])
+    again = F.from_csv("__line", text.toDDL(), {**options, "columnNameOfCorruptRecord": "__line"})
+    wrong_fields = again.getField("__line").isNotNull()
+    return rows.select(
+        *[F.when(is_good, col(f.name)).alias(f.name) for f in schema.fields],
+        F.when(~is_good, F.col("__line")).alias("__line"),
+        F.when(~is_good, F.col("_metadata.file_path")).alias("__file"),
+        F.when(~is_good & wrong_fields, "fields").when(~is_good, "type").alias("__reason"),
+    )
