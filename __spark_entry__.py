@@ -55,8 +55,9 @@ from zonewright.sources.scratch import scratch_dir  # noqa: E402
 try:
     import corpus_pipeline
     from zonewright.llm import queries as llm
-except ModuleNotFoundError as missing:  # both can be left out; anything else must be there
-    if not str(missing.name).startswith(("corpus_pipeline", "zonewright.llm")):
+except ModuleNotFoundError as missing:  # both can be left out, and so can what only they need
+    name = str(missing.name)
+    if name.startswith("zonewright") and not name.startswith("zonewright.llm"):
         raise
     corpus_pipeline = llm = None
 
