@@ -232,10 +232,14 @@ def _distances(cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         for i, row in enumerate(rows):
             sums[i] += np.abs(share - share[row]).sum(axis=1)
     i, j = np.nonzero(rows[:, None] < np.arange(len(all_names))[None, :])
-    out = pd.DataFrame({"a": [all_names[rows[x]] for x in i], "b": [all_names[x] for x in j]})
-    out["value"] = sums[i, j]
-    out["lang"] = names["lang"].iloc[0] if len(names) else ""
-    return out[["lang", "a", "b", "value"]]
+    told = {
+        "lang": [names["lang"].iloc[0]] * len(i) if len(i) else [],
+        "a": [all_names[rows[x]] for x in i],
+        "b": [all_names[x] for x in j],
+    }
+    # as objects: an empty column of text would have no Arrow array
+    out = pd.DataFrame({c: np.array(v, object) for c, v in told.items()})
+    return out.assign(value=sums[i, j])
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
