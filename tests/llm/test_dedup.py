@@ -1,7 +1,9 @@
 """The three dedup operators against what their contracts say, word for word."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -118,6 +120,18 @@ def test_keys_do_not_depend_on_how_long_texts_are_cut(monkeypatch, scheme):
     assert keys() == whole and whole
 
 
+def test_texts_without_a_common_passage_share_few_keys():
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(60_000)]
+    texts = [" ".join(words[a : a + 600]) for a in range(0, len(words), 600)]
+    windows = [tuple(words[a + i : a + i + 13]) for a in range(0, len(words), 600) for i in range(588)]
+    assert len(set(windows)) > 0.99 * len(windows)
+    ids = list(range(len(texts)))
+    keys = [k for found, _, _ in engine._cut(word_scheme(13), ids, ids, texts) for k in found.key]
+    shared = sum(n for n in Counter(keys).values() if n > 1)
+    assert shared < 0.05 * len(keys)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed):
     rows = [

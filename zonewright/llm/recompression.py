@@ -5,9 +5,10 @@ symbols and b in the other. A name is a hash of what it stands for and of the ro
 the half, so all tasks give the same names without asking each other, and equal substrings
 have equal symbols but near their ends. For each symbol the words on which its naming depends
 are known. Of the symbols of the highest round whose words lie all in a window, the one of the
-smallest hash is the window's key: equal windows have equal keys. Shared keys reveal repeats:
-segments alike in key, print and length are settled by these hashes, windows under frequent
-keys too; the rest is verified word by word.
+smallest hash is the window's key: equal windows have equal keys. The hash covers the name and
+all words on which it depends: the few words a symbol stands for stand together in many texts
+that share no window. Shared keys reveal repeats: segments alike in key, print and length are
+settled by these hashes, windows under frequent keys too; the rest is verified word by word.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.repeats import NULL_ID, Scheme, U, covered, marked, mix, settled_windows
+from zonewright.llm.repeats import NULL_ID, Scheme, U, covered, marked, mix, prints, settled_windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Beyond any place: what lies outside the words at hand is not known.
@@ -116,7 +117,10 @@ def word_scheme(width: int, rounds: int = 2) -> Scheme:
             a = _counts(first + 1, len(units))[:count]
             b = _counts(last, len(units))[width : width + count]
             at = np.flatnonzero(left & (a < b))
-            out[at] = _least(mix(names + U(level)), a[at], b[at], width)
+            words = prints(units, *(np.clip(x, 0, len(units)) for x in (first, last)))
+            with np.errstate(over="ignore"):
+                hashes = mix(names + words + U(level))
+            out[at] = _least(hashes, a[at], b[at], width)
             left[at] = False
             if not left.any():
                 break

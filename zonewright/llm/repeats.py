@@ -68,7 +68,7 @@ _INVERSE = pow(_FACTOR, -1, 2**64)
 _powers: list[np.ndarray] = []
 
 
-def _prints(units: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def prints(units: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of units[lo:hi], by prefix sums of a polynomial over mixed units."""
     n = len(units)
     if not _powers or len(_powers[0]) < n + 1:
@@ -191,7 +191,7 @@ def _segments(scheme, units, sizes, doc, offset, ids, marks) -> tuple[Segments,
         lo=lo - base[part[first]] + offset[part[first]],
         n=n,
         key=key[first],
-        print=_prints(units, lo, lo + n + width - 1),
+        print=prints(units, lo, lo + n + width - 1),
     )
     return found, units, lo
 
@@ -295,8 +295,8 @@ def _windows(scheme: Scheme):
                 shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(np.cumsum(sizes) - sizes, n) + shift
                 told = {c: np.repeat(part[c].to_numpy(np.int64), n) for c in ("key", "id", "mark")}
-                prints = _prints(units, start, start + scheme.width)
-                told |= {"print": prints.view(np.int64)}
+                content = prints(units, start, start + scheme.width)
+                told |= {"print": content.view(np.int64)}
                 told |= {"pos": np.repeat(part["lo"].to_numpy(np.int64), n) + shift}
                 yield pd.DataFrame(told)[["key", "print", "id", "mark", "pos"]]
 
