@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.helpers import AWKWARD, docs, repeats
@@ -120,6 +122,19 @@ def test_keys_do_not_depend_on_how_long_texts_are_cut(monkeypatch, scheme):
     assert keys() == whole and whole
 
 
+@pytest.mark.parametrize("scheme", [byte_scheme(100), word_scheme(13)])
+def test_copies_under_frequent_keys_become_one_row_of_a_task(scheme):
+    text = " ".join(f"w{i}" for i in range(200))
+    ids = list(range(40))
+    batch = pd.DataFrame({"id": ids, "mark": 0, "text": text})
+    keys = np.unique(next(engine._cut(scheme, ids, ids, [text] * 40))[0].key)
+    packs = pd.concat(engine._pack(scheme, 4, keys)(iter([batch])))
+    often = [o for row in packs["often"] for o in row]
+    assert {o["id"] for o in often} == {0}
+    assert len(often) == len({(o["key"], o["print"], o["n"]) for o in often}) > 10
+    assert sorted(g["id"] for row in packs["gone"] for g in row) == ids[1:]
+
+
 def test_texts_without_a_common_passage_share_few_keys():
     rng = random.Random(5)
     words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(60_000)]

@@ -15,7 +15,8 @@ that neighbouring windows mostly share it. Windows in a row with one key are a s
 3. Settled windows go back to their documents.
 
 Segments whose key a sample of the texts shows to be very frequent would all meet in one bucket.
-Their windows are instead grouped by content, with minima taken before the shuffle.
+Of these, too, a task settles all copies but the earliest; only what remains becomes rows, and
+their windows are grouped by content, with minima taken before the shuffle.
 """
 
 from __future__ import annotations
@@ -226,14 +227,16 @@ _TOLD = f"id long, mark long, gone binary, open binary, often array<struct<{_OFT
 
 
 def _pack(scheme: Scheme, buckets: int, frequent: np.ndarray):
-    def flush(parts: list[Segments], often: list[dict]) -> pd.DataFrame:
+    def flush(parts: list[Segments], contents: dict[tuple, bytes]) -> pd.DataFrame:
         kept, gone, _ = Segments.joined(parts).resolve(scheme.same_doc)
         told: dict[int, tuple[list, list]] = {}
         for i, m, x in _spans(gone):
             at = told.setdefault(i % buckets, ([], []))
             at[0].append({"id": i, "mark": m, "spans": x})
-        for row in often:
+        hot = np.isin(kept.key, frequent)
+        for row in with_content(kept.take(hot), contents):
             told.setdefault(row["id"] % buckets, ([], []))[1].append(row)
+        kept = kept.take(~hot)
         nothing: tuple[list, list] = ([], [])
 
         def row(k: int, packed: dict) -> dict:
@@ -250,34 +253,33 @@ def _pack(scheme: Scheme, buckets: int, frequent: np.ndarray):
         rows += [row(k, none) for k in list(told)]
         return pd.DataFrame(rows)
 
-    def with_content(found: Segments, units: np.ndarray, begin: np.ndarray) -> Iterator[dict]:
-        end = begin + found.n + scheme.width - 1
+    def alike(found: Segments) -> Iterator[tuple]:
+        key, content = found.key.view(np.int64).tolist(), found.print.view(np.int64).tolist()
+        return zip(key, content, found.n.tolist(), strict=True)
+
+    def with_content(found: Segments, contents: dict[tuple, bytes]) -> Iterator[dict]:
         ids, marks = found.ids[found.of].tolist(), found.marks[found.of].tolist()
-        for j in range(len(found)):
-            yield {
-                "key": int(found.key[j].view(np.int64)),
-                "print": int(found.print[j].view(np.int64)),
-                "n": int(found.n[j]),
-                "id": ids[j],
-                "lo": int(found.lo[j]),
-                "mark": marks[j],
-                "units": units[begin[j] : end[j]].tobytes(),
-            }
+        for known, i, lo, m in zip(alike(found), ids, found.lo.tolist(), marks, strict=True):
+            told = dict(zip(("key", "print", "n"), known, strict=True))
+            yield told | {"id": i, "lo": lo, "mark": m, "units": contents[known]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[Segments] = []
-        often: list[dict] = []
+        contents: dict[tuple, bytes] = {}  # of segments under frequent keys
         for batch in batches:
             ids, marks = batch["id"].tolist(), batch["mark"].tolist()
             for found, units, begin in _cut(scheme, ids, marks, batch["text"].tolist()):
-                hot = np.isin(found.key, frequent)
-                parts.append(found.take(~hot))
-                often += with_content(found.take(hot), units, begin[hot])
-                if sum(map(len, parts)) + 4 * len(often) >= FLUSH:
-                    yield flush(parts, often)
-                    parts, often = [], []
+                parts.append(found)
+                hot = np.flatnonzero(np.isin(found.key, frequent))
+                end = begin + found.n + scheme.width - 1
+                for known, j in zip(alike(found.take(hot)), hot.tolist(), strict=True):
+                    if known not in contents:
+                        contents[known] = units[begin[j] : end[j]].tobytes()
+                if sum(map(len, parts)) + 4 * len(contents) >= FLUSH:
+                    yield flush(parts, contents)
+                    parts, contents = [], {}
         if parts:
-            yield flush(parts, often)
+            yield flush(parts, contents)
 
     return run
 
