@@ -3,7 +3,8 @@
 Of all suffixes only those at chosen places are sorted: where the hash of the next ``GRAM``
 bytes is the smallest within a window. Equal windows choose the same place, so a window can
 only stand twice if the suffix chosen in it begins with the same bytes twice; the rest is
-never sorted. Copies alike in key, print and length are settled by these hashes, and so are
+never sorted. Common bytes of this length stand in many texts that share no window, so the key
+goes on to the side of the chosen place where the window is longer: to bytes that it holds, too. Copies alike in key, print and length are settled by these hashes, and so are
 windows under frequent keys. What remains is partitioned by ranges of the suffixes' leading bytes, with
 splitters that Spark samples, and sorted in each range by multikey quicksort; neighbours are
 compared, over the borders of batches too, while equal leads never part between ranges.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from zonewright.llm.repeats import NULL_ID, Scheme, U, covered, marked, mix, settled_windows
 
-#: Bytes by which suffixes are chosen and partitioned; a power of two.
+#: Bytes by which suffixes are chosen; a power of two.
 GRAM = 32
 
 
@@ -45,6 +46,10 @@ def byte_scheme(width: int) -> Scheme:
     if width < 2 * GRAM:
         raise ValueError(f"windows must have at least {2 * GRAM} bytes")
     choices = width - GRAM + 1
+    half = choices // 2
+
+    def places(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return at + hashes[at[:, None] + np.arange(choices)].argmin(axis=1)
 
     def keys(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = _gram_hashes(units)
@@ -56,13 +61,23 @@ def byte_scheme(width: int) -> Scheme:
             least = np.minimum(least[:-rest], least[rest:])
         # the first smallest one has been left behind: the window has another place
         passed = hashes[: len(least)] == least
-        return least, np.concatenate([[True], passed[:-1]])
+        begins = np.concatenate([[True], passed[:-1]])
+        new = begins.copy()
+        new[1:] |= least[1:] != least[:-1]
+        first = np.flatnonzero(new)
+        chosen = places(hashes, first)
+        with np.errstate(over="ignore"):
+            before = mix(least[first] * U(3) + hashes[np.maximum(chosen - half, 0)])
+            after = mix(least[first] * U(5) + hashes[np.minimum(chosen + half, len(hashes) - 1)])
+        sizes = np.diff(np.append(first, len(least)))
+        late = np.repeat(chosen, sizes) - np.arange(len(least)) >= half
+        return np.where(late, np.repeat(before, sizes), np.repeat(after, sizes)), begins
 
     def lead(units: np.ndarray, at: np.ndarray) -> list[bytes]:
-        places = at[:, None] + np.arange(choices)
-        chosen = at + _gram_hashes(units)[places].argmin(axis=1)
+        chosen = places(_gram_hashes(units), at)
+        begin = np.where(chosen - at >= half, chosen - half, chosen)
         raw = units.tobytes()
-        return [raw[i : i + GRAM] for i in chosen.tolist()]
+        return [raw[i : i + GRAM + half] for i in begin.tolist()]
 
     return Scheme(width, _bytes, keys, lead, "u1", same_doc=True, by_ranges=True)
 
